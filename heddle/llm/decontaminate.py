@@ -32,7 +32,8 @@ BLOCK_BYTES = 256 << 10
 
 #: ASCII other than letters and digits becomes a space, A-Z lower case; other bytes stay.
 _NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in the original text, where A-Z are still upper case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normal_words(text: str | None) -> list[bytes]:
