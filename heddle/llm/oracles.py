@@ -18,4 +18,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (rid) LEFT JOIN s USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": _OP4}
+_OP9 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, list_aggregate(w[i:i + 34], 'string_agg', ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM g) WHERE c > 1),
+x AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM r),
+t AS (SELECT d.rid, u.j, d.w[u.j] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS j) u),
+k AS (SELECT t.rid, string_agg(word, ' ' ORDER BY t.j) AS s FROM t ANTI JOIN x ON t.rid = x.rid AND t.j = x.j GROUP BY t.rid),
+c AS (SELECT rid, count(*) AS n FROM x GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": _OP4, "op9_substring_dedup": _OP9}
