@@ -18,6 +18,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (rid) LEFT JOIN s USING (rid)
 """
 
+_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS target FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM target THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM target THEN target END AS refers_to FROM t
+"""
+
 _OP9 = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT rid, i, list_aggregate(w[i:i + 34], 'string_agg', ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)),
@@ -30,4 +38,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": _OP4, "op9_substring_dedup": _OP9}
+ORACLES: dict[str, str] = {"op4_decontaminate": _OP4, "op5_warc": _OP5, "op9_substring_dedup": _OP9}
