@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import SLICE, slices
+from heddle.llm.textcore import SLICE, documents_per_batch, slices
 
 #: Words of a window.
 WINDOW = 10
@@ -99,6 +99,7 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, items (sorted ids with occurring windows), hit_words and hit_chars (flat from/to pairs; the latter are offsets into the original text)."""
+    documents_per_batch(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, block_bytes)]

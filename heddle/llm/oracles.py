@@ -5,6 +5,22 @@ from __future__ import annotations
 #: Bytes of a document kept as they are by the benchmark rule: digits, a-z and everything above ASCII, after lower-casing A-Z only.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r FROM (SELECT doc_id, g, n, count(*) OVER (PARTITION BY g) AS c FROM s JOIN n USING (doc_id))),
+p AS (SELECT * FROM x WHERE r <= n - ceil(0.85 * n) + 1),
+c AS (SELECT DISTINCT p.doc_id AS a, q.doc_id AS b FROM p JOIN p q ON p.g = q.g AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)),
+i AS (SELECT a, b, count(*) AS nb FROM c JOIN s ON s.doc_id = a JOIN s t ON t.doc_id = b AND t.g = s.g GROUP BY a, b),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * nb >= 85 * (x.n + y.n - nb)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.doc_id WHERE t.root < e.b),
+m AS (SELECT doc_id, min(root) AS root FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(m.root, d.doc_id), d.doc_id) AS component_id, coalesce(least(m.root, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 _OP4 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -38,4 +54,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": _OP4, "op5_warc": _OP5, "op9_substring_dedup": _OP9}
+ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op4_decontaminate": _OP4, "op5_warc": _OP5, "op9_substring_dedup": _OP9}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import mix, partitions_for, slices, span_hashes, spans, utf8, window_hashes
+from heddle.llm.textcore import documents_per_batch, mix, partitions_for, slices, span_hashes, spans, utf8, window_hashes
 
 #: Words of a window.
 WINDOW = 35
@@ -100,6 +100,7 @@ def _cover(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, with ``keep_text``, all columns of ``docs`` with the text cut (removed words go with the white space behind them)."""
+    documents_per_batch(docs.sparkSession)
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"a window needs at least {PERIOD} words")

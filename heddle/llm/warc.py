@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import SLICE, ensure_checkpoints, shared_folder, slices
+from heddle.llm.textcore import SLICE, documents_per_batch, materialize, shared_folder, slices
 
 #: Least payload that is stored once and referred to.
 REVISIT_BYTES = 1000
@@ -62,11 +62,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, date: str = "2000-01-01T00:00:00Z") -> int:
     """Write one archive per task under ``folder`` (a URI); returns the number of records."""
-    ensure_checkpoints(pages.sparkSession)
+    documents_per_batch(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     digests = read.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= revisit_bytes)
-    again = digests.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("target")).where("n > 1").select("digest", "size", "target").checkpoint()
+    again = digests.groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("target")).where("n > 1").select("digest", "size", "target")
+    again = materialize(again, "warc-digests")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     marked = read.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html")).join(again, ["digest", "size"], "left")
