@@ -14,8 +14,8 @@ import pandas as pd
 
 from heddle.llm.textcore import ragged, span_hashes
 
-#: Distinct pieces held by one Python worker before the cache is emptied (about 150 MB).
-CACHE_PIECES = 1_000_000
+#: Distinct pieces held by one Python worker before the cache is emptied (about 60 MB).
+CACHE_PIECES = 300_000
 
 
 class PieceCache:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.piece_codec import PieceCodec
-from heddle.llm.textcore import BLOCK, IS_WORD_BYTE, slices, span_hashes, spans, utf8, window_hashes
+from heddle.llm.piece_codec import codec_of
+from heddle.llm.textcore import BLOCK, IS_WORD_BYTE, documents_per_batch, slices, span_hashes, spans, utf8, window_hashes
 
 #: Bands by script: least and most word characters per token, most byte-fallback share, least entropy in bits.
 BANDS = {
@@ -121,10 +121,11 @@ def scripts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def quality_rules(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, tuple[float, float, float, float]] = BANDS) -> DataFrame:
     """One row per document row: doc_id, the base counts, base_failed, n_tokens, script, chars_per_token, byte_share, token_entropy, kept."""
+    documents_per_batch(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = codec_of(model)
         for batch in slices(batches, "text", 2 * BLOCK):
             buf, offs = utf8(batch.column(1))
             c = base_counts(buf, offs)
