@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.piece_cache import PieceCache
-from heddle.llm.textcore import partitions_for, shared_folder, slices, spans, utf8
+from heddle.llm.textcore import documents_per_batch, partitions_for, shared_folder, slices, spans, utf8
 
 #: Ids of one sequence of the files.
 SEQUENCE = 2048
@@ -75,6 +76,12 @@ class WordEncoder:
         return ids, np.diff(at)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a tokenizer file, built once per Python worker and kept for its later tasks."""
+    return WordEncoder(path)
+
+
 class SequenceFile:
     """Random access to the sequences and masks of one shard, without copying."""
 
@@ -136,11 +143,12 @@ class _Writer:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE) -> list[tuple[int, int, int]]:
     """Write the shards under ``folder`` (a URI); returns (shard, documents, ids) of each shard in order of the document ids. The driver gets one row per shard and no more."""
+    documents_per_batch(docs.sparkSession)
     wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId()
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         dtype = np.dtype(np.uint16 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32)
         fs, base = pafs.FileSystem.from_uri(folder)
         own = f".{TaskContext.get().taskAttemptId()}.tmp"
