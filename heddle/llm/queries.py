@@ -24,6 +24,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    languages, logp = train(docs.where(~held_out))
+    return identify(docs, languages, logp, carry={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.token_files import token_files
 
@@ -49,6 +58,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), keep_ids=False, check_share=1 / 64)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.substring_dedup import dedup_substrings
 
@@ -61,4 +77,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op3_token_files, op4_decontaminate, op5_warc, op6_sentencepiece, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_token_files, op4_decontaminate, op5_warc, op6_sentencepiece, op7_quality, op9_substring_dedup, op10_quality_rules)}
