@@ -65,6 +65,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.html_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.substring_dedup import dedup_substrings
 
@@ -77,4 +83,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_token_files, op4_decontaminate, op5_warc, op6_sentencepiece, op7_quality, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_token_files, op4_decontaminate, op5_warc, op6_sentencepiece, op7_quality, op8_html_text, op9_substring_dedup, op10_quality_rules)}
