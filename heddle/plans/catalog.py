@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.plans import scoring, tables
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["map_distinctiveness"](spark, sf_dir)
+    return scoring.map_distinctiveness(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return scoring.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scoring.ORACLES | tables.ORACLES
