@@ -14,13 +14,16 @@ def weighted_score(groups: DataFrame, score: str, p: str, floor: float = 1e-6, b
     return groups.groupBy(*by).agg(F.when(F.count("*") < 3, F.lit(float("nan"))).otherwise(F.avg(F.col(score) * weight)).alias("auc_score"))
 
 
-def log_grid(spark, low: float = 1e-6, high: float = 1.0, n: int = 100) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("k"), F.pow(F.lit(10.0), F.lit(math.log10(low)) + F.col("id") * F.lit((math.log10(high) - math.log10(low)) / (n - 1))).alias("t"))
+def log_grid(spark, low: float = 1e-6, n: int = 100) -> DataFrame:
+    """(k, t, x): thresholds from one down to ``low`` in equal steps of x = -log10(t)."""
+    x = F.col("id") * F.lit(-math.log10(low) / (n - 1))
+    return spark.range(n).select(F.col("id").cast("int").alias("k"), F.pow(F.lit(10.0), -x).alias("t"), x.alias("x"))
 
 
 def threshold_sweep(groups: DataFrame, score: str, p: str, grid: DataFrame) -> DataFrame:
-    """(k, t, y): share of groups with p < t times their mean score; zero where none is below. The grid is a hundred rows beside one pass."""
-    return groups.join(F.broadcast(grid)).groupBy("k", "t").agg((F.count_if(F.col(p) < F.col("t")) / F.count("*") * F.coalesce(F.avg(F.when(F.col(p) < F.col("t"), F.col(score))), F.lit(0.0))).alias("y"))
+    """(k, t, x, y): share of groups with p < t times their mean score; zero where none is below. The grid is a hundred rows beside one pass."""
+    y = F.count_if(F.col(p) < F.col("t")) / F.count("*") * F.coalesce(F.avg(F.when(F.col(p) < F.col("t"), F.col(score))), F.lit(0.0))
+    return groups.join(F.broadcast(grid)).groupBy("k", "t", "x").agg(y.alias("y"))
 
 
 def trapezoid(curve: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:

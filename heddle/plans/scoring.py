@@ -124,13 +124,13 @@ def auc_score(spark, sf_dir):
     return S.weighted_score(v, "score", "p", by=("brand",)).select("brand", r6("auc_score"))
 
 
-@query(cte("p_values") + """, g AS (SELECT k, pow(10.0, -6.0 + k * (6.0 / 99)) AS t FROM range(100) r(k)),
-    c AS (SELECT k, t, count(*) FILTER (p::DOUBLE < t) / count(*)::DOUBLE * coalesce(avg(score::DOUBLE) FILTER (p::DOUBLE < t), 0.0) AS y FROM p_values, g GROUP BY k, t),
-    s AS (SELECT t, y, lag(t) OVER (ORDER BY t) AS lt, lag(y) OVER (ORDER BY t) AS ly FROM c)
-    SELECT round(sum((t - lt) * (y + ly) / 2) / max(t), 6) AS area FROM s""")
+@query(cte("p_values") + """, g AS (SELECT k * (6.0::DOUBLE / 99) AS x, pow(10.0::DOUBLE, -(k * (6.0::DOUBLE / 99))) AS t FROM range(100) r(k)),
+    c AS (SELECT x, count(*) FILTER (p::DOUBLE < t) / count(*)::DOUBLE * coalesce(avg(score::DOUBLE) FILTER (p::DOUBLE < t), 0.0) AS y FROM p_values, g GROUP BY x),
+    s AS (SELECT x, y, lag(x) OVER (ORDER BY x) AS lx, lag(y) OVER (ORDER BY x) AS ly FROM c)
+    SELECT round(sum((x - lx) * (y + ly) / 2) / max(x), 6) AS area FROM s""")
 def threshold_sweep_auc(spark, sf_dir):
     v = read(spark, sf_dir, "p_values").withColumn("p", F.col("p").cast("double")).withColumn("score", F.col("score").cast("double"))
-    return S.trapezoid(S.threshold_sweep(v, "score", "p", S.log_grid(spark)), "t", "y").select(r6("area"))
+    return S.trapezoid(S.threshold_sweep(v, "score", "p", S.log_grid(spark)), "x", "y").select(r6("area"))
 
 
 _Z = ["quantity", "price", "discount", "tax", "constant"]
