@@ -8,13 +8,19 @@ positions are hashed and shuffled, 5 of 21 positions, and an anchor that stands
 21 windows that contain it as candidates. Candidates are extended to whole windows by a 128-bit hash
 of all their words, and those are compared in the same way, so no pair of occurrences is ever formed.
 
+Equal texts: rows are named by a hash of the text, and a hash that only copies of one text share does not
+count as repeated. Copies are counted apart; of a text that stands twice all words are repeated. So copies add
+nothing to the candidates, and a slice scans each text once.
+
 Hot passages: a task combines the equal hashes of a slice of documents before the shuffle. It sends
 one marker for them, and the positions themselves travel as ranges under keys of their own, so a
-passage that a third of all documents hold adds one row per slice to the task that counts it.
+passage that a third of all documents hold adds one row per slice to the task that counts it. The joins with
+the texts are plain joins, so Spark can split a text that a third of all rows have. Both read one shuffle of
+the texts, which travel compressed.
 
 Defined cases: null text has no words; repeated rows and exact copies are repeated passages, all
 copies lose them; documents of fewer than ``WINDOW`` words lose nothing; an empty table gives an empty
-result; other columns are not read unless ``keep_text`` asks for the cleaned text.
+result; other columns are not read unless ``documents`` asks for the rows.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import documents_per_batch, mix, partitions_for, slices, span_hashes, spans, utf8, window_hashes
+from heddle.llm.textcore import SLICE, documents_per_batch, mix, pack_texts, slices, span_hashes, spans, unpack_texts, utf8, window_hashes
 
 #: Words of a window.
 WINDOW = 35
@@ -36,7 +43,9 @@ WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
 _ONE, _MARKER, _RANGE = 0, 1, 2
-_FOUND = "r long, q long, u long, p long"
+_LOW = (1 << 31) - 1
+#: Rows of a scan: text, hash (of windows also a second one), packed place. The text comes first and the place last so that rows of one text compress well.
+_ANCHORS, _WINDOWS = "t long, r long, p long", "t long, r long, q long, p long"
 
 
 class _Words:
@@ -51,38 +60,60 @@ class _Words:
         self.place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], self.n)
 
 
-def _pack(kind: np.ndarray | int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One long: kind, first place, places more."""
-    return (np.asarray(kind, dtype=np.int64) << 62) | (a.astype(np.int64) << 31) | (b - a).astype(np.int64)
+def _pack(kind: int, a: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    """One long: kind, places more, first place."""
+    return np.int64(kind << 62 if kind < 2 else (kind << 62) - (1 << 64)) | (np.asarray(more, dtype=np.int64) << 31) | a.astype(np.int64)
 
 
-def _emit(h: np.ndarray, q: np.ndarray, owner: np.ndarray, place: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+def _emit(h: list[np.ndarray], owner: np.ndarray, place: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
     """Rows of a slice: single hashes as they are, hashes met before in the slice as one marker, and their places as ranges under random keys."""
-    frame = pd.DataFrame({"h": h, "q": q})
+    frame = pd.DataFrame(dict(enumerate(h)))
     many = frame.duplicated(keep=False).to_numpy()
-    one = np.flatnonzero(~many)
-    mark = np.flatnonzero(many & ~frame.duplicated().to_numpy())
-    at = np.flatnonzero(many)
-    parts = [(h[one], q[one], u[owner[one]], _pack(_ONE, place[one], place[one])), (h[mark], q[mark], np.zeros(len(mark), np.int64), _pack(_MARKER, np.zeros(len(mark), np.int64), np.zeros(len(mark), np.int64)))]
+    one, at = np.flatnonzero(~many), np.flatnonzero(many)
+    mark = at[~frame.iloc[at].duplicated().to_numpy()]
+    parts = [(t[owner[one]], *(x[one] for x in h), _pack(_ONE, place[one])), (np.zeros(len(mark), np.int64), *(x[mark] for x in h), _pack(_MARKER, np.zeros(len(mark), np.int64)))]
     if len(at):
         # a range goes on while the next hash of the slice is repeated too and belongs to the same document, without a gap above the period
         new = np.concatenate([[True], (owner[at[1:]] != owner[at[:-1]]) | (np.diff(at) > 1) | (place[at[1:]] - place[at[:-1]] > PERIOD)])
         lo = at[new]
         hi = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-        key = u[owner[lo]]
-        spread = mix(key.view(np.uint64) + place[lo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        parts.append((spread, np.zeros(len(lo), np.uint64), key, _pack(_RANGE, place[lo], place[hi])))
-    r, q, u, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.record_batch([pa.array(r.view(np.int64)), pa.array(q.view(np.int64)), pa.array(u), pa.array(p)], names=["r", "q", "u", "p"])
-
-
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(u, list of (a, b)) of the places whose hash stands at least twice. Places of one document only are gathered, never those of one hash."""
-    kind, a = F.shiftrightunsigned("p", 62), F.shiftright("p", 31).bitwiseAND(F.lit((1 << 31) - 1))
-    n = F.count(F.when(kind < _RANGE, 1)).over(Window.partitionBy("r", "q"))
-    found = rows.select("u", kind.alias("k"), a.alias("a"), (a + F.col("p").bitwiseAND(F.lit((1 << 31) - 1))).alias("b"), n.alias("n"))
-    found = found.where((F.col("k") == _RANGE) | ((F.col("k") == _ONE) & (F.col("n") > 1)))
-    return found.groupBy("u").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("at"))
+        key = t[owner[lo]]
+        with np.errstate(over="ignore"):
+            spread = mix(key.view(np.uint64) + place[lo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        parts.append((key, *([spread] * len(h)), _pack(_RANGE, place[lo], place[hi] - place[lo])))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return pa.record_batch([pa.array(x.view(np.int64)) for x in columns], names=["t", "r", "q", "p"] if len(h) == 2 else ["t", "r", "p"])
+
+
+def _repeated(rows: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """(t, list of (a, b)) of the places whose hash stands at least twice, copies of one text counting once. Places of one text only are gathered, never those of one hash. ``also`` adds (t, a, b)."""
+    hashes = [c for c in ("r", "q") if c in rows.columns]
+    w = Window.partitionBy(*hashes)
+    # only the rows as they are cross the shuffle: the window reads plain columns, the rest is worked out above it
+    seen = rows.select("t", *hashes, "p", F.min("t").over(w).alias("t0"), F.max("t").over(w).alias("t1"), F.min("p").over(w).alias("p0"), F.max("p").over(w).alias("p1"))
+    kind = F.shiftrightunsigned("p", 62)
+    found = seen.where((kind == _RANGE) | ((kind == _ONE) & ((F.col("t0") != F.col("t1")) | (F.col("p0") != F.col("p1")))))
+    a = F.col("p").bitwiseAND(F.lit(_LOW)).cast("int")
+    found = found.select("t", a.alias("a"), (a + F.shiftright("p", 31).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")).alias("b"))
+    if also is not None:
+        found = found.union(also)
+    return found.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("at"))
+
+
+def packed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that their texts unpack to at most ``SLICE`` bytes, or one row."""
+    for batch in batches:
+        total, at = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())]), 0
+        while at < batch.num_rows:
+            to = min(max(int(np.searchsorted(total, total[at] + SLICE, side="right")) - 1, at + 1), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _first_of_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The slice with each text once."""
+    again = pd.Series(batch.column(0).to_numpy()).duplicated().to_numpy()
+    return batch.filter(pa.array(~again)) if again.any() else batch
 
 
 def _ranges(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +129,8 @@ def _cover(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(np.bincount(lo, minlength=size + 1) - np.bincount(hi, minlength=size + 1))[:size] > 0
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, with ``keep_text``, all columns of ``docs`` with the text cut (removed words go with the white space behind them)."""
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, documents: bool = False, chars_col: str = "n_chars") -> DataFrame:
+    """One row per document row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) or, with ``documents``, the rows of ``docs`` with their texts cut (removed words go with the white space behind them) and ``chars_col`` counted again where a text was."""
     documents_per_batch(docs.sparkSession)
     anchor = window - PERIOD + 1
     if anchor < 1:
@@ -107,39 +138,42 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cover = np.zeros(PERIOD, dtype=bool)
     cover[list(COVER)] = True
     text = F.col(text_col).cast("string")
-    # u names a row by id and text: rows that share it are exact copies of one another.
-    all_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest") if keep_text else F.struct(F.col(id_col).cast("long").alias(id_col)).alias("rest")
-    base = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("u"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"), all_columns)
-    by_row = base.repartition(partitions_for(docs), "u")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest") if documents else F.struct(F.col(id_col).cast("long").alias(id_col)).alias("rest")
+    base = docs.select(F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"), rest)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pack_texts(batch.column(1)), pa.compute.binary_length(batch.column(1)), batch.column(2), batch.column(3)], names=["t", "z", "size", "no_text", "rest"])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in map(_first_of_text, slices(batches, "text")):
             w = _Words(batch.column(1))
             h = window_hashes(w.hashes, anchor)
-            at = np.flatnonzero(cover[w.place[: len(h)] % PERIOD] & (w.place[: len(h)] + anchor <= w.n[w.owner[: len(h)]]) & (w.n[w.owner[: len(h)]] >= window))
-            yield _emit(h[at], np.zeros(len(at), np.uint64), w.owner[at], w.place[at], batch.column(0).to_numpy())
+            n, place = w.n[w.owner[: len(h)]], w.place[: len(h)]
+            at = np.flatnonzero(cover[place % PERIOD] & (place + anchor <= n) & (n >= window))
+            yield _emit([h[at]], w.owner[at], w.place[at], batch.column(0).to_numpy())
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            w = _Words(batch.column(1))
+        for batch in map(_first_of_text, packed_slices(batches)):
+            w = _Words(unpack_texts(batch.column(1), batch.column(2)))
             h = window_hashes(w.hashes, window)
-            owner, a, b = _ranges(batch, 2)
-            base_at = w.first[:-1][owner]
-            last = w.n[owner] - window
-            candidate = _cover(len(h), base_at + np.maximum(a - PERIOD + 1, 0), base_at + np.minimum(b, last) + 1)
-            at = np.flatnonzero(candidate)
-            q = window_hashes(mix(w.hashes), window)[at]
-            yield _emit(h[at], q, w.owner[at], w.place[at], batch.column(0).to_numpy())
+            owner, a, b = _ranges(batch, 5)
+            base_at, last = w.first[:-1][owner], w.n[owner] - window
+            at = np.flatnonzero(_cover(len(h), base_at + np.maximum(a - PERIOD + 1, 0), base_at + np.minimum(b, last) + 1))
+            yield _emit([h[at], window_hashes(mix(w.hashes), window)[at]], w.owner[at], w.place[at], batch.column(0).to_numpy())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            buf, offs = utf8(batch.column(0))
+        for batch in packed_slices(batches):
+            buf, offs = utf8(unpack_texts(batch.column(1), batch.column(2)))
             starts, ends, first = spans(buf, offs)
-            owner, a, b = _ranges(batch, 3)
+            owner, a, b = _ranges(batch, 5)
+            n = np.diff(first)[owner]
+            good = n >= window
+            owner, a, b = owner[good], a[good].astype(np.int64), np.minimum(b[good], n[good] - window)
             gone = _cover(len(starts), first[:-1][owner] + a, first[:-1][owner] + b + window)
             raw = buf.tobytes()
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
-            digests, kept_text = [], []
+            digests, cut_texts = [], []
             for i, n in enumerate(removed.tolist()):
                 data = raw[offs[i] : offs[i + 1]]
                 words = data.split()
@@ -147,24 +181,30 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     flags = gone[first[i] : first[i + 1]]
                     words = [x for x, g in zip(words, flags.tolist(), strict=True) if not g]
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                if keep_text and n:
-                    keep = np.ones(len(data), dtype=bool)
+                if documents and n:
                     s = starts[first[i] : first[i + 1]] - offs[i]
                     upto = np.append(s[1:], len(data))
-                    keep = ~_cover(len(data), s[flags], upto[flags])
-                    data = np.frombuffer(data, dtype=np.uint8)[keep].tobytes()
-                if keep_text:
-                    kept_text.append(None if batch.column(1)[i].as_py() else data.decode("utf-8"))
-            columns = [batch.column(2), pa.array(np.diff(first)), pa.array(removed), pa.array(digests)]
+                    data = np.frombuffer(data, dtype=np.uint8)[~_cover(len(data), s[flags], upto[flags])].tobytes()
+                if documents:
+                    cut_texts.append(None if batch.column(3)[i].as_py() else data.decode("utf-8"))
+            columns = [batch.column(4), pa.array(np.diff(first)), pa.array(removed), pa.array(digests)]
             names = ["rest", "n_words", "n_removed", "kept_sha256"]
-            yield pa.record_batch(columns + [pa.array(kept_text, pa.string())], names=[*names, "text"]) if keep_text else pa.record_batch(columns, names=names)
-
-    first = _repeated(base.select("u", "text").mapInArrow(anchors, _FOUND))
-    candidates = by_row.join(first, "u").select("u", "text", "at")
-    second = _repeated(candidates.mapInArrow(extend, _FOUND))
-    rest = base.schema["rest"].dataType.simpleString()
-    out = f"rest {rest}, n_words long, n_removed long, kept_sha256 string" + (", text string" if keep_text else "")
-    done = by_row.join(second, "u", "left").select("text", "no_text", "rest", "at").mapInArrow(cut, out)
-    if keep_text:
-        return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "n_removed")
+            yield pa.record_batch(columns + [pa.array(cut_texts, pa.string())], names=[*names, "text"]) if documents else pa.record_batch(columns, names=names)
+
+    first = _repeated(base.select("t", "text").mapInArrow(anchors, _ANCHORS))
+    # both joins read all columns of the packed texts, so that Spark shuffles them once
+    packed = base.mapInArrow(pack, f"t long, z binary, size int, no_text boolean, rest {base.schema['rest'].dataType.simpleString()}")
+    candidates = packed.join(first, "t").mapInArrow(extend, _WINDOWS)
+    # texts that stand twice; a second hash tells copies from a collision of the first
+    other = F.xxhash64(text, F.lit(1))
+    copies = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("t"), other.alias("o")).groupBy("t").agg(F.count("*").alias("n"), F.min("o").alias("x"), F.max("o").alias("y")).where("n > 1 AND x = y")
+    second = _repeated(candidates, copies.select("t", F.lit(0).alias("a"), F.lit(_LOW).alias("b")))
+    kind = base.schema["rest"].dataType.simpleString()
+    out = f"rest {kind}, n_words long, n_removed long, kept_sha256 string" + (", text string" if documents else "")
+    done = packed.join(second, "t", "left").mapInArrow(cut, out)
+    if documents:
+        column = {c: F.col("text") if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns}
+        if chars_col in column:
+            column[chars_col] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(column[chars_col]).cast(docs.schema[chars_col].dataType)
+        return done.select(*[v.alias(c) for c, v in column.items()])
     return done.select(F.col(f"rest.{id_col}").alias("doc_id"), "n_words", "n_removed", "kept_sha256")

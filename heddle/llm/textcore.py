@@ -161,6 +161,18 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, counts)
 
 
+def pack_texts(column: pa.Array) -> pa.Array:
+    """Each text as a zstd frame: a shuffle moves two fifths of the bytes. Nulls stay null."""
+    codec = pa.Codec("zstd", compression_level=1)
+    return pa.array([None if t is None else codec.compress(t.encode("utf-8", "surrogatepass"), asbytes=True) for t in column.to_pylist()], pa.binary())
+
+
+def unpack_texts(column: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Texts of ``pack_texts``, given their sizes in bytes."""
+    codec = pa.Codec("zstd")
+    return pa.array([None if z is None else codec.decompress(z, n, asbytes=True) if n else b"" for z, n in zip(column.to_pylist(), sizes.to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share. Only where that is unset (tests, one machine), a local one is set."""
     sc = spark.sparkContext
