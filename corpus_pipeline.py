@@ -9,7 +9,6 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from heddle.llm.decontaminate import decontaminate
 from heddle.llm.near_dedup import drop_near_duplicates
@@ -22,7 +21,7 @@ from heddle.llm.textcore import materialize
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, keep_columns=True).where("kept").select(*docs.columns)
+    return score_quality(docs, model, documents=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand more than once; n_chars is counted again."""
-    cut = dedup_substrings(docs, keep_text=True)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    return dedup_substrings(docs, documents=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_columns=True)
-    return found.where("n_hit = 0").select(*docs.columns)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents=True)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,10 +97,10 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_columns: bool = False) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, items (sorted ids with occurring windows), hit_words and hit_chars (flat from/to pairs; the latter are offsets into the original text). With ``keep_columns``, all columns of ``docs`` and n_words, n_hit, items instead."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, documents: bool = False) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, items (sorted ids with occurring windows), hit_words and hit_chars (flat from/to pairs; the latter are offsets into the original text). With ``documents``, the rows of ``docs`` without a hit, as they are."""
     documents_per_batch(docs.sparkSession)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if keep_columns else F.struct(F.col(id_col).cast("long").alias("doc_id"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if documents else F.struct(F.col(id_col).cast("long").alias("doc_id"))
     read = docs.select(rest.alias("rest"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, block_bytes)]
@@ -124,14 +124,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 at = [m.span() for m in _WORD.finditer(text)] if ranges else []
                 chars.append([x for a, b in ranges for x in (at[a][0], at[b - 1][1])])
             columns = {"rest": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array([sum(b - a for a, b in x) for x in where], pa.int64()), "items": pa.array([sorted(x) for x in who], pa.list_(pa.string()))}
-            if keep_columns:
+            if documents:
                 columns["text"] = batch.column(1)
             else:
                 columns |= {"hit_words": pa.array([[y for r in x for y in r] for x in where], pa.list_(pa.int64())), "hit_chars": pa.array(chars, pa.list_(pa.int64()))}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     kind = f"rest {read.schema['rest'].dataType.simpleString()}, n_words long, n_hit long, items array<string>"
-    if keep_columns:
+    if documents:
         out = read.mapInArrow(scan, f"{kind}, text string")
-        return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "n_words", "n_hit", "items")
+        return out.where("n_hit = 0").select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
     return read.mapInArrow(scan, f"{kind}, hit_words array<long>, hit_chars array<long>").select("rest.doc_id", "n_words", "n_hit", "items", "hit_words", "hit_chars")

@@ -42,6 +42,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template title iframe object svg math head textarea select canvas audio video".split())
 RAW = frozenset("script style textarea title".split())
+#: Elements that neither begin nor end a block.
+FLOW = INLINE | (SILENT - {"head"})
 #: An opening tag closes an open element of these names (up to the barrier).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 BARRIER = frozenset("ul ol table dl select body html article section div main".split())
@@ -97,7 +99,7 @@ def parse(html: str) -> Page:
         nonlocal links, silent
         while len(stack) > to:
             name, _ = stack[-1]
-            if name not in INLINE:
+            if name not in FLOW:
                 flush()
             stack.pop()
             links -= name == "a"
@@ -127,7 +129,11 @@ def parse(html: str) -> Page:
             if name == "hr":
                 flush()
             continue
-        inline = name in INLINE
+        if name in RAW:
+            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            at = end.end() if end else n
+            continue
+        inline = name in FLOW
         if not inline:
             flush()
             names = CLOSES.get(name, ()) if name in CLOSES else ("p",)
@@ -137,10 +143,6 @@ def parse(html: str) -> Page:
                     break
                 if stack[k][0] in BARRIER and name != "body":
                     break
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
         if inline:
             stack.append((name, stack[-1][1]))
         else:

@@ -206,7 +206,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     place = lambda c, seed: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(scale))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.col("quality"), F.lit(1)) < 1).cast("int").alias("low"), (F.coalesce(F.col("toxic"), F.lit(0)) > 0).cast("int").alias("toxic")).where("doc_id IS NOT NULL")
     chosen = known.where(place("doc_id", 3) < share(known.count(), labelled)).groupBy("doc_id").agg(F.greatest(F.max("low"), F.max("toxic")).alias("bad"))
-    rows = _columns(docs, id_col, text_col, source_col, lang_col, chars_col)
+    rows = _columns(docs, id_col, text_col, source_col, lang_col, chars_col).where("doc_id IS NOT NULL")
     part = place("doc_id", 5) < share(docs.count(), unlabelled)
     # the labelled sample is bounded by construction, so it may be broadcast
     sample = rows.join(F.broadcast(chosen), "doc_id", "left").where(F.col("bad").isNotNull() | F.coalesce(part, F.lit(False)))
@@ -232,12 +232,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return co_train(wide("shape"), [np.frombuffer(r.words, dtype=np.uint64) for r in found], wide("meta"), label, aside)
 
 
-def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", keep_columns: bool = False) -> DataFrame:
-    """One row per document row: doc_id (or, with ``keep_columns``, all columns of ``docs``), text_bad, meta_bad, score (probability to be good), kept."""
+def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", documents: bool = False) -> DataFrame:
+    """One row per document row: doc_id, text_bad, meta_bad, score (probability to be good), kept. With ``documents``, the kept rows of ``docs`` as they are."""
     documents_per_batch(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon is bounded by the sample
     views = _columns(docs, id_col, text_col, source_col, lang_col, chars_col)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if keep_columns else F.struct(F.col(id_col).cast("long").alias("doc_id"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if documents else F.struct(F.col(id_col).cast("long").alias("doc_id"))
     names = views.columns
     have = {source_col: "string", lang_col: "string", chars_col: "double"}
     read = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *[(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(k).alias(n) for (c, k), n in zip(have.items(), names[2:], strict=True)], rest.alias("rest"))
@@ -255,10 +255,10 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 kept, a, b, score = (p < m.cut) & (n_words > 0.5), pa.array(a), pa.array(b), pa.array(1 - p)
             out = [batch.column(5), a, b, score, pa.array(kept)]
             names = ["rest", "text_bad", "meta_bad", "score", "kept"]
-            yield pa.record_batch([*out, batch.column(0)], names=[*names, "text"]) if keep_columns else pa.record_batch(out, names=names)
+            yield pa.record_batch([*out, batch.column(0)], names=[*names, "text"]) if documents else pa.record_batch(out, names=names)
 
     kind = read.schema["rest"].dataType.simpleString()
-    out = read.mapInArrow(judge, f"rest {kind}, text_bad double, meta_bad double, score double, kept boolean" + (", text string" if keep_columns else ""))
-    if keep_columns:
-        return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns], "text_bad", "meta_bad", "score", "kept")
+    out = read.mapInArrow(judge, f"rest {kind}, text_bad double, meta_bad double, score double, kept boolean" + (", text string" if documents else ""))
+    if documents:
+        return out.where("kept").select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
     return out.select("rest.doc_id", "text_bad", "meta_bad", "score", "kept")
