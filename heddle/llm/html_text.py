@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page is parsed into its tree of block elements (inline elements belong to the block around them). Each
-block is content or not. The model multiplies a unary potential per block (its tag, the words of its
-class, id and role, its link share and its amount of text) with a pairwise potential per parent and child;
+block is content or not. The model multiplies a unary potential per block (its tag with its link
+share, the words of its class, id and role, and its amount of text) with a pairwise potential per parent and child;
 sum-product messages, upward from the leaves and downward from the root, give each block's exact marginal. Blocks
 whose marginal exceeds one half keep their own text.
 
@@ -63,6 +63,8 @@ class Block:
     label: int | None = None
     chars: int = 0
     linked: int = 0
+    below: int = 0
+    below_linked: int = 0
 
 
 @dataclass
@@ -159,13 +161,19 @@ def parse(html: str) -> Page:
         silent += name in SILENT
     close(1)
     flush()
+    for b in reversed(page.blocks):  # a child stands behind its parent
+        b.below += b.chars
+        b.below_linked += b.linked
+        if b.parent >= 0:
+            page.blocks[b.parent].below += b.below
+            page.blocks[b.parent].below_linked += b.below_linked
     return page
 
 
 def features(block: Block) -> tuple:
-    """Tag, attribute words, link share and amount of own text, both in steps."""
-    share = block.linked / block.chars if block.chars else 0
-    return block.tag, block.words, min(3, int(4 * share)), 0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5))
+    """Tag together with the link share of the text in and below the block, attribute words, amount of own text; numbers in steps."""
+    share = block.below_linked / block.below if block.below else 0
+    return (block.tag, min(3, int(4 * share))), block.words, 0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5))
 
 
 class TreeModel:
@@ -189,8 +197,8 @@ class TreeModel:
                 if b.parent >= 0:
                     pairs[labels[b.parent]][y] += 1
                 self.blocks[y] += 1
-                tag, words, share, size = features(b)
-                for k, v in ((0, tag), (2, share), (3, size)):
+                kind, words, size = features(b)
+                for k, v in ((0, kind), (2, size)):
                     self.counts[y][k][v] += 1
                     vocabulary[k].add(v)
                 for w in words:
@@ -201,11 +209,11 @@ class TreeModel:
 
     def _unary(self, key: tuple) -> tuple[float, float]:
         """Potentials of (not content, content), the larger one being 1."""
-        tag, words, share, size = key
+        kind, words, size = key
         logs = []
         for y in (0, 1):
             total = self.blocks[y]
-            v = sum(math.log((self.counts[y][k][x] + self.SMOOTHING) / (total + self.SMOOTHING * self.sizes[k])) for k, x in ((0, tag), (2, share), (3, size)))
+            v = sum(math.log((self.counts[y][k][x] + self.SMOOTHING) / (total + self.SMOOTHING * self.sizes[k])) for k, x in ((0, kind), (2, size)))
             for w in words:
                 if self.counts[0][1][w] or self.counts[1][1][w]:
                     v += math.log((self.counts[y][1][w] + self.SMOOTHING) / (total + 2 * self.SMOOTHING))

@@ -353,7 +353,7 @@ def test_html_edges(spark):
         for block, _ in p.runs:
             total += 1
             wrong += (q[block] > 0.5) != bool(p.blocks[block].label)
-    assert wrong < 0.08 * total
+    assert wrong < 0.03 * total
     df = spark.createDataFrame([(1, None, None, "z"), (1, None, None, "z"), (None, "u", page * 2000, "z")], "page_id long, url string, html string, text string")
     assert extract_pages(df).count() == 3 and extract_pages(df.where("false")).count() == 0
 
