@@ -8,58 +8,70 @@ so that a task pays for the tokenizer once per distinct piece and for NumPy gath
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 
 from heddle.llm.textcore import ragged, span_hashes
 
-#: Distinct pieces held by one Python worker before the cache is emptied (about 60 MB).
-CACHE_PIECES = 300_000
+#: Distinct pieces held by one Python worker before the cache is emptied (about 45 bytes each).
+CACHE_PIECES = 1_000_000
 
 
 class PieceCache:
+    """Ids of pieces in flat arrays, found by binary search in their sorted hashes."""
+
     def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], limit: int = CACHE_PIECES):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.at = np.zeros(1 << 14, dtype=np.int64)
-        self.n = np.zeros(1 << 14, dtype=np.int64)
+        self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
         self.used = 0
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys stand or would stand in the sorted ones, and whether they are there."""
+        at = np.searchsorted(self.keys, keys)
+        if not len(self.keys):
+            return at, np.zeros(len(keys), dtype=bool)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+
+    def _add(self, keys: np.ndarray, at: np.ndarray, pieces: list[str]) -> None:
+        """Encode the pieces of sorted new keys; ``at`` is where these go."""
         rows = self.encode(pieces)
-        counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=int(counts.sum()))
-        base = len(self.known)
+        counts = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(counts.sum()))
+        base = len(self.keys)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while base + len(rows) > len(self.at):
             self.at, self.n = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.n))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.at[base : base + len(rows)] = self.used + np.cumsum(counts) - counts
+        self.at[base : base + len(rows)] = self.used + np.cumsum(counts, dtype=np.int64) - counts
         self.n[base : base + len(rows)] = counts
         self.used += len(flat)
-        self.known.update(zip(keys, range(base, base + len(rows)), strict=True))
+        self.keys = np.insert(self.keys, at, keys)
+        self.place = np.insert(self.place, at, np.arange(base, base + len(rows), dtype=np.int32))
 
     def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, text_of: Callable[[bytes], str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the spans one after another, and how many each span has."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         codes, distinct = pd.factorize(span_hashes(buf, starts, ends, fold))
-        keys = distinct.tolist()
-        if len(self.known) + len(keys) > self.limit:
+        if len(self.keys) + len(distinct) > self.limit:
             self._clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            first = np.empty(len(keys), dtype=np.int64)
+        at, there = self._find(distinct)
+        if not there.all():
+            first = np.empty(len(distinct), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            raw = buf.tobytes()
-            at = first[new]
-            self._add([keys[i] for i in new], [text_of(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        where = np.fromiter((self.known[k] for k in keys), dtype=np.int64, count=len(keys))[codes]
-        counts = self.n[where]
+            new = np.flatnonzero(~there)
+            new = new[np.argsort(distinct[new])]
+            raw, of = buf.tobytes(), first[new]
+            self._add(distinct[new], at[new], [text_of(raw[s:e]) for s, e in zip(starts[of].tolist(), ends[of].tolist(), strict=True)])
+            at, _ = self._find(distinct)
+        where = self.place[at][codes]
+        counts = self.n[where].astype(np.int64)
         return self.flat[ragged(self.at[where], counts)], counts
