@@ -143,13 +143,11 @@ def dictionary_lookup(spark, sf_dir):
     return C.dictionary_lookup(c, pairs, "q").select("c_custkey", "matched")
 
 
-@query("WITH s AS (SELECT c_nationkey AS store, c_custkey AS idx, CASE c_custkey % 3 WHEN 0 THEN 'gfp' WHEN 1 THEN 'Phase' ELSE 'm-cherry' END AS ch FROM customer WHERE c_nationkey % 4 > 0), d AS (SELECT n_nationkey AS store, unnest([0, 1]) AS idx, unnest(['BF', 'Cy5']) AS channel FROM nation WHERE n_nationkey % 4 > 0) SELECT d.store::INT AS store, d.idx, d.channel, CASE WHEN channel = 'BF' THEN (SELECT min(idx) FROM s WHERE s.store = d.store AND ch = 'Phase') END AS source_idx FROM d")
+@query("SELECT n_nationkey AS store, idx, channel, CASE channel WHEN 'BF' THEN CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END WHEN 'GFP' THEN CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 1 END END AS source_idx FROM nation, (VALUES (0, 'BF'), (1, 'Cy5'), (2, 'GFP')) d(idx, channel)")
 def channel_index_map(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").where("c_nationkey % 4 > 0")
-    name = F.when(F.col("c_custkey") % 3 == 0, "gfp").when(F.col("c_custkey") % 3 == 1, "Phase").otherwise("m-cherry")
-    src = c.select(F.col("c_nationkey").alias("store"), F.col("c_custkey").alias("idx"), name.alias("channel"))
-    dest = _table(spark, sf_dir, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("store"), F.posexplode(F.array(F.lit("BF"), F.lit("Cy5"))).alias("idx", "channel"))
-    return C.channel_index_map(src, dest.withColumn("idx", F.col("idx").cast("long"))).withColumn("idx", F.col("idx").cast("int"))
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("store"))
+    names = F.when(F.col("store") % 2 == 0, F.array(*map(F.lit, ("gfp", "Phase", "m-cherry", "BF")))).otherwise(F.array(*map(F.lit, ("bright field", "gfp", "phase"))))
+    return C.channel_index_map(n.select("store", F.posexplode(names).alias("idx", "channel")), n.select("store", F.posexplode(F.array(*map(F.lit, ("BF", "Cy5", "GFP")))).alias("idx", "channel")))
 
 
 # annotation ----------------------------------------------------------------------------------------
