@@ -96,6 +96,13 @@ def map_category_multi(spark, sf_dir):
     return _means(R.consistency_rows(v, R.category_membership(genes), "vec_id", "embedding", "label"), "set_id")
 
 
+@query(cte("vectors") + """, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vectors)
+    SELECT id, neighbour, rank::INT AS rank FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE rank <= 15""")
+def nearest_neighbours(spark, sf_dir):
+    """The number of neighbours is the feature."""
+    return R.nearest(_vectors(spark, sf_dir), "vec_id", "embedding").select("id", "neighbour", "rank")
+
+
 @query()
 def map_pvalue_perm(spark, sf_dir):
     """Permutation p-values are seeded draws: no SQL."""

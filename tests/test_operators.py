@@ -92,6 +92,12 @@ def test_blocks_equal_broadcast(profiles, metric):
         assert x.average_precision is None or 0 < x.average_precision <= 1 and x.normalized_average_precision <= x.average_precision + 1e-12
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_is_the_same_in_blocks(profiles, metric):
+    a, b = (sorted((r.id, r.rank, r.neighbour) for r in R.nearest(profiles, "id", "v", 5, metric, n).collect()) for n in (1000, 9))
+    assert a == b and len(a) == 74 * 5 and all(i != j for i, _, j in a)
+
+
 def test_expanded_groups_without_sets_are_distinctiveness(spark, profiles):
     none = spark.createDataFrame([], "set_id string, member int")
     g = R.expanded_groups(profiles, none, "label")
