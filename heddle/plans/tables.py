@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heddle.functions import attributes as X
 from heddle.functions import boxes as B
 from heddle.functions import names as N
 from heddle.functions import units as U
@@ -89,11 +90,11 @@ def channel_metadata(spark, sf_dir):
     return t.select("id", m.alias("m")).select("id", F.col("m.biological_annotation.organelle").alias("organelle"), F.col("m.biological_annotation.marker").alias("marker"), F.col("m.description").alias("description"))
 
 
-@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN [] WHEN p_partkey % 4 = 1 THEN [p_name, p_brand] ELSE [p_type] END AS items, list_filter([p_type, trim(p_name)], lambda x: x <> '') AS piped FROM part""")
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN concat(p_name, '|', p_brand) ELSE p_type END AS items, concat(p_type, '|', trim(p_name)) AS piped FROM part""")
 def list_text(spark, sf_dir):
     p, k = _table(spark, sf_dir, "part"), F.col("p_partkey") % 4
     text = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("['"), "p_name", F.lit("', '"), "p_brand", F.lit("']"))).otherwise(F.concat(F.lit("['"), "p_type", F.lit("']")))
-    return p.select("p_partkey", text.alias("t"), F.concat("p_type", F.lit(" | |"), "p_name").alias("q")).select("p_partkey", N.parse_list("t").alias("items"), N.parse_pipes("q").alias("piped"))
+    return p.select("p_partkey", text.alias("t"), F.concat("p_type", F.lit(" | |"), "p_name").alias("q")).select("p_partkey", F.array_join(N.parse_list("t"), "|").alias("items"), F.array_join(N.parse_pipes("q"), "|").alias("piped"))
 
 
 @query(cte("channel_map", "features") + r""", e AS (SELECT experiment AS k, pos, channel_name, replace(CASE WHEN label LIKE '%,%' THEN trim(substr(label, strpos(label, ',') + 1)) ELSE label END, ' ', '_') AS new FROM channel_map WHERE channel_name IS NOT NULL),
@@ -206,16 +207,16 @@ def category_coverage(spark, sf_dir):
     return A.coverage(_table(spark, sf_dir, "part").select(F.col("p_type").alias("category"))).withColumn("share", F.round("share", 6))
 
 
-@query("WITH s AS (SELECT p_partkey AS id, unnest([p_size % 3, p_size % 5]) AS m, p_partkey AS o FROM part), e AS (SELECT id, list_sort(list(DISTINCT m)) AS members, arg_min(m, (o, m)) AS label, min(o) AS o FROM s GROUP BY id) SELECT members, arg_min(label, (o, label)) AS label, count(*) AS n_sets FROM e GROUP BY members")
+@query("WITH s AS (SELECT p_partkey AS id, unnest([p_size % 3, p_size % 5]) AS m, p_partkey AS o FROM part), e AS (SELECT id, list_sort(list(DISTINCT m)) AS members, arg_min(m, (o, m)) AS label, min(o) AS o FROM s GROUP BY id) SELECT array_to_string(members, ',') AS members, arg_min(label, (o, label)) AS label, count(*) AS n_sets FROM e GROUP BY members")
 def set_dedupe(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.col("p_size") % 3, F.col("p_size") % 5)).alias("m"))
     d = A.distinct_sets(p.withColumn("o", F.struct("p_partkey", "m")), "p_partkey", "m", "o")
-    return d
+    return d.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
-@query(cte("members") + "SELECT member, list_sort(list(DISTINCT set_id)) AS sets FROM members GROUP BY member HAVING count(DISTINCT set_id) > 1")
+@query(cte("members") + "SELECT member, array_to_string(list_sort(list(DISTINCT set_id)), ',') AS sets FROM members GROUP BY member HAVING count(DISTINCT set_id) > 1")
 def disjointness_check(spark, sf_dir):
-    return A.overlapping_members(read(spark, sf_dir, "members"), "set_id", "member")
+    return A.overlapping_members(read(spark, sf_dir, "members"), "set_id", "member").withColumn("sets", F.array_join("sets", ","))
 
 
 @query(cte("members") + "SELECT set_id, count(DISTINCT member) AS n FROM members WHERE set_id <> 's1' AND member IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) GROUP BY set_id HAVING count(DISTINCT member) >= 2")
@@ -417,10 +418,10 @@ def dense_label_codes(spark, sf_dir):
     return G.label_codes(read(spark, sf_dir, "controls"), "gene_name")
 
 
-@query("SELECT p_size AS level_size, [[1, greatest(1, p_size), 40], [1, greatest(1, p_size // 2), 20], [1, greatest(1, p_size // 4), 10]] AS shapes, least(64, ceil(p_size / 16.0)::INT * 16) AS shard FROM part GROUP BY p_size")
+@query("SELECT p_size AS level_size, concat('1,', greatest(1, p_size), ',40;1,', greatest(1, p_size // 2), ',20;1,', greatest(1, p_size // 4), ',10') AS shapes, least(64, ceil(p_size / 16.0)::INT * 16) AS shard FROM part GROUP BY p_size")
 def pyramid_shapes(spark, sf_dir):
     p = _table(spark, sf_dir, "part").select("p_size").distinct()
-    return p.select(F.col("p_size").alias("level_size"), B.level_shapes(F.array(F.lit(1), F.col("p_size"), F.lit(40)), 3).alias("shapes"), B.clamp_shard(F.lit(64), F.lit(16), F.col("p_size")).alias("shard"))
+    return p.select(F.col("p_size").alias("level_size"), F.array_join(F.transform(B.level_shapes(F.array(F.lit(1), F.col("p_size"), F.lit(40)), 3), lambda v: F.array_join(v.cast("array<string>"), ",")), ";").alias("shapes"), B.clamp_shard(F.lit(64), F.lit(16), F.col("p_size")).alias("shard"))
 
 
 @query(cte("pixels") + "SELECT tile, bool_or(label <> 0) AS has_data FROM pixels GROUP BY tile")
@@ -496,3 +497,19 @@ def tick_means(spark, sf_dir):
 def step_and_cache_keys(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     return p.select("p_partkey", N.step_key(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")), F.col("p_brand")).alias("step_key"), N.safe_key(F.concat("p_brand", F.lit("/"), "p_name", F.lit(":x"))).alias("safe_key"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS low, CASE p_partkey % 3 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN 2.5::DOUBLE END AS high, CASE WHEN p_partkey % 3 = 1 THEN 4.0::DOUBLE END AS first_high, p_partkey % 3 = 1 AS second_missing FROM part")
+def contrast_limits(spark, sf_dir):
+    own = F.format_string('{"contrast_limits": [0, %d]}', "p_size")
+    mapped = F.lit('{"clims_per_level": {"0": {"contrast_limits": [1, 2.5], "contrast_limits_per_channel": [[3, 4], [5]]}}, "contrast_limits": [9, 9]}')
+    text = F.when(F.col("p_partkey") % 3 == 0, own).when(F.col("p_partkey") % 3 == 1, mapped).otherwise(F.lit('{"contrast_limits": ["x", 1]}'))
+    p = _table(spark, sf_dir, "part").select("p_partkey", X.contrast_limits(text, F.lit(0), F.lit(2)).alias("c"))
+    return p.select("p_partkey", F.get("c.limits", F.lit(0)).alias("low"), F.get("c.limits", F.lit(1)).alias("high"), F.get(F.get("c.per_channel", F.lit(0)), F.lit(1)).alias("first_high"), (F.col("c.per_channel").isNotNull() & F.get("c.per_channel", F.lit(1)).isNull()).alias("second_missing"))
+
+
+@query("SELECT p_partkey, p_partkey % 4 = 1 AS fluorescent FROM part")
+def fluorescence_presence(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    channels = F.create_map(F.lit("BF"), F.lit("Phase"), F.lit("GFP"), F.when(k == 0, F.lit(" brightfield ")).when(k == 3, F.lit(None).cast("string")).otherwise(F.col("p_name")))
+    return _table(spark, sf_dir, "part").select("p_partkey", X.has_fluorescence(channels, F.when(k == 2, F.array(F.lit("GFP")))).alias("fluorescent"))
