@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.components import components
+from heddle.llm.textcore import BLOCK as BLOCK_BYTES
 from heddle.llm.textcore import documents_per_batch, materialize, mix, partitions_for, slices, span_hashes, spans, utf8, window_hashes
 
 SLOTS, BITS = 64, 16
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 * BLOCK_BYTES):
             sets = shingle_sets(batch.column(1), shingle)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), k.shape[1]))], names=["key", "node"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 * BLOCK_BYTES):
             sets = shingle_sets(batch.column(1), shingle)
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "value"])
 

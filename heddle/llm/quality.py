@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.quality_rules import base_counts
-from heddle.llm.textcore import SLICE, documents_per_batch, mix, slices, span_hashes, spans, utf8
+from heddle.llm.textcore import BLOCK, documents_per_batch, mix, slices, span_hashes, spans, utf8
 
 #: Expected labelled and unlabelled documents of the samples, rounds of co-training, share of the labelled kept aside.
 LABELLED, UNLABELLED, ROUNDS, ASIDE = 6_000, 4_000, 4, 0.3
@@ -213,7 +213,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = sample.select("text", "doc_id", "source", "lang", "n_chars", F.coalesce("bad", F.lit(-1)).alias("bad"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", BLOCK):
             shape, words, first, meta = _views(batch)
             own = [np.unique(words[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.record_batch([batch.column(1), batch.column(5), pa.array([r.tobytes() for r in shape], pa.binary()), pa.array(own, pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], names=["doc_id", "bad", "shape", "words", "meta"])
@@ -244,7 +244,7 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BLOCK):
             shape, words, first, meta = _views(batch)
             n_words = np.expm1(shape[:, -1])
             if m is None:
