@@ -100,6 +100,11 @@ def _repeated(rows: DataFrame, also: DataFrame | None = None) -> DataFrame:
     return found.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("at"))
 
 
+def packed_text(texts: pd.Series) -> pd.Series:
+    """``pack_texts`` as a scalar function: unlike a map over batches, Spark recognises its shuffle when it comes a second time."""
+    return pd.Series(pack_texts(pa.array(texts, pa.string())).to_pylist())
+
+
 def packed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut batches so that their texts unpack to at most ``SLICE`` bytes, or one row."""
     for batch in batches:
@@ -141,10 +146,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest") if documents else F.struct(F.col(id_col).cast("long").alias(id_col)).alias("rest")
     base = docs.select(F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"), rest)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pack_texts(batch.column(1)), pa.compute.binary_length(batch.column(1)), batch.column(2), batch.column(3)], names=["t", "z", "size", "no_text", "rest"])
-
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_first_of_text, slices(batches, "text")):
             w = _Words(batch.column(1))
@@ -193,7 +194,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     first = _repeated(base.select("t", "text").mapInArrow(anchors, _ANCHORS))
     # both joins read all columns of the packed texts, so that Spark shuffles them once
-    packed = base.mapInArrow(pack, f"t long, z binary, size int, no_text boolean, rest {base.schema['rest'].dataType.simpleString()}")
+    packed = base.select("t", F.pandas_udf(packed_text, "binary")("text").alias("z"), F.octet_length("text").alias("size"), "no_text", "rest")
     candidates = packed.join(first, "t").mapInArrow(extend, _WINDOWS)
     # texts that stand twice; a second hash tells copies from a collision of the first
     other = F.xxhash64(text, F.lit(1))
