@@ -6,13 +6,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: name -> SELECT; tables stand in braces.
+#: name -> SELECT; tables stand in braces. An experiment of the channel map has three parts; a key has four digits, so those beyond have another name.
 INPUTS = {
     "vectors": "SELECT vec_id, label, embedding, label = 0 AS is_control FROM {embeddings}",
     "experiments": "SELECT DISTINCT concat('ops', lpad(cast(o_orderkey % 400 AS varchar(10)), 4, '0'), CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('_', cast(20230000 + (o_orderkey % 400) * 29 % 9999 AS varchar(10))) END, CASE WHEN o_orderkey % 11 = 0 THEN '_redo' ELSE '' END) AS name FROM {orders}",
     "exclusions": "SELECT 'bad' AS category, concat('ops', lpad(cast(p_partkey % 400 AS varchar(10)), 4, '0')) AS name, cast(NULL AS int) AS number FROM {part} WHERE p_partkey % 97 = 0 UNION ALL SELECT 'old', NULL, cast(p_partkey % 400 AS int) FROM {part} WHERE p_partkey % 89 = 0 UNION ALL SELECT 'other', NULL, cast(p_partkey % 400 AS int) FROM {part} WHERE p_partkey % 13 = 0",
     "labels_text": "SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'Phase' WHEN 1 THEN 'no label' WHEN 2 THEN concat(p_type, '/', p_name, ', ', p_brand) WHEN 3 THEN concat(p_type, ', ', p_name, ', ', p_brand) WHEN 4 THEN p_brand WHEN 5 THEN concat(', ', p_name) WHEN 6 THEN concat(p_type, ',', p_name, ' live dye') WHEN 7 THEN cast(NULL AS varchar(10)) ELSE concat('a\\\\b ', p_name) END AS label, CASE p_partkey % 5 WHEN 0 THEN 'GFP' WHEN 1 THEN 'Phase2D' WHEN 2 THEN 'm-Cherry' WHEN 3 THEN concat('CP1_', p_type, '_', p_brand) ELSE concat('4i_R1_', p_brand) END AS channel FROM {part}",
-    "channel_map": "SELECT concat('ops', lpad(cast(p_partkey % 50 AS varchar(10)), 4, '0')) AS experiment, cast(p_partkey AS int) AS pos, CASE WHEN p_partkey % 10 = 9 THEN cast(NULL AS varchar(10)) WHEN p_partkey % 3 = 0 THEN 'BF' WHEN p_partkey % 3 = 1 THEN 'GFP' ELSE 'Cy 5' END AS channel_name, CASE WHEN p_partkey % 3 = 0 THEN 'Phase' WHEN p_partkey % 3 = 1 THEN concat(p_type, ', ', p_name) ELSE concat(p_brand, ', ', p_type) END AS label FROM {part} WHERE p_partkey < 150",
+    "channel_map": "SELECT CASE WHEN p_partkey < 30000 THEN concat('ops', lpad(cast(cast(floor(p_partkey / 150) AS int) * 50 + p_partkey % 50 AS varchar(10)), 4, '0')) ELSE concat('lot', cast(cast(floor(p_partkey / 150) AS int) * 50 + p_partkey % 50 AS varchar(10))) END AS experiment, cast(p_partkey AS int) AS pos, CASE WHEN p_partkey % 10 = 9 THEN cast(NULL AS varchar(10)) WHEN p_partkey % 3 = 0 THEN 'BF' WHEN p_partkey % 3 = 1 THEN 'GFP' ELSE 'Cy 5' END AS channel_name, CASE WHEN p_partkey % 3 = 0 THEN 'Phase' WHEN p_partkey % 3 = 1 THEN concat(p_type, ', ', p_name) ELSE concat(p_brand, ', ', p_type) END AS label FROM {part}",
     "features": "SELECT DISTINCT concat('ops', lpad(cast(l_orderkey % 55 AS varchar(10)), 4, '0'), '_20240101') AS experiment, CASE l_linenumber % 6 WHEN 0 THEN 'single_object_Phase2D_cell_Area' WHEN 1 THEN 'single_object_GFP_nucleus_Mean' WHEN 2 THEN 'coloc_GFP_Cy_5_cell_Corr' WHEN 3 THEN 'label_str' WHEN 4 THEN 'coloc_BF_Phase3D_x' ELSE 'single_object_RFP_cell_Area' END AS feature FROM {lineitem}",
     "genes": "SELECT p_partkey AS gene, p_name AS name, lower(concat(p_name, ' ', p_type, ' ', p_brand)) AS text FROM {part}",
     "members": "SELECT concat('s', cast(l_suppkey AS varchar(10))) AS set_id, l_partkey % 40 AS member, min(l_orderkey) AS ordinal FROM {lineitem} GROUP BY 1, 2",
