@@ -107,7 +107,7 @@ def nearest_neighbours(spark, sf_dir):
 def map_pvalue_perm(spark, sf_dir):
     """Permutation p-values are seeded draws: no SQL."""
     v = _vectors(spark, sf_dir)
-    return R.score(v, "vec_id", "embedding", R.Constraints(pos_same=["label"], neg_differ=["label"]), ["label"], null_size=10_000)
+    return R.score(v, "vec_id", "embedding", R.Constraints(pos_same=["label"], neg_differ=["label"]), ["label"], null_size=R.NULL_SIZE)
 
 
 _BH = """, q AS (SELECT *, p::DOUBLE * count(*) OVER (PARTITION BY {0}) / row_number() OVER (PARTITION BY {0} ORDER BY p) AS q FROM p_values),
