@@ -40,11 +40,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left."""
+    """Ids of every document that is left, each compared with the other library."""
     import public_tokenizers
 
-    coded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "token_ids")
+    coded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), check_share=1.0)
+    return coded.select("doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "parity", "token_ids")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("pieces", pieces)]

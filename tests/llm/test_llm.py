@@ -291,6 +291,16 @@ def test_piece_codec_equals_the_other_library(spark, docs, empty):
     assert encode_pieces(empty, path).count() == 0
 
 
+def test_every_document_is_compared(spark):
+    import corpus_pipeline as P
+
+    from heddle.llm.queries import QUERIES
+
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert [r.parity for r in QUERIES["op6_sentencepiece"](spark, SF).collect()] == [True] * n
+    assert [r.parity for r in P.pieces(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()] == [True] * n
+
+
 def test_unigram_models_are_rebuilt():
     from heddle.llm.piece_codec import BYTE, CONTROL, UNIGRAM, UNKNOWN, Model, build_tokenizer
 
