@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash signatures and a multi-index Hamming join.
 
-1. A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets form
+1. A document's set holds its distinct word shingles, each as two independent 64-bit hashes. Documents with equal sets form
    one class; only one document of a class goes on.
 2. A signature has ``SLOTS`` slots of ``BITS`` bits, each the scrambled minimum of the set under one hash
    function. Slots of two sets agree with the probability of their Jaccard similarity, so the distance
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.components import components
 from heddle.llm.textcore import BLOCK as BLOCK_BYTES
-from heddle.llm.textcore import documents_per_batch, materialize, mix, partitions_for, slices, span_hashes, spans, utf8, window_hashes
+from heddle.llm.textcore import documents_per_batch, materialize, mix, partitions_for, slices, span_hashes, spans, spread_join, spread_limit, utf8, window_hashes
 
 SLOTS, BITS = 64, 16
 #: Probability with which a pair exactly at the threshold may lie beyond the radius.
@@ -68,23 +68,36 @@ def chunks(slots: int, radius: int) -> list[tuple[int, int]]:
     return list(zip(edge[:-1], edge[1:], strict=True))
 
 
-def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, a text without words has none."""
+def shingles(texts: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two independent hashes of each shingle of each text, as often as it stands; a text of fewer words is one shingle, a text without words has none."""
     buf, offs = utf8(texts)
     starts, ends, first = spans(buf, offs)
-    words = span_hashes(buf, starts, ends, fold=True)
-    windows = window_hashes(words, size)
+    words = [span_hashes(buf, starts, ends, fold=True, which=k) for k in (0, 1)]
+    windows = [window_hashes(words[k], size, which=k) for k in (0, 1)]
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(windows[a : b - size + 1]))
+            out.append(tuple(w[a : b - size + 1] for w in windows))
         elif b > a:
-            out.append(window_hashes(words[a:b], b - a) ^ np.uint64(b - a))
+            out.append(tuple(window_hashes(words[k][a:b], b - a, which=k) ^ np.uint64(b - a) for k in (0, 1)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     return out
 
 
+def shingle_set(both: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distinct shingles as two rows of hashes, ascending."""
+    first, second = both
+    order = np.argsort(first, kind="stable")
+    first, second = first[order], second[order]
+    same = first[1:] == first[:-1]
+    if (same & (second[1:] != second[:-1])).any():  # different shingles that agree in the first hash
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+    return np.stack([first, second])[:, np.append(True, ~same)] if len(first) else np.zeros((2, 0), np.uint64)
+
+
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """uint16 signatures of the sets that are not empty."""
     out = np.zeros((len(sets), slots), dtype=np.uint16)
@@ -139,20 +152,18 @@ def close_signatures(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[
 
 
 def close_sets(left: list[np.ndarray], right: list[np.ndarray], ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with intersection / union of at least ``ratio``, counted through an index of the right sets' elements."""
-    flat = np.concatenate(right)
-    owner = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    """Pairs of sets with intersection / union of at least ``ratio``, counted through an index of the right sets' elements. Elements are found by their first hash and compared by the second."""
+    flat, second = np.concatenate(right, axis=1)
+    owner = np.repeat(np.arange(len(right)), [s.shape[1] for s in right])
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    sizes = np.array([len(s) for s in right])
+    flat, second, owner = flat[order], second[order], owner[order]
+    sizes = np.array([s.shape[1] for s in right])
     i, j = [], []
-    for a, s in enumerate(left):
+    for a, (s, z) in enumerate(left):
         lo, hi = np.searchsorted(flat, s, side="left"), np.searchsorted(flat, s, side="right")
         n = hi - lo
-        keep = n > 0
-        lo, n = lo[keep], n[keep]
         at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-        both = np.bincount(owner[at], minlength=len(right))
+        both = np.bincount(owner[at[second[at] == np.repeat(z, n)]], minlength=len(right))
         good = np.flatnonzero((both * ratio.denominator >= ratio.numerator * (len(s) + sizes - both)) & (both > 0))
         i.append(np.full(len(good), a))
         j.append(good)
@@ -163,10 +174,12 @@ def _block_pairs(rows: DataFrame, group: str, values: DataFrame, value: str) ->
     """Rows (g, x, y, side, node, value) dealt by pairs of blocks of each group, sorted so that a task meets each pair of blocks in one run.
 
     A group of up to ``BLOCK`` rows is one block. The nodes of a larger one fall into blocks by a hash,
-    which needs no order within the group, and each block meets every other block once.
+    which needs no order within the group, and each block meets every other block once. Groups are counted by partial
+    aggregation, and the join with their counts is spread, so no task gets the whole of a large group.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1")
-    sized = rows.join(counts, group).select(group, "node", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / F.lit(BLOCK * 3 // 4))).cast("int").alias("k"))
+    counts = materialize(rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    limit = spread_limit(counts.agg(F.sum("n")).first()[0] or 0, 4 * BLOCK)
+    sized = spread_join(rows, counts, group, limit).select(group, "node", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / F.lit(BLOCK * 3 // 4))).cast("int").alias("k"))
     sized = sized.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")).join(values.select("node", value), "node")
     spread = sized.select(group, "node", value, "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     spread = spread.select(F.col(group).alias("g"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("side"), "node", value)
@@ -231,9 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 * BLOCK_BYTES):
-            sets = shingle_sets(batch.column(1), shingle)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            found = [(np.unique(a), np.unique(b)) for a, b in shingles(batch.column(1), shingle)]
+            digests = [hashlib.blake2b(a.tobytes() + b.tobytes(), digest_size=16).digest() if len(a) else None for a, b in found]
+            sizes = [max(len(a), len(b)) for a, b in found]
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in signatures([a for a, _ in found])], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,14 +258,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 * BLOCK_BYTES):
-            sets = shingle_sets(batch.column(1), shingle)
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "value"])
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(s).tobytes() for s in shingles(batch.column(1), shingle)], pa.binary())], names=["node", "value"])
 
     # classes of equal sets, named by their smallest id
     signed = materialize(read.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
     full = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("value")), "classes")
-    member = full.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
+    limit = spread_limit(signed.count())
+    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("value"), F.count("*").alias("n")), "classes")
+    member = spread_join(full.select("doc_id", "digest"), classes.select("digest", "node", "n"), "digest", limit).drop("n")
     again = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("n > 1 AND a <> z")
     tied = member.join(again, "doc_id").select(F.col("a"), F.col("node").alias("b"))
 
@@ -264,12 +278,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = read.join(groups.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "text")
     sets = materialize(texts.mapInArrow(sets_of, "node long, value binary"), "sets")
     pairs = _block_pairs(groups.select(F.col("component").alias("g"), "node"), "g", sets, "value")
-    linked = _links(pairs, lambda a, b: close_sets(a, b, similarity), lambda c: [np.frombuffer(x, dtype=np.uint64) for x in c.to_pylist()])
+    linked = _links(pairs, lambda a, b: close_sets(a, b, similarity), lambda c: [np.frombuffer(x, dtype=np.uint64).reshape(2, -1) for x in c.to_pylist()])
     found = components(linked.union(tied))
 
-    named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.select("digest", "node", "n").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"), "n")
+    out = ["doc_id", "n_shingles", "component_id"]
+    grouped = spread_join(full.select("doc_id", "n_shingles", "digest"), named, "digest", limit).select(*out)
+    alone = signed.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -15,12 +15,16 @@ import pandas as pd
 
 from heddle.llm.textcore import ragged, span_hashes
 
-#: Distinct pieces held by one Python worker before the cache is emptied (about 45 bytes each).
+#: Distinct pieces held by one Python worker before the cache is emptied (about 55 bytes each).
 CACHE_PIECES = 1_000_000
 
 
 class PieceCache:
-    """Ids of pieces in flat arrays, found by binary search in their sorted hashes."""
+    """Ids of pieces in flat arrays, found by binary search in their sorted hashes.
+
+    A piece is found by one 64-bit hash and compared by a second, independent one. Where two pieces agree in the
+    first only, their batch is encoded without the cache.
+    """
 
     def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], limit: int = CACHE_PIECES):
         self.encode, self.limit = encode, limit
@@ -29,7 +33,7 @@ class PieceCache:
     def _clear(self) -> None:
         self.keys, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.at, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+        self.at, self.n, self.other = (np.zeros(1 << 14, dtype=t) for t in (np.int64, np.int32, np.uint64))
         self.used = 0
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,39 +43,47 @@ class PieceCache:
             return at, np.zeros(len(keys), dtype=bool)
         return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys
 
-    def _add(self, keys: np.ndarray, at: np.ndarray, pieces: list[str]) -> None:
-        """Encode the pieces of sorted new keys; ``at`` is where these go."""
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = self.encode(pieces)
         counts = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows))
-        flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(counts.sum()))
-        base = len(self.keys)
+        return np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(counts.sum())), counts
+
+    def _add(self, keys: np.ndarray, other: np.ndarray, at: np.ndarray, pieces: list[str]) -> None:
+        """Encode the pieces of sorted new keys; ``at`` is where these go."""
+        flat, counts = self._encoded(pieces)
+        base, n = len(self.keys), len(counts)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while base + len(rows) > len(self.at):
-            self.at, self.n = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.n))
+        while base + n > len(self.at):
+            self.at, self.n, self.other = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.n, self.other))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.at[base : base + len(rows)] = self.used + np.cumsum(counts, dtype=np.int64) - counts
-        self.n[base : base + len(rows)] = counts
+        self.at[base : base + n] = self.used + np.cumsum(counts, dtype=np.int64) - counts
+        self.n[base : base + n], self.other[base : base + n] = counts, other
         self.used += len(flat)
         self.keys = np.insert(self.keys, at, keys)
-        self.place = np.insert(self.place, at, np.arange(base, base + len(rows), dtype=np.int32))
+        self.place = np.insert(self.place, at, np.arange(base, base + n, dtype=np.int32))
 
-    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, text_of: Callable[[bytes], str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the spans one after another, and how many each span has."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        codes, distinct = pd.factorize(span_hashes(buf, starts, ends, fold))
+        raw = buf.tobytes()
+        texts = lambda at: [raw[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        codes, distinct = pd.factorize(span_hashes(buf, starts, ends))
+        other = span_hashes(buf, starts, ends, which=1)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         if len(self.keys) + len(distinct) > self.limit:
             self._clear()
         at, there = self._find(distinct)
         if not there.all():
-            first = np.empty(len(distinct), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             new = np.flatnonzero(~there)
             new = new[np.argsort(distinct[new])]
-            raw, of = buf.tobytes(), first[new]
-            self._add(distinct[new], at[new], [text_of(raw[s:e]) for s, e in zip(starts[of].tolist(), ends[of].tolist(), strict=True)])
+            self._add(distinct[new], other[first[new]], at[new], texts(first[new]))
             at, _ = self._find(distinct)
         where = self.place[at][codes]
+        if (self.other[where] != other).any():
+            flat, counts = self._encoded(texts(slice(None)))
+            return flat, counts.astype(np.int64)
         counts = self.n[where].astype(np.int64)
         return self.flat[ragged(self.at[where], counts)], counts

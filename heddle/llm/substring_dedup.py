@@ -8,14 +8,14 @@ positions are hashed and shuffled, 5 of 21 positions, and an anchor that stands
 21 windows that contain it as candidates. Candidates are extended to whole windows by a 128-bit hash
 of all their words, and those are compared in the same way, so no pair of occurrences is ever formed.
 
-Equal texts: rows are named by a hash of the text, and a hash that only copies of one text share does not
+Equal texts: rows are named by two hashes of the text, and a hash that only copies of one text share does not
 count as repeated. Copies are counted apart; of a text that stands twice all words are repeated. So copies add
 nothing to the candidates, and a slice scans each text once.
 
 Hot passages: a task combines the equal hashes of a slice of documents before the shuffle. It sends
 one marker for them, and the positions themselves travel as ranges under keys of their own, so a
 passage that a third of all documents hold adds one row per slice to the task that counts it. The joins with
-the texts are plain joins, so Spark can split a text that a third of all rows have. Both read one shuffle of
+the texts deal the copies of a text in parts when there are many. Both read one shuffle of
 the texts, which travel compressed.
 
 Defined cases: null text has no words; repeated rows and exact copies are repeated passages, all
@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import SLICE, documents_per_batch, mix, pack_texts, slices, span_hashes, spans, unpack_texts, utf8, window_hashes
+from heddle.llm.textcore import SLICE, documents_per_batch, materialize, mix, pack_texts, slices, span_hashes, spans, spread_limit, unpack_texts, utf8, window_hashes
 
 #: Words of a window.
 WINDOW = 35
@@ -43,9 +43,11 @@ WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
 _ONE, _MARKER, _RANGE = 0, 1, 2
+#: Columns of the packed texts with what is known of them: t, u, part, text, size, no_text, rest, ranges.
+_TEXT, _SIZE, _RANGES = 3, 4, 7
 _LOW = (1 << 31) - 1
-#: Rows of a scan: text, hash (of windows also a second one), packed place. The text comes first and the place last so that rows of one text compress well.
-_ANCHORS, _WINDOWS = "t long, r long, p long", "t long, r long, q long, p long"
+#: Rows of a scan: text (two hashes), hash (of windows also a second one), packed place. The text comes first and the place last so that rows of one text compress well.
+_ANCHORS, _WINDOWS = "t long, u long, r long, p long", "t long, u long, r long, q long, p long"
 
 
 class _Words:
@@ -54,10 +56,13 @@ class _Words:
     def __init__(self, texts: pa.Array):
         self.buf, self.offs = utf8(texts)
         self.starts, self.ends, self.first = spans(self.buf, self.offs)
-        self.hashes = span_hashes(self.buf, self.starts, self.ends)
         self.n = np.diff(self.first)
         self.owner = np.repeat(np.arange(len(self.n)), self.n)
-        self.place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], self.n)
+        self.place = np.arange(len(self.starts)) - np.repeat(self.first[:-1], self.n)
+
+    def windows(self, n: int, at: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of the ``n`` words from each of these places on."""
+        return window_hashes(span_hashes(self.buf, self.starts, self.ends, which=which), n, at, which)
 
 
 def _pack(kind: int, a: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
@@ -65,13 +70,14 @@ def _pack(kind: int, a: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
     return np.int64(kind << 62 if kind < 2 else (kind << 62) - (1 << 64)) | (np.asarray(more, dtype=np.int64) << 31) | a.astype(np.int64)
 
 
-def _emit(h: list[np.ndarray], owner: np.ndarray, place: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+def _emit(h: list[np.ndarray], owner: np.ndarray, place: np.ndarray, t: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
     """Rows of a slice: single hashes as they are, hashes met before in the slice as one marker, and their places as ranges under random keys."""
     frame = pd.DataFrame(dict(enumerate(h)))
     many = frame.duplicated(keep=False).to_numpy()
     one, at = np.flatnonzero(~many), np.flatnonzero(many)
     mark = at[~frame.iloc[at].duplicated().to_numpy()]
-    parts = [(t[owner[one]], *(x[one] for x in h), _pack(_ONE, place[one])), (np.zeros(len(mark), np.int64), *(x[mark] for x in h), _pack(_MARKER, np.zeros(len(mark), np.int64)))]
+    nothing = np.zeros(len(mark), np.int64)
+    parts = [(t[owner[one]], u[owner[one]], *(x[one] for x in h), _pack(_ONE, place[one])), (nothing, nothing, *(x[mark] for x in h), _pack(_MARKER, nothing))]
     if len(at):
         # a range goes on while the next hash of the slice is repeated too and belongs to the same document, without a gap above the period
         new = np.concatenate([[True], (owner[at[1:]] != owner[at[:-1]]) | (np.diff(at) > 1) | (place[at[1:]] - place[at[:-1]] > PERIOD)])
@@ -80,24 +86,25 @@ def _emit(h: list[np.ndarray], owner: np.ndarray, place: np.ndarray, t: np.ndarr
         key = t[owner[lo]]
         with np.errstate(over="ignore"):
             spread = mix(key.view(np.uint64) + place[lo].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        parts.append((key, *([spread] * len(h)), _pack(_RANGE, place[lo], place[hi] - place[lo])))
+        parts.append((key, u[owner[lo]], *([spread] * len(h)), _pack(_RANGE, place[lo], place[hi] - place[lo])))
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return pa.record_batch([pa.array(x.view(np.int64)) for x in columns], names=["t", "r", "q", "p"] if len(h) == 2 else ["t", "r", "p"])
+    return pa.record_batch([pa.array(x.view(np.int64)) for x in columns], names=["t", "u", "r", "q", "p"] if len(h) == 2 else ["t", "u", "r", "p"])
 
 
 def _repeated(rows: DataFrame, also: DataFrame | None = None) -> DataFrame:
-    """(t, list of (a, b)) of the places whose hash stands at least twice, copies of one text counting once. Places of one text only are gathered, never those of one hash. ``also`` adds (t, a, b)."""
+    """(t, u, set of (a, b)) of the places whose hash stands at least twice, copies of one text counting once. Places of one text only are gathered, never those of one hash, and copies in other slices add none. ``also`` adds (t, u, a, b)."""
     hashes = [c for c in ("r", "q") if c in rows.columns]
     w = Window.partitionBy(*hashes)
     # only the rows as they are cross the shuffle: the window reads plain columns, the rest is worked out above it
-    seen = rows.select("t", *hashes, "p", F.min("t").over(w).alias("t0"), F.max("t").over(w).alias("t1"), F.min("p").over(w).alias("p0"), F.max("p").over(w).alias("p1"))
+    ends = [f(c).over(w).alias(f"{c}{k}") for c in ("t", "u", "p") for k, f in enumerate((F.min, F.max))]
+    seen = rows.select("t", "u", *hashes, "p", *ends)
     kind = F.shiftrightunsigned("p", 62)
-    found = seen.where((kind == _RANGE) | ((kind == _ONE) & ((F.col("t0") != F.col("t1")) | (F.col("p0") != F.col("p1")))))
+    found = seen.where((kind == _RANGE) | ((kind == _ONE) & F.expr("t0 <> t1 OR u0 <> u1 OR p0 <> p1")))
     a = F.col("p").bitwiseAND(F.lit(_LOW)).cast("int")
-    found = found.select("t", a.alias("a"), (a + F.shiftright("p", 31).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")).alias("b"))
+    found = found.select("t", "u", a.alias("a"), (a + F.shiftright("p", 31).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")).alias("b"))
     if also is not None:
         found = found.union(also)
-    return found.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("at"))
+    return found.groupBy("t", "u").agg(F.collect_set(F.struct("a", "b")).alias("at"))
 
 
 def packed_text(texts: pd.Series) -> pd.Series:
@@ -108,7 +115,7 @@ def packed_text(texts: pd.Series) -> pd.Series:
 def packed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut batches so that their texts unpack to at most ``SLICE`` bytes, or one row."""
     for batch in batches:
-        total, at = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())]), 0
+        total, at = np.concatenate([[0], np.cumsum(batch.column(_SIZE).to_numpy())]), 0
         while at < batch.num_rows:
             to = min(max(int(np.searchsorted(total, total[at] + SLICE, side="right")) - 1, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
@@ -117,7 +124,7 @@ def packed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _first_of_text(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The slice with each text once."""
-    again = pd.Series(batch.column(0).to_numpy()).duplicated().to_numpy()
+    again = pd.DataFrame({k: batch.column(k).to_numpy() for k in (0, 1)}).duplicated().to_numpy()
     return batch.filter(pa.array(~again)) if again.any() else batch
 
 
@@ -144,30 +151,31 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cover[list(COVER)] = True
     text = F.col(text_col).cast("string")
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest") if documents else F.struct(F.col(id_col).cast("long").alias(id_col)).alias("rest")
-    base = docs.select(F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"), rest)
+    name = [F.coalesce(F.xxhash64(text), F.lit(0)).alias("t"), F.coalesce(F.xxhash64(text, F.lit(1)), F.lit(0)).alias("u")]
+    base = docs.select(*name, F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"), rest)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_first_of_text, slices(batches, "text")):
-            w = _Words(batch.column(1))
-            h = window_hashes(w.hashes, anchor)
-            n, place = w.n[w.owner[: len(h)]], w.place[: len(h)]
-            at = np.flatnonzero(cover[place % PERIOD] & (place + anchor <= n) & (n >= window))
-            yield _emit([h[at]], w.owner[at], w.place[at], batch.column(0).to_numpy())
+            w = _Words(batch.column(2))
+            n = w.n[w.owner]
+            at = np.flatnonzero(cover[w.place % PERIOD] & (w.place + anchor <= n) & (n >= window))
+            yield _emit([w.windows(anchor, at)], w.owner[at], w.place[at], batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_first_of_text, packed_slices(batches)):
-            w = _Words(unpack_texts(batch.column(1), batch.column(2)))
-            h = window_hashes(w.hashes, window)
-            owner, a, b = _ranges(batch, 5)
+            w = _Words(unpack_texts(batch.column(_TEXT), batch.column(_SIZE)))
+            owner, a, b = _ranges(batch, _RANGES)
             base_at, last = w.first[:-1][owner], w.n[owner] - window
-            at = np.flatnonzero(_cover(len(h), base_at + np.maximum(a - PERIOD + 1, 0), base_at + np.minimum(b, last) + 1))
-            yield _emit([h[at], window_hashes(mix(w.hashes), window)[at]], w.owner[at], w.place[at], batch.column(0).to_numpy())
+            good = last >= 0
+            base_at, last, a, b = base_at[good], last[good], a[good], b[good]
+            at = np.flatnonzero(_cover(len(w.place), base_at + np.maximum(a - PERIOD + 1, 0), base_at + np.minimum(b, last) + 1))
+            yield _emit([w.windows(window, at, k) for k in (0, 1)], w.owner[at], w.place[at], batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in packed_slices(batches):
-            buf, offs = utf8(unpack_texts(batch.column(1), batch.column(2)))
+            buf, offs = utf8(unpack_texts(batch.column(_TEXT), batch.column(_SIZE)))
             starts, ends, first = spans(buf, offs)
-            owner, a, b = _ranges(batch, 5)
+            owner, a, b = _ranges(batch, _RANGES)
             n = np.diff(first)[owner]
             good = n >= window
             owner, a, b = owner[good], a[good].astype(np.int64), np.minimum(b[good], n[good] - window)
@@ -187,22 +195,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     upto = np.append(s[1:], len(data))
                     data = np.frombuffer(data, dtype=np.uint8)[~_cover(len(data), s[flags], upto[flags])].tobytes()
                 if documents:
-                    cut_texts.append(None if batch.column(3)[i].as_py() else data.decode("utf-8"))
-            columns = [batch.column(4), pa.array(np.diff(first)), pa.array(removed), pa.array(digests)]
+                    cut_texts.append(None if batch.column(_SIZE + 1)[i].as_py() else data.decode("utf-8"))
+            columns = [batch.column(_SIZE + 2), pa.array(np.diff(first)), pa.array(removed), pa.array(digests)]
             names = ["rest", "n_words", "n_removed", "kept_sha256"]
             yield pa.record_batch(columns + [pa.array(cut_texts, pa.string())], names=[*names, "text"]) if documents else pa.record_batch(columns, names=names)
 
-    first = _repeated(base.select("t", "text").mapInArrow(anchors, _ANCHORS))
+    # texts that stand more than once; the copies of those that stand very often are dealt in parts, and what is known of the text goes to each part
+    copies = materialize(docs.where(text.isNotNull()).select(*name).groupBy("t", "u").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    limit = spread_limit(copies.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(copies.where(F.col("n") > limit).select("t", "u", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts")))
+    spread = lambda df: df.join(hot, ["t", "u"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    first = _repeated(base.select("t", "u", "text").mapInArrow(anchors, _ANCHORS))
     # both joins read all columns of the packed texts, so that Spark shuffles them once
-    packed = base.select("t", F.pandas_udf(packed_text, "binary")("text").alias("z"), F.octet_length("text").alias("size"), "no_text", "rest")
-    candidates = packed.join(first, "t").mapInArrow(extend, _WINDOWS)
-    # texts that stand twice; a second hash tells copies from a collision of the first
-    other = F.xxhash64(text, F.lit(1))
-    copies = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("t"), other.alias("o")).groupBy("t").agg(F.count("*").alias("n"), F.min("o").alias("x"), F.max("o").alias("y")).where("n > 1 AND x = y")
-    second = _repeated(candidates, copies.select("t", F.lit(0).alias("a"), F.lit(_LOW).alias("b")))
+    part = F.coalesce(F.pmod(F.xxhash64(F.col(f"rest.`{id_col}`").cast("string")), F.col("parts")), F.lit(0)).cast("int")
+    packed = base.select("t", "u", F.pandas_udf(packed_text, "binary")("text").alias("z"), F.octet_length("text").alias("size"), "no_text", "rest")
+    packed = packed.join(hot, ["t", "u"], "left").select("t", "u", part.alias("part"), "z", "size", "no_text", "rest")
+    candidates = packed.join(spread(first), ["t", "u", "part"]).mapInArrow(extend, _WINDOWS)
+    second = _repeated(candidates, copies.select("t", "u", F.lit(0).alias("a"), F.lit(_LOW).alias("b")))
     kind = base.schema["rest"].dataType.simpleString()
     out = f"rest {kind}, n_words long, n_removed long, kept_sha256 string" + (", text string" if documents else "")
-    done = packed.join(second, "t", "left").mapInArrow(cut, out)
+    done = packed.join(spread(second), ["t", "u", "part"], "left").mapInArrow(cut, out)
     if documents:
         column = {c: F.col("text") if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns}
         if chars_col in column:

@@ -7,12 +7,14 @@ hashed at once) plus 24 bytes per word of one slice of documents.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the operators (one longer document makes a slice of its own).
 SLICE = 4 << 20
@@ -20,14 +22,11 @@ SLICE = 4 << 20
 BLOCK = 1 << 20
 
 _U = np.uint64
-#: Fixed odd multipliers of the polynomial hashes and of the finalising mixer.
-_BYTE_MUL = _U(0x9E3779B97F4A7C15)
-_WORD_MUL = _U(0xD6E8FEB86659FD93)
+#: Fixed odd multipliers of the finalising mixer.
 _MIX1 = _U(0xBF58476D1CE4E5B9)
 _MIX2 = _U(0x94D049BB133111EB)
-
-with np.errstate(over="ignore"):
-    _seed = np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F)
+#: Bytes of a span hashed by weights; longer spans (rare) are hashed by BLAKE2.
+WEIGHED = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,38 +37,23 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_BYTE_CODE = mix(_seed)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Every byte counts as a number from 1 to 256, so a NUL is not the same as nothing.
+_BYTE_CODE = np.arange(1, 257, dtype=np.uint64)
 _BYTE_CODE_FOLDED = _BYTE_CODE[_FOLD]
 #: ASCII white space is the only separator of words: space and 0x09 to 0x0D.
 IS_WORD_BYTE = np.ones(256, dtype=bool)
 IS_WORD_BYTE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
-def _inverse(m: np.uint64) -> np.uint64:
-    return _U(pow(int(m), -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inv = base, _inverse(base)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.inv)):
-                a = np.full(n, b, dtype=np.uint64)
-                a[0] = 1
-                with np.errstate(over="ignore"):
-                    setattr(self, name, np.multiply.accumulate(a))
-        return self.up, self.down
+def _weights(seed: int, n: int) -> np.ndarray:
+    """``n`` independent odd 64-bit weights."""
+    with np.errstate(over="ignore"):
+        return mix(mix(np.arange(n, dtype=np.uint64) + _U(seed << 32)) + _U(0xA0761D6478BD642F)) | _U(1)
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_MUL), _Powers(_WORD_MUL)
+_SPAN_WEIGHTS = _weights(1, WEIGHED), _weights(2, WEIGHED)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,37 +104,47 @@ def spans(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray = IS_WORD_BYTE) ->
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte spans (which must ascend and not overlap); ``fold`` lower-cases A-Z."""
-    code, out, at = _BYTE_CODE_FOLDED if fold else _BYTE_CODE, np.empty(len(starts), dtype=np.uint64), 0
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, which: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, which ascend, do not overlap and are not empty; ``fold`` lower-cases A-Z.
+
+    A hash is the sum of the bytes times independent weights of their places (no power of one number, so
+    no pattern of letters cancels): two different spans agree with a probability below 2**-55. ``which`` (0
+    or 1) names one of two independent hashes; together they have twice as many bits.
+    """
+    code, weight = _BYTE_CODE_FOLDED if fold else _BYTE_CODE, _SPAN_WEIGHTS[which]
+    out, at = np.empty(len(starts), dtype=np.uint64), 0
     with np.errstate(over="ignore"):
         while at < len(starts):
             lo = int(starts[at])
             to = max(int(np.searchsorted(ends, lo + BLOCK, side="right")), at + 1)
-            hi = int(ends[to - 1])
-            up, down = _byte_powers.get(hi - lo + 1)
-            total = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum(code[buf[lo:hi]] * up[: hi - lo], out=total[1:])
-            s, e = starts[at:to] - lo, ends[at:to] - lo
-            out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+            hi = min(int(ends[to - 1]), lo + max(BLOCK, WEIGHED))  # a longer span is hashed below
+            s, e = starts[at:to] - lo, np.minimum(ends[at:to], hi) - lo
+            place = np.arange(hi - lo) - np.repeat(s, np.diff(np.append(s, hi - lo)))
+            value = code[buf[lo:hi]] * weight.take(place, mode="clip")
+            edges = np.empty(2 * len(s), dtype=np.int64)
+            edges[0::2], edges[1::2] = s, e
+            out[at:to] = np.add.reduceat(value, edges[:-1])[0::2]
             at = to
-    return mix(out)
+    out = mix(out)
+    for k in np.flatnonzero(ends - starts > WEIGHED).tolist():
+        data = buf[starts[k] : ends[k]]
+        digest = hashlib.blake2b((_FOLD[data] if fold else data).tobytes(), digest_size=16).digest()
+        out[k] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+    return out
 
 
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive word hashes; the caller drops runs that cross documents."""
-    m = len(words) - n + 1
+def window_hashes(words: np.ndarray, n: int, at: np.ndarray | None = None, which: int = 0) -> np.ndarray:
+    """Hash of each run of ``n`` consecutive word hashes, or of those that start at ``at``; the caller drops runs that cross documents. Independent weights, as for spans."""
+    m = len(words) - n + 1 if at is None else len(at)
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.empty(m, dtype=np.uint64)
+    weight, out = _weights(3 + which, n), np.empty(m, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, m, BLOCK):
-            to = min(m, at + BLOCK)
-            w = words[at : to + n - 1]
-            up, down = _word_powers.get(len(w) + 1)
-            total = np.zeros(len(w) + 1, dtype=np.uint64)
-            np.cumsum(w * up[: len(w)], out=total[1:])
-            out[at:to] = (total[n:] - total[: len(w) - n + 1]) * down[: to - at]
+        for lo in range(0, m, BLOCK):
+            hi, total = min(m, lo + BLOCK), np.zeros(min(m, lo + BLOCK) - lo, dtype=np.uint64)
+            for k in range(n):
+                total += (words[lo + k : hi + k] if at is None else words[at[lo:hi] + k]) * weight[k]
+            out[lo:hi] = total
     return mix(out)
 
 
@@ -174,10 +168,12 @@ def unpack_texts(column: pa.Array, sizes: pa.Array) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. Only where that is unset (tests, one machine), a local one is set."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a local one serves a local master (tests, one machine); a cluster without it is an error, as its machines share no local folder."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -211,3 +207,21 @@ def documents_per_batch(spark: SparkSession) -> None:
 def partitions_for(df, floor: int = 1) -> int:
     """Shuffle partitions of the session, as a lower bound for explicit repartitions."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of one key that a task gets at most, in a spread join of rows without texts.
+SPREAD_ROWS = 1000
+
+
+def spread_limit(total: int, rows: int = SPREAD_ROWS) -> int:
+    """Rows from which a key counts as hot among ``total`` rows: at most 50,000 keys can be, so a table of them may be broadcast."""
+    return max(rows, total // 50_000)
+
+
+def spread_join(rows: DataFrame, low: DataFrame, key: str, limit: int) -> DataFrame:
+    """Inner join of ``rows`` with ``low``, which has one row for each key with its number ``n`` of rows. Keys of more than ``limit`` rows (see ``spread_limit``) are dealt in parts, so no task gets all rows of one key."""
+    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    hot = low.where(F.col("n") > limit).select(key, parts.alias("_parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts").join(dealt, [key, "_salt"]).drop("_salt")

@@ -10,6 +10,7 @@ A task writes under a name of its own attempt and renames at the end, so a lost
 half shard behind; a retried task writes the same bytes again.
 
 Defined cases: null text is encoded as the empty text and has only the end id; null ids sort first;
+rows with the same id, or without one, are ordered by a hash of their text and may lie in several shards;
 repeated rows are encoded as often as they stand in the table; an empty table gives no shards and no
 rows; columns other than id and text are not read.
 """
@@ -35,19 +36,23 @@ from heddle.llm.textcore import documents_per_batch, partitions_for, shared_fold
 SEQUENCE = 2048
 #: Sequences of one record batch.
 ROWS = 512
+#: Bytes of text of one shard, at most about; there are as many shards as the session has shuffle partitions, or more.
+SHARD_BYTES = 256 << 20
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+_FLAGS = np.zeros(256, dtype=np.uint8)
+_LETTER, _MARK, _TICK = 1, 2, 4
+for _c in range(33, 127):
+    _FLAGS[_c] = _LETTER if chr(_c).isalnum() else _MARK | (_TICK if chr(_c) == "'" else 0)
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file whose pre-tokenizer drops white space and parts letters from marks, so that such pieces can be encoded on their own.
+    """Encodes texts with a tokenizers file whose pre-tokenizer drops white space and parts letters and digits from marks, so that such pieces can be encoded on their own.
 
-    A piece is cut at ASCII white space and between an ASCII mark and what stands before it, or an
-    ASCII letter after it, but not at an apostrophe (contractions) and not in a document that holds
-    ``<|`` (special tokens are matched as written).
+    A text is cut where no pre-token can cross and no normalisation can look across: at ASCII white space, between
+    an ASCII letter or digit and an ASCII mark behind it, and between an ASCII mark and an ASCII letter or
+    digit behind it, unless the mark is an apostrophe (contractions). A run without white space that holds
+    ``<|`` is not cut further (special tokens are matched as written), and nothing is cut beside a character above ASCII.
+    A piece of ASCII characters without ``<|`` is lower-cased, as the tokenizer would do.
     """
 
     def __init__(self, path: str):
@@ -63,17 +68,26 @@ class WordEncoder:
         buf, offs = utf8(texts)
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
-        plain = b"<|" not in buf.tobytes()
-        edges = offs
-        if plain:
-            mark, letter, tick = _MARK[buf], _LETTER[buf], buf == 39
-            cut = (mark[1:] & ~mark[:-1]) | (mark[:-1] & letter[1:] & ~tick[:-1])
-            edges = np.union1d(offs, np.flatnonzero(cut) + 1)
-        starts, ends, _ = spans(buf, edges)
-        ids, counts = self.cache.ids(buf, starts, ends, plain, lambda b: b.decode("utf-8"))
+        flags = _FLAGS[buf]
+        left, right = flags[:-1], flags[1:]
+        cut = ((left == _LETTER) & (right & _MARK > 0)) | ((left == _MARK) & (right == _LETTER))
+        special = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))
+        special = special[~np.isin(special + 1, offs)]
+        lo, hi, _ = spans(buf, offs)
+        whole = np.unique(np.searchsorted(lo, special, side="right") - 1)  # runs with a special token's start
+        for a, b in zip(lo[whole].tolist(), hi[whole].tolist(), strict=True):
+            cut[a : b - 1] = False
+        starts, ends, _ = spans(buf, np.union1d(offs, np.flatnonzero(cut) + 1))
+        edges = np.empty(2 * len(starts), dtype=np.int64)
+        edges[0::2], edges[1::2] = starts, ends
+        as_is = np.maximum.reduceat(buf, edges[:-1])[0::2] >= 128 if len(starts) else np.zeros(0, bool)
+        as_is[np.searchsorted(starts, special, side="right") - 1] = True
+        low = buf | (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
+        for k in np.flatnonzero(as_is).tolist():
+            low[starts[k] : ends[k]] = buf[starts[k] : ends[k]]
+        ids, counts = self.cache.ids(low, starts, ends)
         before = np.concatenate([[0], np.cumsum(counts)])
-        at = before[np.searchsorted(starts, offs)]
-        return ids, np.diff(at)
+        return ids, np.diff(before[np.searchsorted(starts, offs)])
 
 
 @lru_cache(maxsize=2)
@@ -175,7 +189,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield pa.record_batch([pa.array([k]), pa.array([n]), pa.array([writer.total])], names=["shard", "n_docs", "n_ids"])
 
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-    ordered = wide.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    # shards of about SHARD_BYTES of text; rows without an id, or with one that many rows have, are dealt further by a hash of their text
+    total = wide.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = wide.repartitionByRange(partitions_for(docs, -(-total // SHARD_BYTES)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = ordered.mapInArrow(shard, "shard long, n_docs long, n_ids long").collect()
     return sorted((r.shard, r.n_docs, r.n_ids) for r in done)
 
