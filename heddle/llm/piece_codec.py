@@ -5,13 +5,15 @@ format. ``build_tokenizer`` rebuilds the pipeline: the compiled normaliser map w
 white-space marker with its dummy prefix, the unigram scores (or, for a BPE model, the merges in
 order of the scores) and the byte fallback.
 
-``PieceCodec`` encodes whole texts. In front of the tokenizer stands a cut table computed from the
-vocabulary: between two characters that stand next to each other in no piece, no merge can ever
-join, so the text may be cut there and each distinct part is encoded once (``PieceCache``). Only BPE
-models are cut; a unigram model is encoded text by text. Batches go to the library as one call, which
-uses as many threads as TOKENIZERS_PARALLELISM and RAYON_NUM_THREADS allow.
-
-Defined cases: null is encoded as the empty text, which has no ids and decodes to the empty text.
+``PieceCodec`` hands whole texts to the library, a slice of a batch in one call, which uses as many
+threads as TOKENIZERS_PARALLELISM and RAYON_NUM_THREADS allow; decoding goes through the library's
+decoder in the same way. ``encode_pieces`` compares the ids of every row with those of the sentencepiece library
+and the decoded text with the original.
+
+Defined cases: null is encoded as the empty text, which has no ids and decodes to the empty text; a text that
+holds the marker U+2581 itself decodes to a space there, in either library, so its ``round_trip`` is false;
+repeated rows are encoded each by itself; null ids pass through; an empty table gives an empty result; columns other
+than id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -21,19 +23,21 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.piece_cache import PieceCache
-from heddle.llm.textcore import documents_per_batch, ragged, slices, utf8
+from heddle.llm.textcore import documents_per_batch, slices
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes of text handed to the library at once.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -101,8 +105,8 @@ def read_model(path: str) -> Model:
     return model
 
 
-def build_tokenizer(model: Model, prefix: bool = True):
-    """A tokenizers.Tokenizer equal to the model; ``prefix`` False leaves the dummy prefix to the caller."""
+def build_tokenizer(model: Model):
+    """A tokenizers.Tokenizer equal to the model."""
     from tokenizers import Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, p in enumerate(model.pieces)}
@@ -124,7 +128,7 @@ def build_tokenizer(model: Model, prefix: bool = True):
         from tokenizers import Regex
 
         steps += [normalizers.Strip(left=True, right=True), normalizers.Replace(Regex(" {2,}"), " ")]
-    if model.dummy_prefix and prefix:
+    if model.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if model.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
@@ -139,82 +143,21 @@ class PieceCodec:
 
     def __init__(self, path: str):
         self.model = read_model(path)
-        self.whole = build_tokenizer(self.model)
+        self.tokenizer = build_tokenizer(self.model)
         self.is_byte = np.array([k == BYTE for k in self.model.kinds])
-        self.cuts = self._cut_table() if self.model.kind == BPE and not self.model.charsmap and not self.model.squeeze_spaces and self.model.escape_spaces else None
-        if self.cuts is not None:
-            part = build_tokenizer(self.model, prefix=False)
-            self.cache = PieceCache(lambda pieces: [e.ids for e in part.encode_batch_fast(pieces, add_special_tokens=False)])
-        self._bytes_of = None
-
-    def _cut_table(self) -> np.ndarray:
-        """May a text be cut between these two bytes? All bytes from 0x80 on stand for any character above ASCII; a space stands for the marker."""
-        joined = np.zeros((256, 256), dtype=bool)
-        kind = lambda c: 32 if c in (MARK, " ") else min(ord(c), 128)
-        for piece, k in zip(self.model.pieces, self.model.kinds, strict=True):
-            if k in (NORMAL, USER_DEFINED):
-                for a, b in zip(piece, piece[1:], strict=False):
-                    joined[kind(a), kind(b)] = True
-        joined[129:], joined[:, 129:] = joined[128], joined[:, 128:129]
-        joined[128:, 128:] = True
-        return ~joined
-
-    def encode_arrays(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids one after another and their number per text, for texts as UTF-8 bytes and offsets."""
-        raw = buf.tobytes()
-        if self.cuts is None:
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            rows = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-            return np.array([i for r in rows for i in r], dtype=np.int32), np.array([len(r) for r in rows], dtype=np.int64)
-        if self.model.dummy_prefix and len(offs) > 1:  # a space in front of each text that is not empty
-            full = np.flatnonzero(np.diff(offs))
-            buf = np.insert(buf, offs[full], 32)
-            offs = offs + np.concatenate([[0], np.cumsum(np.diff(offs) > 0)])
-            raw = buf.tobytes()
-        if not len(buf):
-            return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
-        cut = self.cuts[buf[:-1], buf[1:]]
-        if MARK.encode() in raw:  # a marker in the text itself is three bytes above ASCII
-            sure = np.ones(len(cut), dtype=bool)
-            at = raw.find(MARK.encode())
-            while at >= 0:
-                sure[max(0, at - 1)] = False
-                if at + 2 < len(sure):
-                    sure[at + 2] = False
-                at = raw.find(MARK.encode(), at + 3)
-            cut &= sure
-        edges = np.union1d(offs, np.flatnonzero(cut) + 1)
-        starts, ends = edges[:-1], edges[1:]
-        ids, counts = self.cache.ids(buf, starts, ends, False, lambda b: b.decode("utf-8"))
-        before = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(before[np.searchsorted(edges, offs)])
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        ids, counts = self.encode_arrays(*utf8(pa.array(texts, pa.string())))
-        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
-
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of all pieces one after another, their starts and lengths."""
-        if self._bytes_of is None:
-            parts = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (UNKNOWN, CONTROL) else p.replace(MARK, " ").encode("utf-8") for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
-            n = np.array([len(p) for p in parts], dtype=np.int64)
-            self._bytes_of = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(n) - n, n
-        return self._bytes_of
-
-    def decode_arrays(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """UTF-8 bytes and offsets of the decoded texts; the bytes of byte pieces are joined as they come."""
-        data, at, n = self._tables()
-        sizes = n[ids]
-        out = data[ragged(at[ids], sizes)]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        offs = total[np.concatenate([[0], np.cumsum(counts)])]
-        if self.model.dummy_prefix and len(out):
-            first = offs[:-1][(np.diff(offs) > 0)]
-            first = first[out[first] == 32]
-            drop = np.zeros(len(offs), dtype=np.int64)
-            drop[np.searchsorted(offs, first, side="right")] = 1
-            out, offs = np.delete(out, first), offs - np.cumsum(drop)
-        return out, offs
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; the empty text has none."""
+        return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+
+def flat_ids(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one after another and their number per text."""
+    counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    return np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(counts.sum())), counts
 
 
 @lru_cache(maxsize=2)
@@ -223,42 +166,39 @@ def codec_of(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, check_share: float = 0.0) -> DataFrame:
+@lru_cache(maxsize=2)
+def reference_of(path: str):
+    """The other library's processor of a model file, to compare with."""
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, compare: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
-    One row per document row: doc_id, n_tokens, n_bytes_tokens, ids_crc32 (of the ids as little-endian
-    unsigned 32-bit integers), round_trip (the decoded bytes are the text's), parity (ids equal to the
-    sentencepiece library's; null where not compared) and, with ``keep_ids``, token_ids. ``check_share``
-    is the share of rows, chosen by hash of the text, that are compared with that library.
+    One row per document row: doc_id, n_tokens, n_byte_tokens, ids_crc32 (of the ids as little-endian
+    unsigned 32-bit integers), round_trip (the decoded text is the original), parity (ids equal to the
+    sentencepiece library's; null unless ``compare``) and, with ``keep_ids``, token_ids.
     """
     documents_per_batch(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, other = codec_of(model), None
-        for batch in slices(batches, "text", 2 << 20):
-            buf, offs = utf8(batch.column(1))
-            ids, counts = codec.encode_arrays(buf, offs)
-            back, back_offs = codec.decode_arrays(ids, counts)
-            raw, again, wide = buf.tobytes(), back.tobytes(), ids.astype("<u4").tobytes()
-            stop = np.cumsum(counts)
-            bytes_n = np.diff(np.searchsorted(np.flatnonzero(codec.is_byte[ids]), np.concatenate([[0], stop])))
-            crc, same, parity = [], [], []
-            for i, (a, b, n) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), counts.tolist(), strict=True)):
-                hi = int(stop[i])
-                crc.append(zlib.crc32(wide[4 * (hi - n) : 4 * hi]))
-                same.append(raw[a:b] == again[int(back_offs[i]) : int(back_offs[i + 1])])
-                if check_share and zlib.crc32(raw[a:b]) < check_share * (1 << 32):
-                    if other is None:
-                        from sentencepiece import SentencePieceProcessor
-
-                        other = SentencePieceProcessor(model_file=model)
-                    parity.append(other.encode(raw[a:b].decode("utf-8"), num_threads=1) == ids[hi - n : hi].tolist())
-                else:
-                    parity.append(None)
+        codec, other = codec_of(model), reference_of(model) if compare else None
+        for batch in slices(batches, "text", SLICE_BYTES):
+            texts = batch.column(1).fill_null("").to_pylist()
+            rows = codec.encode(texts)
+            ids, counts = flat_ids(rows)
+            same = [a == b for a, b in zip(texts, codec.decode(rows), strict=True)]
+            parity = [a == b for a, b in zip(rows, other.encode(texts, num_threads=1), strict=True)] if compare else [None] * len(rows)
+            stop = np.concatenate([[0], np.cumsum(counts)])
+            bytes_n = np.diff(np.searchsorted(np.flatnonzero(codec.is_byte[ids]), stop))
+            wide = ids.astype("<u4")
+            crc = [zlib.crc32(wide[a:b]) for a, b in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(counts), "n_byte_tokens": pa.array(bytes_n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_()), "parity": pa.array(parity, pa.bool_())}
             if keep_ids:
-                out["token_ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(ids, pa.int32()))
+                out["token_ids"] = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.record_batch(list(out.values()), names=list(out))
 
     kind = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean, parity boolean"

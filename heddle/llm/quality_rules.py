@@ -1,22 +1,28 @@
 """Quality rules: cheap counts, then tokeniser fertility.
 
-Counts are taken from all texts at once (word, line and 3-word-window hashes of a slice). The
+Counts are taken from all texts at once (word, line and 3-word-window hashes of a slice, 128 bits each). The
 fertility verdict encodes each whole text with a public vocabulary and measures characters of words
-per token, the share of byte-fallback tokens and the entropy of the text's tokens; a text is
-rejected when a figure leaves the band of its script. A text has the script of most of its letters.
+per token, the share of byte-fallback tokens and the entropy of the text's tokens. A text has the script of most
+of its letters, by Unicode's names of them; ties go to the script that stands first in ``SCRIPTS``.
+
+A text is rejected when a figure leaves the band of its script. A band has two parts, and both must hold: fixed limits
+(``BANDS``), and fences around the quartiles of all the given documents of that script that pass the base rule
+(``fences``), so a corpus sets its own bands as well. Quartiles do not move with a minority of junk. The least entropy is fixed and grows
+with the number of tokens.
 
 Latin text is measured with the given model, other scripts with a multilingual byte vocabulary, whose
-fallback tokens are those that end inside a character. The latin band stands just outside the 1/10,000
-quantiles of the given documents (README); the other scripts do not occur there, and their bands lie
-between a few sentences and random letters. The least entropy grows with the number of tokens.
+fallback tokens are those that end or start inside a character. The fixed latin band stands just outside the 1/10,000
+quantiles of the given documents (README); the other scripts do not occur there, and their fixed bands lie
+between a few sentences and random letters.
 
 Defined cases: null and empty texts have no words, fail the base rule and are not kept; repeated
-rows are judged each by itself; ids are passed through, null included; other columns are not read.
+rows are judged each by itself; an empty table gives an empty result; ids are passed through, null included; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.piece_codec import codec_of
-from heddle.llm.textcore import BLOCK, IS_WORD_BYTE, documents_per_batch, slices, span_hashes, spans, utf8, window_hashes
+from heddle.llm.piece_codec import codec_of, flat_ids
+from heddle.llm.textcore import BLOCK, IS_WORD_BYTE, documents_per_batch, materialize, slices, span_hashes, spans, utf8, window_hashes
 
 #: Bands by script: least and most word characters per token, most byte-fallback share, base of the least entropy in bits.
 BANDS = {
@@ -37,6 +43,10 @@ BANDS = {
     "other": (0.6, 4.0, 0.70, 3.0),
     "none": (0.5, 4.0, 0.30, 3.0),
 }
+#: Scripts told apart; those without a band of their own have that of "other".
+SCRIPTS = ["latin", "greek", "cyrillic", "arabic", "hebrew", "devanagari", "thai", "hangul", "kana", "han", "other", "none"]
+#: Fences stand this many interquartile ranges outside the quartiles, and at least this share of the median (or this much byte share) away from it.
+FENCE, LEAST_FENCE, LEAST_SHARE = 3.0, 0.2, 0.05
 #: Bits of least entropy for each doubling of the tokens, above the base; and as a share of the greatest possible entropy, which is what binds short texts.
 ENTROPY_STEP, ENTROPY_SHARE = 0.15, 0.6
 #: Fixed limits of the base rule.
@@ -62,14 +72,14 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     word_chars = _per_doc(IS_WORD_BYTE[buf] & ((buf & 0xC0) != 0x80), offs)
     n_symbols = _per_doc(_SYMBOL[buf], offs)
 
-    words = span_hashes(buf, starts, ends)
-    windows = window_hashes(words, 3)
+    words = [span_hashes(buf, starts, ends, which=k) for k in (0, 1)]
+    windows = [window_hashes(words[k], 3, which=k) for k in (0, 1)]
     owner = np.repeat(np.arange(docs), n_words)
     n_repeat = np.zeros(docs, dtype=np.int64)
-    if len(windows):
-        good = np.flatnonzero(owner[: len(windows)] == owner[2:])
-        twice = _repeated(windows[good], owner[good])
-        hit = np.zeros(len(words), dtype=bool)
+    if len(windows[0]):
+        good = np.flatnonzero(owner[: len(windows[0])] == owner[2:])
+        twice = pd.DataFrame({"o": owner[good], "h": windows[0][good], "g": windows[1][good]}).duplicated(keep=False).to_numpy()
+        hit = np.zeros(len(owner), dtype=bool)
         at = good[twice]
         for k in range(3):
             hit[at + k] = True
@@ -78,16 +88,11 @@ def base_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     line_starts, line_ends, _ = spans(buf, offs, _NOT_NEWLINE)
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
-    lines = pd.DataFrame({"d": np.searchsorted(offs, line_starts, side="right") - 1, "h": span_hashes(buf, line_starts, line_ends)})
+    lines = pd.DataFrame({"d": np.searchsorted(offs, line_starts, side="right") - 1, **{k: span_hashes(buf, line_starts, line_ends, which=k) for k in (0, 1)}})
     n_dup = np.bincount(lines["d"][lines.duplicated()], minlength=docs)
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat}
 
 
-def _repeated(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether (owner, hash) stands more than once."""
-    return pd.DataFrame({"h": h, "o": owner}).duplicated(keep=False).to_numpy()
-
-
 def token_figures(ids: np.ndarray, counts: np.ndarray, is_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte-fallback share and token entropy (bits) of each document."""
     docs = len(counts)
@@ -109,23 +114,26 @@ def token_figures(ids: np.ndarray, counts: np.ndarray, is_byte: np.ndarray) -> t
     return share, entropy
 
 
-def scripts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Script of most letters of each document, from the lead bytes of UTF-8: U+0080-024F is latin, U+0370-03FF greek, U+0400-052F cyrillic, all above other."""
-    low = buf | 32
-    counts = np.stack([
-        _per_doc(((low >= 97) & (low <= 122)) | ((buf >= 0xC3) & (buf <= 0xC9)), offs),
-        _per_doc((buf == 0xCD) | (buf == 0xCE) | (buf == 0xCF), offs),
-        _per_doc((buf >= 0xD0) & (buf <= 0xD4), offs),
-        _per_doc((buf >= 0xD5), offs),
-    ])
-    names = np.array(["latin", "greek", "cyrillic", "other", "none"])
-    return names[np.where(counts.sum(axis=0) == 0, 4, counts.argmax(axis=0))]
+@lru_cache(maxsize=1)
+def script_table() -> np.ndarray:
+    """Place in ``SCRIPTS`` of the script of each code point that is a letter, by its Unicode name; others have that of "none"."""
+    words = {"CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana"} | {k.upper(): k for k in SCRIPTS[:8]}
+    out = np.full(0x110000, SCRIPTS.index("none"), dtype=np.uint8)
+    for c in range(0x40000):
+        if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo"):
+            name = unicodedata.name(chr(c), "").replace("-", " ").split()
+            out[c] = SCRIPTS.index(next((words[w] for w in name if w in words), "other"))
+    return out
 
 
-def least_entropy(base: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Least entropy of texts with so many tokens."""
-    doublings = np.log2(np.maximum(counts, 1))
-    return np.minimum(ENTROPY_SHARE * doublings, base + ENTROPY_STEP * doublings)
+def scripts(texts: list[str], buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Script of most letters of each document. Only documents with a character above ASCII are looked up by code point."""
+    ascii_letters = _per_doc(((buf | 32) >= 97) & ((buf | 32) <= 122), offs)
+    out = np.where(ascii_letters > 0, "latin", "none").astype(object)
+    for i in np.flatnonzero(_per_doc(buf >= 128, offs)).tolist():
+        counts = np.bincount(script_table()[np.frombuffer(texts[i].encode("utf-32-le"), dtype=np.uint32)], minlength=len(SCRIPTS))[:-1]
+        out[i] = SCRIPTS[int(counts.argmax())] if counts.any() else "none"
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -142,8 +150,8 @@ def ranks_of(path: str) -> tuple:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), inside
 
 
-def quality_rules(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, tuple[float, float, float, float]] = BANDS, multi: str | None = None) -> DataFrame:
-    """One row per document row: doc_id, the base counts, base_failed, n_tokens, script, chars_per_token, byte_share, token_entropy, kept.
+def token_measures(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", multi: str | None = None) -> DataFrame:
+    """One row per document row: doc_id, the base counts, base_failed, n_tokens, script, chars_per_token, byte_share, token_entropy.
 
     ``multi`` is the ranks file for all scripts but latin (byte_bpe_multi_50k unless given); the token figures are of the vocabulary used.
     """
@@ -154,29 +162,51 @@ def quality_rules(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     documents_per_batch(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for batch in slices(batches, "text", 2 * BLOCK):
+        for batch in slices(batches, "text", BLOCK):
+            texts = batch.column(1).fill_null("").to_pylist()
             buf, offs = utf8(batch.column(1))
             c = base_counts(buf, offs)
-            ids, counts = codec.encode_arrays(buf, offs)
-            share, entropy = token_figures(ids, counts, codec.is_byte)
-            script = scripts(buf, offs)
-            foreign = np.flatnonzero(~np.isin(script, ["latin", "none"]))
-            if len(foreign):
+            script = scripts(texts, buf, offs)
+            home = np.isin(script, ["latin", "none"])
+            counts, share, entropy = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+            if home.any():
+                own = np.flatnonzero(home)
+                ids, counts[own] = flat_ids(codec.encode([texts[i] for i in own]))
+                share[own], entropy[own] = token_figures(ids, counts[own], codec.is_byte)
+            if not home.all():
+                own = np.flatnonzero(~home)
                 encoder, inside = ranks_of(multi)
-                raw = buf.tobytes()
-                rows = encoder.encode_ordinary_batch([raw[offs[i] : offs[i + 1]].decode("utf-8") for i in foreign], num_threads=1)
-                n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-                counts = counts.copy()
-                counts[foreign] = n
-                share[foreign], entropy[foreign] = token_figures(np.concatenate([np.array(r, dtype=np.int32) for r in rows]), n, inside)
-            ratio = c["word_chars"] / np.maximum(counts, 1)
-            least, most, share_most, entropy_least = np.array([bands[s] for s in script]).reshape(-1, 4).T
+                ids, counts[own] = flat_ids(encoder.encode_ordinary_batch([texts[i] for i in own], num_threads=1))
+                share[own], entropy[own] = token_figures(ids, counts[own], inside)
             failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
-            good = (ratio >= least) & (ratio <= most) & (share <= share_most) & (entropy >= least_entropy(entropy_least, counts))
-            out = {"doc_id": batch.column(0), **{k: pa.array(v, pa.int64()) for k, v in c.items()}, "base_failed": pa.array(failed), "kept": pa.array(~failed & good)}
-            out |= {"n_tokens": pa.array(counts), "script": pa.array(script.tolist(), pa.string()), "chars_per_token": pa.array(ratio), "byte_share": pa.array(share), "token_entropy": pa.array(entropy)}
+            out = {"doc_id": batch.column(0), **{k: pa.array(v, pa.int64()) for k, v in c.items()}, "base_failed": pa.array(failed)}
+            out |= {"n_tokens": pa.array(counts), "script": pa.array(script.tolist(), pa.string()), "chars_per_token": pa.array(c["word_chars"] / np.maximum(counts, 1)), "byte_share": pa.array(share), "token_entropy": pa.array(entropy)}
             yield pa.record_batch(list(out.values()), names=list(out))
 
-    return read.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, script string, chars_per_token double, byte_share double, token_entropy double")
+    return read.mapInArrow(measure, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, script string, chars_per_token double, byte_share double, token_entropy double")
+
+
+def fences(measures: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Least and most characters per token and most byte share of each script, from the quartiles of all its documents that pass the base rule. The driver gets one row per script."""
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c)
+    out = {}
+    for r in measures.where("NOT base_failed").groupBy("script").agg(quartiles("chars_per_token"), quartiles("byte_share")).collect():
+        (a, m, z), (b, n, y) = r.chars_per_token, r.byte_share
+        out[r.script] = (min(a - FENCE * (z - a), m * (1 - LEAST_FENCE)), max(z + FENCE * (z - a), m * (1 + LEAST_FENCE)), max(y + FENCE * (y - b), n + LEAST_SHARE))
+    return out
+
+
+def quality_rules(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, tuple[float, float, float, float]] = BANDS, multi: str | None = None) -> DataFrame:
+    """``token_measures`` of every document with ``kept``: it passes the base rule, and its token figures lie in the fixed ``bands`` and in the ``fences`` of its script. The measures are written to the shared folder once, as both need them."""
+    measures = materialize(token_measures(docs, model, id_col, text_col, multi), "measures")
+    own, good = fences(measures), F.lit(False)
+    doublings = F.log2(F.greatest("n_tokens", F.lit(1)))
+    for script in SCRIPTS:
+        least, most, share, base = bands.get(script, bands["other"])
+        low, high, part = own.get(script, (least, most, share))
+        inside = F.col("chars_per_token").between(max(least, low), min(most, high)) & (F.col("byte_share") <= min(share, part))
+        good = good | ((F.col("script") == script) & inside & (F.col("token_entropy") >= F.least(ENTROPY_SHARE * doublings, base + ENTROPY_STEP * doublings)))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return measures.select(*first, (~F.col("base_failed") & good).alias("kept"), "n_tokens", "script", "chars_per_token", "byte_share", "token_entropy")

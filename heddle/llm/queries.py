@@ -55,7 +55,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.piece_codec import encode_pieces
 
-    return encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), keep_ids=False, check_share=1.0)
+    return encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators for training text: defined edge cases, brute force, exact round trips."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,6 +62,66 @@ def test_spans_and_hashes_follow_the_words():
     assert all(len(x) == 1 for x in seen.values()) and len({min(x) for x in seen.values()}) == len(seen)
 
 
+def odd_texts(n, seed):
+    """Short strings of letters, digits, marks, typographic punctuation, symbols, combining marks, control characters and special tokens."""
+    r = random.Random(seed)
+    parts = [*"abcXYZ019.,!?<>|()-_#/'\"`~=+$%&*;:", *"“”—…€°«»🙂\u0301\u0308\u030a\u0338\u200b\x00\x1c\x85\u00a0\u2003\u3000éßΣσİıKﬁ中文क\u094d\u037e\u1fef½²٣▁", " ", "  ", "\t", "\n", "\x0b", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<s>", "<0x41>", "'s", "'S", "'ll", "don't", "hello", "World", "T\u0308", "ẘ"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two different words of 2**n letters whose polynomial hashes modulo a power of two are equal, whatever the multiplier."""
+    x = y = ""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_do_not_cancel():
+    from heddle.llm import textcore as T
+
+    for n in (5, 8, 10, 11, 12, 13):  # also spans beyond those that are weighed
+        pair = thue_morse(n)
+        buf, offs = T.utf8(pa.array([*pair, pair[0].upper()], pa.string()))
+        for which in (0, 1):
+            h = T.span_hashes(buf, offs[:-1], offs[1:], which=which)
+            assert len(set(h.tolist())) == 3
+            low = T.span_hashes(buf, offs[:-1], offs[1:], fold=True, which=which)
+            assert low[0] == low[2] != low[1]
+    words = np.array([1 << 63, 5], dtype=np.uint64)
+    x, y = ([int(c == "b") for c in w] for w in thue_morse(5))
+    assert T.window_hashes(words[x], 32)[0] != T.window_hashes(words[y], 32)[0]
+    all_at, some = T.window_hashes(np.arange(100, dtype=np.uint64), 7), np.array([3, 50, 93])
+    assert (T.window_hashes(np.arange(100, dtype=np.uint64), 7, some) == all_at[some]).all()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from heddle.llm.textcore import shared_folder
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": staticmethod(dict)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session, "x")
+    Session.sparkContext.master = "local[2]"
+    assert shared_folder(Session, "x").startswith("file:///tmp/checkpoints/x-")
+
+
+def test_spread_joins_lose_no_row(spark):
+    from heddle.llm.textcore import spread_join, spread_limit
+
+    rows = spark.range(5000).selectExpr("id AS v", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k").union(spark.sql("SELECT 1L, CAST(NULL AS BIGINT)"))
+    low = rows.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    out = spread_join(rows, low, "k", 100)
+    assert out.columns == ["k", "v", "n"] and out.count() == 5000 and out.where("k = 7").count() == 1668
+    assert spread_limit(10) == 1000 and spread_limit(10**9) == 20_000
+
+
 # 1 near-duplicates -------------------------------------------------------------------------------------
 
 
@@ -85,6 +146,21 @@ def brute_components(pairs, size, num, den):
     return {i: find(i) for i in ids}
 
 
+def test_equal_hashes_need_equal_words(spark):
+    from heddle.llm.near_dedup import near_duplicates
+    from heddle.llm.quality_rules import base_counts
+    from heddle.llm.substring_dedup import dedup_substrings
+    from heddle.llm.textcore import utf8
+
+    x, y = thue_morse(11)
+    texts = [(1, " ".join([x] * 3)), (2, " ".join([y] * 3)), (3, " ".join(f"{x} k{k}" for k in range(30))), (4, " ".join(f"{y} k{k}" for k in range(30)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.n_removed for r in dedup_substrings(df).collect()} == {0}
+    c = base_counts(*utf8(pa.array([f"{x}\n{y}\n{x}", f"{x} a b {y} a b {x} a b"])))
+    assert c["n_dup_lines"].tolist() == [1, 0] and c["n_repeat_words"].tolist() == [0, 6]
+
+
 @pytest.mark.parametrize(("size", "num", "den"), [(3, 85, 100), (5, 4, 5)])
 def test_near_duplicates_match_brute_force(spark, docs, size, num, den):
     from heddle.llm.near_dedup import near_duplicates
@@ -210,6 +286,61 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert TF.token_files(empty, path, 2).count() == 0
 
 
+def test_token_ids_equal_the_library_for_odd_texts():
+    from tokenizers import Tokenizer
+
+    from heddle.llm.token_files import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, w = Tokenizer.from_file(path), WordEncoder(path)
+    odd = odd_texts(20_000, 12) + ["He said “hello”. Then", "—(", '…"', "€$5", "5°.", "«a».", "🙂!", "\u200b.", "\x00.", "<", "|", "a<", "|b"] + [x for n in (5, 10, 11) for x in thue_morse(n)]
+    expected = [e.ids for e in t.encode_batch_fast(odd, add_special_tokens=False)]
+    ids, counts = w.encode(pa.array(odd, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    for x, y in zip(odd[:500], expected[:500], strict=True):  # alone, and beside a special token
+        assert w.encode(pa.array([x]))[0].tolist() == y
+        both, n = w.encode(pa.array(["<|endoftext|>", x, "<|"]))
+        assert both[n[0] : n[0] + n[1]].tolist() == y
+
+
+def test_piece_cache_is_emptied_and_compares(monkeypatch):
+    from heddle.llm import piece_cache as C
+    from heddle.llm.textcore import spans, utf8
+
+    calls = []
+
+    def encode(pieces):
+        calls.append(len(pieces))
+        return [[len(p), ord(p[0])] * (1 + len(p) % 2) for p in pieces]
+
+    def check(cache, words):
+        buf, offs = utf8(pa.array([" ".join(words)]))
+        ids, counts = cache.ids(buf, *spans(buf, offs)[:2])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == encode(words)
+
+    cache = C.PieceCache(encode, limit=50)
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        check(cache, ["w" * int(k % 5 + 1) + str(k) for k in rng.integers(0, 200, 30)])
+        assert len(cache.keys) <= 50
+    real = C.span_hashes
+    monkeypatch.setattr(C, "span_hashes", lambda b, s, e, which=0: real(b, s, e, which=1) if which else real(b, s, e) % np.uint64(3))
+    for _ in range(5):  # first hashes that agree
+        check(C.PieceCache(encode, limit=50), ["a", "bb", "ccc", "dd", "a", "ee", "f"])
+
+
+def test_shards_split_rows_without_or_with_one_id(spark):
+    from heddle.llm import token_files as TF
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, f"none {k}") for k in range(300)] + [(5, f"five {k}") for k in range(300)] + [(9, "nine")]
+    out = TF.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, 2).collect()
+    order = sorted(out, key=lambda r: r.start)
+    assert len(out) == 601 and [r.doc_id for r in order] == sorted([i for i, _ in rows], key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in order] == np.cumsum([0] + [r.n_tokens for r in order[:-1]]).tolist()
+    assert len({r.shard for r in out if r.doc_id is None}) > 1
+
+
 # 4 decontamination --------------------------------------------------------------------------------------
 
 
@@ -281,14 +412,15 @@ def test_piece_codec_equals_the_other_library(spark, docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     other = SentencePieceProcessor(model_file=path)
     codec = PieceCodec(path)
-    odd = [t for _, t in TEXTS] + ["  a  b ", "a▁ b ▁▁ c", "\n\n a\x00b", "don't...  ###***", "🙂🙂"]
+    odd = [t or "" for _, t in TEXTS] + ["  a  b ", "a▁ b ▁▁ c", "\n\n a\x00b", "don't...  ###***", "🙂🙂"] + odd_texts(4000, 11)
     got = codec.encode(odd)
-    assert got == [other.encode(t or "") for t in odd]
-    assert [codec.whole.encode(t, add_special_tokens=False).ids for t in odd if t] == [g for g, t in zip(got, odd, strict=True) if t]
-    out = encode_pieces(docs, path, check_share=1.0).collect()
+    assert got == other.encode(odd)
+    assert [d for d, t in zip(codec.decode(got), odd, strict=True) if "▁" not in t] == [t for t in odd if "▁" not in t]
+    out = encode_pieces(docs, path).collect()
     assert all(r.parity for r in out) and all(r.round_trip or r.doc_id == 13 for r in out)
     assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((i, len(other.encode(t or ""))) for i, t in TEXTS)
     assert encode_pieces(empty, path).count() == 0
+    assert {r.parity for r in encode_pieces(docs, path, compare=False).collect()} == {None}
 
 
 def test_every_document_is_compared(spark):

@@ -1,14 +1,24 @@
 """The fertility bands take decisions: garbage leaves them, nearly all given documents do not."""
 
 import base64
+import math
 import random
 import string
+import unicodedata
+from collections import Counter
 
 import public_tokenizers
 
 SF = "/root/testdata/sf0.01"
 
 
+def least_entropy(script, tokens):
+    from heddle.llm.quality_rules import BANDS
+
+    doublings = math.log2(max(tokens, 1))
+    return min(0.6 * doublings, BANDS.get(script, BANDS["other"])[3] + 0.15 * doublings)
+
+
 def rules(spark, texts):
     from heddle.llm.quality_rules import quality_rules
 
@@ -27,13 +37,9 @@ def test_garbage_is_rejected(spark):
 
 
 def test_short_texts_of_few_tokens_are_rejected(spark):
-    words = ["the", "and", "for", "one"]
     rng = random.Random(3)
-    from heddle.llm.quality_rules import least_entropy
-
-    assert least_entropy(3.4, 64) > 2 and least_entropy(3.4, 64) < least_entropy(3.4, 1000) < least_entropy(3.4, 100_000)
-    r = rules(spark, [" ".join(rng.choice(words) for _ in range(60))])[0]
-    assert r.n_tokens < 200 and r.token_entropy < least_entropy(3.4, r.n_tokens) and not r.kept
+    r = rules(spark, [" ".join(rng.choice(["the", "and", "for", "one"]) for _ in range(60))])[0]
+    assert r.n_tokens < 200 and r.token_entropy < least_entropy("latin", r.n_tokens) and not r.kept
 
 
 def test_documents_and_other_scripts_are_kept(spark):
@@ -44,4 +50,66 @@ def test_documents_and_other_scripts_are_kept(spark):
     russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность. Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах."
     korean = "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다. 어느 누구도 노예상태 또는 예속상태에 놓여지지 아니한다. 모든 형태의 노예제도와 노예매매는 금지된다. 어느 누구도 고문 또는 잔혹하거나 비인도적이거나 굴욕적인 처우 또는 형벌을 받지 아니한다. 모든 사람은 어디에서나 법 앞에 인간으로서 인정받을 권리를 가진다."
     out = rules(spark, [russian, korean])
-    assert [(r.script, r.base_failed, r.kept) for r in (out[0], out[1])] == [("cyrillic", False, True), ("other", False, True)]
+    assert [(r.script, r.base_failed, r.kept) for r in (out[0], out[1])] == [("cyrillic", False, True), ("hangul", False, True)]
+
+
+def brute_script(text):
+    known = {"LATIN": "latin", "GREEK": "greek", "CYRILLIC": "cyrillic", "ARABIC": "arabic", "HEBREW": "hebrew", "DEVANAGARI": "devanagari", "THAI": "thai", "HANGUL": "hangul", "HIRAGANA": "kana", "KATAKANA": "kana", "CJK": "han"}
+    found = Counter()
+    for c in text:
+        if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo"):
+            found[next((known[w] for w in unicodedata.name(c, "").replace("-", " ").split() if w in known), "other")] += 1
+    order = [*dict.fromkeys([*list(known.values())[:8], "kana", "han", "other"])]
+    return min(found, key=lambda k: (-found[k], order.index(k))) if found else "none"
+
+
+def quartiles(values):
+    """Values at the ranks that percentile_approx takes."""
+    v = sorted(values)
+    return [v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.5, 0.75)]
+
+
+def test_every_column_matches_brute_force(spark):
+    """Scripts by Unicode names, figures from the libraries' own encodings, fences from all rows, verdict from both parts of the band."""
+    import tiktoken
+    from sentencepiece import SentencePieceProcessor
+
+    from heddle.llm.quality_rules import BANDS
+
+    piece = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
+    multi = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    name = {v: k for k, v in ranks.items()}
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").orderBy("doc_id").collect()]
+    texts += [None, "", "“” — … 🙂 123", "Tiếng Việt có nhiều dấu “ngoặc” 🙂 " * 20, "日本語のテキストです。" * 8, "ÄÖ" * 3, "שלום עולם " * 30]
+    texts += [" ".join("".join(rng.choice(string.hexdigits) for _ in range(7)) for _ in range(90)), "Ð’ÑÐµ Ð»ÑŽÐ´Ð¸ Ñ€Ð¾Ð¶Ð´Ð°ÑŽÑ‚ÑÑ " * 30]
+    out, figures = rules(spark, texts), {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        script, r = brute_script(t), out[i]
+        if script in ("latin", "none"):
+            ids = piece.encode(t)
+            bad = sum(piece.is_byte(k) for k in ids)
+        else:
+            ids = multi.encode_ordinary(t)
+            bad = sum("\ufffd" in name[k].decode("utf-8", "replace") for k in ids)
+        counts, n = Counter(ids), max(len(ids), 1)
+        entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+        figures[i] = script, r.word_chars / n, bad / n, entropy, len(ids)
+        assert (r.script, r.n_tokens) == (script, len(ids))
+        assert math.isclose(r.chars_per_token, r.word_chars / n) and math.isclose(r.byte_share, bad / n) and math.isclose(r.token_entropy, entropy, abs_tol=1e-9)
+    rejected = 0
+    for script in {f[0] for f in figures.values()}:
+        base = [f for i, f in figures.items() if f[0] == script and not out[i].base_failed]
+        least, most, share, _ = BANDS.get(script, BANDS["other"])
+        if base:
+            (a, m, z), (b, n, y) = quartiles([f[1] for f in base]), quartiles([f[2] for f in base])
+            least, most, share = max(least, min(a - 3 * (z - a), 0.8 * m)), min(most, max(z + 3 * (z - a), 1.2 * m)), min(share, max(y + 3 * (y - b), n + 0.05))
+        for i, f in figures.items():
+            if f[0] == script:
+                good = least <= f[1] <= most and f[2] <= share and f[3] >= least_entropy(script, f[4])
+                assert out[i].kept == (good and not out[i].base_failed), i
+                rejected += not out[i].base_failed and not out[i].kept
+    assert rejected >= 1 and not out[len(texts) - 2].kept and not out[len(texts) - 1].kept
