@@ -1,10 +1,10 @@
 """Main text of web pages by a tree-structured graphical model.
 
-A page is parsed into its tree of block elements (inline elements belong to the block around them). Each
-block is content or not. The model multiplies a unary potential per block (its tag with its link
-share, the words of its class, id and role, and its amount of text) with a pairwise potential per parent and child;
+A page is parsed into its tree of block elements (all others, known or not, belong to the block around them). Each
+block is content, the rest, or a frame that holds both (the page itself and its body). The model multiplies a unary potential per block (its kind of tag with its link
+share, the words of its class, id and role, its amount of text, and its share of the page's text) with a pairwise potential per parent and child;
 sum-product messages, upward from the leaves and downward from the root, give each block's exact marginal. Blocks
-whose marginal exceeds one half keep their own text.
+that are content or a frame with a probability above one half keep their own text.
 
 The potentials are maximum-likelihood counts from labelled pages: pairs of parent and child labels and
 features given the label, smoothed. ``labelled_pages`` writes such pages from a grammar of common page
@@ -12,12 +12,14 @@ layouts, with the label of each block in an attribute that the parser hides from
 labelled pages in that form can be given to ``train``.
 
 Inside a block white space becomes one space, line breaks included; blocks are joined by one newline.
-Text on both sides of an inner block is two blocks. Scripts, styles, comments, titles, templates and frames
-never have text.
+Text on both sides of an inner block is two blocks. Only scripts, styles, comments, titles, templates, frames and the
+controls of forms never have text; formulas and drawings are text of their block like any other element.
 
 Defined cases: null and empty html give an empty text; unclosed and unmatched tags are repaired as browsers
-do for paragraphs, items and cells, other end tags without a start are dropped; a cut-off tag or comment at the
-end of the page is dropped; repeated rows are judged each by itself; null ids and urls pass through.
+do for paragraphs, items and cells, other end tags without a start are dropped; attributes are read as browsers do, so
+a quote inside an unquoted value belongs to it and an open one reaches to the next of its kind; a cut-off tag or comment at the
+end of the page is dropped; repeated rows are judged each by itself; null ids and urls pass through; an empty table
+gives an empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,21 +39,26 @@ from pyspark.sql import functions as F
 
 from heddle.llm.textcore import documents_per_batch, slices
 
-#: Fixed values of HTML.
+#: Fixed values of HTML: elements without an end, elements that are blocks, elements without text, elements whose inside is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style noscript template title iframe object svg math head textarea select canvas audio video".split())
-RAW = frozenset("script style textarea title".split())
-#: Elements that neither begin nor end a block.
-FLOW = INLINE | (SILENT - {"head"})
-#: An opening tag closes an open element of these names (up to the barrier).
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
-BARRIER = frozenset("ul ol table dl select body html article section div main".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+SILENT = frozenset("script style noscript template title iframe head textarea select option datalist button".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: An opening tag closes an open element of these names (up to the barrier); those of other blocks close a paragraph.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
+BARRIER = frozenset("ul ol table dl select body html article section div main button".split())
+#: Tags that the model takes as one kind.
+KINDS = {**{f"h{i}": "h" for i in range(1, 7)}, "summary": "h", "dt": "li", "dd": "li", "dl": "ul", "ol": "ul", "dir": "ul", "menu": "ul", "details": "div", "center": "div", "dialog": "div", "fieldset": "form", "legend": "form", "search": "form", "th": "td", "tbody": "table", "thead": "table", "tfoot": "table", "caption": "figcaption"}
 #: Attribute with the label of a block in labelled pages.
 LABEL = "data-label"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A comment, a declaration, or a tag with its attributes: names, each perhaps with a quoted or unquoted value.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)|\Z))?+)*+)(>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+", re.S)
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
@@ -76,7 +83,7 @@ class Page:
 def parse(html: str) -> Page:
     """Blocks in page order (a parent precedes its children) and the runs of text with their blocks."""
     page = Page([Block("#root", -1)])
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the block they stand in
+    stack: list[tuple[str, int, list[str]]] = [("#root", 0, [])]  # open elements with the block they stand in and the words of those that are none
     parts: list[str] = []
     at = links = silent = 0
 
@@ -100,8 +107,8 @@ def parse(html: str) -> Page:
     def close(to: int) -> None:
         nonlocal links, silent
         while len(stack) > to:
-            name, _ = stack[-1]
-            if name not in FLOW:
+            name = stack[-1][0]
+            if name in BLOCKS:
                 flush()
             stack.pop()
             links -= name == "a"
@@ -116,7 +123,7 @@ def parse(html: str) -> Page:
         add(html[at : m.start()])
         at = m.end()
         name = m[2]
-        if name is None or (at == n and html[-1] != ">"):
+        if name is None or not m[4]:
             continue
         name = name.lower()
         if m[1]:
@@ -135,28 +142,29 @@ def parse(html: str) -> Page:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        inline = name in FLOW
-        if not inline:
+        words, label = [], None
+        for a in _ATTR.finditer(m[3]):
+            key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if key == LABEL:
+                label = int(value)
+            elif key in ("class", "id", "role"):
+                words += [w.lower() for w in _PART.findall(value)]
+        if name in BLOCKS:
             flush()
-            names = CLOSES.get(name, ()) if name in CLOSES else ("p",)
+            names = CLOSES.get(name, ("p",))
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in names:
                     close(k)
                     break
                 if stack[k][0] in BARRIER and name != "body":
                     break
-        if inline:
-            stack.append((name, stack[-1][1]))
-        else:
-            words, label = [], None
-            for a in _ATTR.finditer(m[3]):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == LABEL:
-                    label = int(value)
-                else:
-                    words += [w.lower() for w in _PART.findall(value)]
-            page.blocks.append(Block(name, stack[-1][1], tuple(sorted(set(words))), label))
-            stack.append((name, len(page.blocks) - 1))
+            if name in ("header", "footer"):
+                words.append(f"{name}-of-{next((e for e, *_ in reversed(stack) if e in ('article', 'main', 'section')), 'body')}")
+            page.blocks.append(Block(name, stack[-1][1], tuple(sorted({*words, *stack[-1][2]})), label))
+            stack.append((name, len(page.blocks) - 1, []))
+        else:  # the names of such an element count for the blocks inside it
+            words += name.split("-") if "-" in name else []
+            stack.append((name, stack[-1][1], [*stack[-1][2], *words] if words else stack[-1][2]))
         links += name == "a"
         silent += name in SILENT
     close(1)
@@ -170,10 +178,16 @@ def parse(html: str) -> Page:
     return page
 
 
-def features(block: Block) -> tuple:
-    """Tag together with the link share of the text in and below the block, attribute words, amount of own text; numbers in steps."""
+def features(block: Block, total: int) -> tuple:
+    """Kind of tag together with the link share of the text in and below the block, attribute words, amount of own text, share of the page's text outside links (``total``); numbers in steps."""
     share = block.below_linked / block.below if block.below else 0
-    return (block.tag, min(3, int(4 * share))), block.words, 0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5))
+    own = block.below - block.below_linked
+    part = 0 if own <= 0 else 1 + (10 * own > total) + (2 * own > total)
+    return (KINDS.get(block.tag, block.tag), min(3, int(4 * share))), block.words, 0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5)), part
+
+
+#: Labels of blocks: not content, content, frame.
+REST, CONTENT, FRAME = LABELS = range(3)
 
 
 class TreeModel:
@@ -184,12 +198,12 @@ class TreeModel:
     UNARY = 0.9
 
     def __init__(self, pages: Iterable[Page]):
-        pairs = [[self.SMOOTHING] * 2 for _ in range(2)]
-        self.counts = [defaultdict(Counter), defaultdict(Counter)]
-        self.blocks = [0, 0]
+        pairs = [[self.SMOOTHING for _ in LABELS] for _ in LABELS]
+        self.counts = [defaultdict(Counter) for _ in LABELS]  # by label and feature: 0 kind, 1 words, 2 own text, 3 part
+        self.blocks = [0 for _ in LABELS]
         vocabulary: dict[int, set] = defaultdict(set)
         for page in pages:
-            labels = [1 if b.label is None and b.parent < 0 else b.label for b in page.blocks]
+            labels = [FRAME if b.label is None and b.parent < 0 else b.label for b in page.blocks]
             for i, b in enumerate(page.blocks):
                 if labels[i] is None:
                     labels[i] = labels[b.parent]
@@ -197,8 +211,8 @@ class TreeModel:
                 if b.parent >= 0:
                     pairs[labels[b.parent]][y] += 1
                 self.blocks[y] += 1
-                kind, words, size = features(b)
-                for k, v in ((0, kind), (2, size)):
+                kind, words, size, part = features(b, page.blocks[0].below - page.blocks[0].below_linked)
+                for k, v in ((0, kind), (2, size), (3, part)):
                     self.counts[y][k][v] += 1
                     vocabulary[k].add(v)
                 for w in words:
@@ -207,49 +221,47 @@ class TreeModel:
         self.pair = [[p / sum(row) for p in row] for row in pairs]
         self.unary = lru_cache(maxsize=20_000)(self._unary)
 
-    def _unary(self, key: tuple) -> tuple[float, float]:
-        """Potentials of (not content, content), the larger one being 1."""
-        kind, words, size = key
+    def _unary(self, key: tuple) -> tuple[float, ...]:
+        """Potentials of the labels, the largest one being 1."""
+        kind, words, size, part = key
         logs = []
-        for y in (0, 1):
+        mean = sum(self.blocks) / len(LABELS)
+        for y in LABELS:
             total = self.blocks[y]
-            v = sum(math.log((self.counts[y][k][x] + self.SMOOTHING) / (total + self.SMOOTHING * self.sizes[k])) for k, x in ((0, kind), (2, size)))
+            some = self.SMOOTHING * total / mean  # in proportion, so that what no page has shown speaks for no label
+            v = sum(math.log((self.counts[y][k][x] + some) / (total + some * self.sizes[k])) for k, x in ((0, kind), (2, size), (3, part)))
             for w in words:
-                if self.counts[0][1][w] or self.counts[1][1][w]:
-                    v += math.log((self.counts[y][1][w] + self.SMOOTHING) / (total + 2 * self.SMOOTHING))
+                if any(self.counts[z][1][w] for z in LABELS):
+                    v += math.log((self.counts[y][1][w] + some) / (total + 2 * some))
             logs.append(self.UNARY * v)
         top = max(logs)
-        return math.exp(logs[0] - top), math.exp(logs[1] - top)
-
-    def marginals(self, blocks: list[Block]) -> list[float]:
-        """Probability of each block to be content."""
-        n = len(blocks)
-        belief = [list(self.unary(features(b))) for b in blocks]  # unary times messages from the children
-        belief[0] = [0.0, 1.0]  # the page as a whole holds the content
-        up: list[tuple[float, float]] = [(1.0, 1.0)] * n
-        (p00, p01), (p10, p11) = self.pair
+        return tuple(math.exp(v - top) for v in logs)
+
+    def marginals(self, blocks: list[Block]) -> list[tuple[float, ...]]:
+        """Probabilities of the labels of each block. The page as a whole is a frame."""
+        n, total = len(blocks), blocks[0].below - blocks[0].below_linked
+        belief = [list(self.unary(features(b, total))) for b in blocks]  # unary times messages from the children
+        belief[0] = [float(y == FRAME) for y in LABELS]
+        up: list[list[float]] = [[1.0] * len(LABELS)] * n
+        pair, back = self.pair, list(zip(*self.pair, strict=True))
         for i in range(n - 1, 0, -1):
-            b0, b1 = belief[i]
-            m0, m1 = p00 * b0 + p01 * b1, p10 * b0 + p11 * b1
-            s = m0 + m1
-            up[i] = m0, m1 = m0 / s, m1 / s
-            parent = belief[blocks[i].parent]
-            parent[0] *= m0
-            parent[1] *= m1
-            s = parent[0] + parent[1]
-            parent[0] /= s
-            parent[1] /= s
-        out = [1.0] * n
+            b = belief[i]
+            m = [p[0] * b[0] + p[1] * b[1] + p[2] * b[2] for p in pair]
+            s = sum(m)
+            up[i] = m = [v / s for v in m]
+            above = blocks[i].parent
+            v = [x * y for x, y in zip(belief[above], m, strict=True)]
+            s = sum(v)
+            belief[above] = [x / s for x in v]
+        out = [tuple(belief[0])] * n
         for i in range(1, n):
-            parent = blocks[i].parent
-            q1 = out[parent]
-            m0, m1 = up[i]
-            q0, q1 = (1 - q1) / max(m0, 1e-300), q1 / max(m1, 1e-300)  # the parent's belief without this child's message
-            s = q0 + q1
-            q0, q1 = q0 / s, q1 / s
-            b0, b1 = belief[i]
-            d0, d1 = b0 * (q0 * p00 + q1 * p10), b1 * (q0 * p01 + q1 * p11)
-            out[i] = d1 / (d0 + d1)
+            # the parent's belief without this child's message, carried down
+            q = [x / max(y, 1e-300) for x, y in zip(out[blocks[i].parent], up[i], strict=True)]
+            s = sum(q)
+            q = [v / s for v in q]
+            d = [x * (p[0] * q[0] + p[1] * q[1] + p[2] * q[2]) for x, p in zip(belief[i], back, strict=True)]
+            s = sum(d)
+            out[i] = tuple(v / s for v in d)
         return out
 
 
@@ -262,62 +274,93 @@ def extract(html: str | None, model: TreeModel) -> str:
     if not page.runs:
         return ""
     p = model.marginals(page.blocks)
-    return "\n".join(text for block, text in page.runs if p[block] > 0.5)
+    return "\n".join(text for block, text in page.runs if p[block][REST] < 0.5)
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
-    """Pages from a grammar of common layouts; 1 marks content, 0 the rest."""
+def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[str]:
+    """Generated pages of common layouts; 1 marks content, 2 a frame, 0 the rest. A third have no semantic elements, and names that say nothing stand on both labels."""
     r = random.Random(seed)
-    word = lambda: "".join(r.choice("aeioubdgklmnprst") for _ in range(r.randint(1, 9)))
-    text = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi))).capitalize() + r.choice(["", ".", ".", "!"])
+    pool = ["".join(r.choices("aeioubdgklmnprst", k=r.randint(1, 9))) for _ in range(500)]
+    word = lambda: r.choice(pool)
+    text = lambda lo, hi: " ".join(r.choices(pool, k=r.randint(lo, hi))).capitalize() + r.choice(["", ".", ".", "!"])
     link = lambda: f'<a href="/{word()}">{text(1, 3)}</a>'
+    neutral = ["row", "col", "box", "block", "inner", "text", "wrap", "clearfix", "item", "c", "el", "css", "x"]
+    plain = False  # the page has no semantic elements
 
-    def tag(name: str, label: int, inner: str, words: list[str] = ()) -> str:
-        kind = r.choice(words) if words and r.random() < 0.85 else ""
+    def tag(name: str, label: int, inner: str, words: list[str] = (), named: float = 0.85) -> str:
+        if plain and name in ("nav", "header", "footer", "aside", "main", "article", "section", "figure"):
+            name = "div"
+        kind = r.choice(words) if words and r.random() < named else f"{r.choice(neutral)}{r.choice(['', '', '-1', str(r.randint(2, 99))])}" if r.random() < 0.15 else ""
         attribute = f' {r.choice(["class", "class", "id"])}="{kind}"' if kind else ""
         return f'<{name} {LABEL}="{label}"{attribute}>{inner}</{name}>'
 
     def menu(words: list[str], name: str = "nav") -> str:
         items = "".join(tag("li", 0, link()) for _ in range(r.randint(2, 9)))
-        return tag(name, 0, r.choice([tag("ul", 0, items), "".join(link() for _ in range(r.randint(2, 6))), tag("h2", 0, text(1, 2)) + tag("ul", 0, items)]), words)
+        links = "".join(link() + r.choice(["", " "]) for _ in range(r.randint(1, 6)))
+        boxes = "".join(tag("div", 0, link()) for _ in range(r.randint(1, 6)))
+        return tag(name, 0, r.choice([tag("ul", 0, items), links, boxes, tag("h2", 0, text(1, 2)) + tag("ul", 0, items)]), words, 0.6)
 
     def note(name: str, words: list[str], lo: int = 2, hi: int = 25) -> str:
         line = text(lo, hi)
-        inner = r.choice([line, tag("p", 0, line), tag("p", 0, f"{line} {link()}"), tag("span", 0, line) + tag("button", 0, text(1, 2)), tag("div", 0, line)])
-        return tag(name, 0, inner, words)
+        inner = r.choice([line, tag("p", 0, line), tag("p", 0, f"{line} {link()}"), f"<span>{line}</span><button>{text(1, 2)}</button>", tag("div", 0, line)])
+        return tag(name, 0, inner, words, 1.0 if plain or name == "div" else 0.85)
 
     def comments() -> str:
         one = lambda: tag(r.choice(["li", "div", "article"]), 0, tag(r.choice(["p", "div"]), 0, text(3, 40)) + r.choice(["", tag("footer", 0, text(1, 3)), tag("div", 0, text(1, 3), ["author", "meta"])]), ["comment", "reply", "comment-body"])
-        inner = tag(r.choice(["h2", "h3"]), 0, text(1, 3)) + "".join(one() for _ in range(r.randint(1, 5)))
-        return tag(r.choice(["section", "div", "ol", "aside"]), 0, inner, ["comments", "comment-list", "reader-comments", "responses", "discussion"])
+        inner = r.choice(["", tag(r.choice(["h2", "h3", "h4"]), 0, text(1, 3))]) + "".join(one() for _ in range(r.randint(1, 5)))
+        return tag(r.choice(["section", "div", "div", "ol", "aside"]), 0, inner, ["comments", "comment-list", "reader-comments", "responses", "discussion", "disqus_thread", "fb-comments", "utterances", "giscus", "respond"], 1.0)
 
     def form() -> str:
-        return tag("form", 0, r.choice(["", tag("label", 0, text(1, 3))]) + '<input name="q">' + tag("button", 0, text(1, 2)) + r.choice(["", tag("p", 0, text(3, 12))]), ["search", "newsletter", "subscribe", "login"])
+        return tag("form", 0, r.choice(["", f"<label>{text(1, 3)}</label>"]) + f'<input name="q"><button>{text(1, 2)}</button>' + r.choice(["", tag("p", 0, text(3, 12))]), ["search", "newsletter", "subscribe", "login"])
+
+    def byline() -> str:
+        return tag(r.choice(["p", "div", "address"]), 1, text(1, 6), ["byline", "author", "dateline", "published", "meta", "date"], 0.7)
 
     def body() -> str:
-        out = [tag(r.choice(["h1", "h1", "h2"]), 1, text(2, 12), ["title", "headline"] if r.random() < 0.3 else [])] if r.random() < 0.95 else []
+        title = tag(r.choice(["h1", "h1", "h2"]), 1, text(2, 12), ["title", "headline"] if r.random() < 0.3 else [])
+        out = [r.choices([title, title + byline(), tag("header", 1, title + r.choice(["", byline()]), ["entry-header", "post-header"], 0.4), ""], [10, 3, 3, 1])[0]]
+        part = "div" if plain and r.random() < 0.7 else "p"
         for _ in range(r.randint(1, 14)):
             line = r.choice([text(1, 4), text(5, 40), text(30, 120), f"{text(3, 20)} {link()} {text(3, 20)}", f"<b>{text(2, 40)}"])
-            out.append(r.choices([lambda v: tag("p", 1, v), lambda v: f'<p {LABEL}="1">{v}<br>', lambda v: tag("div", 1, v), lambda v: tag(r.choice(["h2", "h3", "h4"]), 1, text(1, 8)), lambda v: tag(r.choice(["ul", "ol"]), 1, "".join(tag("li", 1, text(1, 15)) for _ in range(r.randint(1, 5)))), lambda v: tag("blockquote", 1, tag("p", 1, v)), lambda v: tag("pre", 1, v), lambda v: tag("figure", 1, tag("figcaption", 1, text(2, 10))), lambda v: tag("table", 1, tag("tr", 1, tag("th", 1, text(1, 2)) + tag("td", 1, text(1, 5)))), lambda v: tag("section", 1, tag("h2", 1, text(1, 5)) + tag("p", 1, v))], [12, 4, 1, 2, 1, 1, 0.4, 0.4, 0.4, 0.8])[0](line))
-            if r.random() < 0.05:
-                out.append(r.choice([note("div", ["ad", "ads", "advert", "sponsored", "promo", "banner"]), note("aside", ["related", "pullout", ""]), menu(["related", "share", "social"], "div")]))
+            items = lambda lo=1: "".join(tag("li", 1, text(lo, 15)) for _ in range(r.randint(1, 5)))
+            out.append(r.choices([
+                lambda v: tag(part, 1, v),
+                lambda v: f'<p {LABEL}="1">{v}<br>',
+                lambda v: tag("div", 1, v),
+                lambda v: tag(r.choice(["h2", "h3", "h4", "h5", "h6"]), 1, text(1, 8)),
+                lambda v: tag(r.choice(["ul", "ol"]), 1, items()),
+                lambda v: tag("dl", 1, "".join(tag("dt", 1, text(1, 4)) + tag("dd", 1, text(2, 25)) for _ in range(r.randint(1, 5)))),
+                lambda v: tag("details", 1, tag("summary", 1, text(1, 6)) + tag("p", 1, v)),
+                lambda v: tag("blockquote", 1, r.choice([v, tag("p", 1, v)])),
+                lambda v: tag("pre", 1, v),
+                lambda v: tag("figure", 1, tag("figcaption", 1, text(2, 10))),
+                lambda v: tag("table", 1, "".join(tag("tr", 1, tag("th", 1, text(1, 2)) + tag("td", 1, text(1, 5))) for _ in range(r.randint(1, 4)))),
+                lambda v: tag("section", 1, tag("h2", 1, text(1, 5)) + tag("p", 1, v)),
+                lambda v: tag("p", 1, link()),
+            ], [12, 4, 1, 2.5, 1, 0.7, 0.5, 1, 0.4, 0.4, 0.4, 0.8, 0.3])[0](line))
+            if r.random() < 0.1:
+                out.append(r.choice([note("div", ["ad", "ads", "advert", "sponsored", "promo", "banner"]), note("aside", ["related", "pullout", ""]), menu(["related", "share", "social", "tags"], "div"), form()]))
+        if r.random() < 0.1:
+            out.append(note("footer", ["entry-footer", "post-footer"], 2, 8) if not plain else "")
         return "".join(out)
 
     for _ in range(n):
-        main = r.choices([lambda v: tag("article", 1, v, ["post", "article", "entry"] if r.random() < 0.4 else []), lambda v: tag("main", 1, v), lambda v: tag("main", 1, tag("article", 1, v)), lambda v: tag("div", 1, v, ["content", "main-content", "article-body", "post", "story", "entry-content"]), lambda v: tag("section", 1, v, ["content", "article"])], [6, 2, 2, 2, 1])[0](body())
+        plain = r.random() < 0.35
+        main = r.choices([lambda v: tag("article", 1, v, ["post", "article", "entry"], 0.4), lambda v: tag("main", 1, v), lambda v: tag("main", 1, tag("article", 1, v)), lambda v: tag("div", 1, v, ["content", "main-content", "article-body", "post", "story", "entry-content", "main"], 0.6), lambda v: tag("section", 1, v, ["content", "article"]), lambda v: tag("div", 1, tag("div", 1, v)), lambda v: v], [6, 2, 2, 2, 1, 1, 1])[0](body())
         before = [note("header", ["site-header", "header", "masthead", "top"], 1, 6) if r.random() < 0.5 else "", menu(["nav", "menu", "navbar", "navigation", "breadcrumb"]) if r.random() < 0.85 else menu(["menu", "nav", "breadcrumbs", "topbar"], r.choice(["div", "header"])), note("div", ["ad", "advert", "ads", "advertisement", "banner", "sponsor", "promo"]) if r.random() < 0.6 else "", note("div", ["cookie-notice", "notice", "cookie", "consent", "gdpr", "alert", "popup", "modal"]) if r.random() < 0.35 else "", form() if r.random() < 0.2 else ""]
-        after = [comments() if r.random() < 0.4 else "", tag("aside", 0, r.choice([menu(["related", "recent"], "div"), note("div", ["ad", "widget"]), tag("p", 0, text(2, 20)), tag("h3", 0, text(1, 3)) + tag("p", 0, text(2, 30))]), ["sidebar", "related", "widget"]) if r.random() < 0.4 else note("div", ["sidebar", "side", "widget", "related"]) if r.random() < 0.3 else "", form() if r.random() < 0.2 else "", note("footer", ["footer", "site-footer", "page-footer"], 2, 14) if r.random() < 0.9 else note("div", ["footer", "copyright", "legal", "bottom"])]
+        foot = lambda: r.choice([note("footer", ["footer", "site-footer", "page-footer"], 2, 14), menu(["footer", "footer-links"], "footer"), note("div", ["footer", "copyright", "legal", "bottom"])])
+        after = [comments() if r.random() < 0.45 else "", tag("aside", 0, r.choice([menu(["related", "recent"], "div"), note("div", ["ad", "widget"]), tag("p", 0, text(2, 20)), tag("h3", 0, text(1, 3)) + tag("p", 0, text(2, 30))]), ["sidebar", "related", "widget"], 1.0 if plain else 0.85) if r.random() < 0.4 else note("div", ["sidebar", "side", "widget", "related"]) if r.random() < 0.3 else "", form() if r.random() < 0.2 else "", foot()]
         r.shuffle(before)
         r.shuffle(after)
         middle = "".join(before) + main + "".join(after)
         if r.random() < 0.3:
-            middle = tag("div", 1, middle, ["wrapper", "page", "container", "layout", "site"])
-        yield f'<!DOCTYPE html><html {LABEL}="1"><head {LABEL}="0"><title>{text(1, 6)}</title></head><body {LABEL}="1">{middle}</body></html>'
+            middle = tag("div", 1, middle, ["wrapper", "page", "container", "layout", "site"], 0.7)
+        yield f'<!DOCTYPE html><html {LABEL}="2"><head {LABEL}="0"><title>{text(1, 6)}</title></head><body {LABEL}="2">{middle}</body></html>'
 
 
 @lru_cache(maxsize=1)
 def default_model() -> TreeModel:
-    """The model of ``labelled_pages``, trained once per process (well below a second) and the same everywhere."""
+    """The model of ``labelled_pages``, trained once per process (about a second) and the same everywhere."""
     return train(labelled_pages())
 
 
