@@ -376,6 +376,54 @@ def test_decontamination_matches_brute_force(spark, docs, empty, block):
     assert {r.n_hit for r in decontaminate(docs, bench.where("false")).collect()} == {0}
 
 
+def test_matcher_equals_brute_force_on_few_words():
+    from heddle.llm.decontaminate import Matcher
+
+    rng = random.Random(9)
+    line = lambda lo, hi: " ".join(rng.choice("ab") if rng.random() < 0.8 else rng.choice("cdé") for _ in range(rng.randint(lo, hi)))
+    for window in (1, 2, 3, 4, 10):
+        items = [(str(k), line(0, 3 * window)) for k in range(30)]
+        m = Matcher(items, window)
+        for _ in range(60):
+            text = line(0, 60)
+            n, ranges, who = m.hits(text.encode())
+            assert (n, sum(b - a for a, b in ranges), [m.names[k] for k in who]) == brute_hits(text, items, window)
+
+
+def test_large_benchmarks_are_one_automaton():
+    """Ten megabytes of items: passages of items are found whole, whatever their place, and one word more or less ends them."""
+    import tracemalloc
+
+    from heddle.llm.decontaminate import Matcher
+
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{i:x}" for i in range(40_000)])
+    items = [(f"i{k}", " ".join(words[rng.zipf(1.2, 170) % 40_000])) for k in range(12_000)]
+    assert sum(len(t) for _, t in items) > 7_000_000
+    tracemalloc.start()
+    m = Matcher(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 400 << 20
+    windows = {}
+    for name, t in items:
+        w = t.split()
+        for i in range(len(w) - 9):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(name)
+    for k in range(0, 12_000, 400):
+        w = items[k][1].split()
+        a = int(rng.integers(0, 150))
+        text = ["odd"] * 3 + w[a : a + 9] + ["odd"] + w[a : a + 14] + ["ODD."] + list(words[rng.zipf(1.2, 200) % 40_000])
+        hit, who = set(), set()
+        for i in range(len(text) - 9):
+            found = windows.get(tuple(x.lower().strip(".") for x in text[i : i + 10]))
+            if found:
+                hit |= set(range(i, i + 10))
+                who |= found
+        n, ranges, ids = m.hits(" ".join(text).encode())
+        assert (n, sum(b - a for a, b in ranges), {m.names[i] for i in ids}) == (len(text), len(hit), who) and len(hit) >= min(14, 170 - a)
+
+
 # 5 WARC -------------------------------------------------------------------------------------------------
 
 
