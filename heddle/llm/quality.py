@@ -12,8 +12,9 @@ A good document is one labelled of quality and not toxic. Sample sizes are param
 chosen by a hash of the id, so a run repeats. Everything else covers all documents in one pass.
 
 Defined cases: null and wordless texts are scored like others and never kept; documents whose
-labels contradict each other count as bad; rows with a null id are scored but never sampled; without labels
-of both kinds nothing is learnt, scores are null and every text with a word is kept.
+labels contradict each other count as bad; of rows that repeat a sampled id one is learnt from (the least by its features); rows with a null id are scored but never sampled; without labels
+of both kinds nothing is learnt, scores are null and every text with a word is kept; an empty table gives an empty result;
+columns that ``documents`` passes through may have any name.
 """
 
 from __future__ import annotations
@@ -219,6 +220,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.record_batch([batch.column(1), batch.column(5), pa.array([r.tobytes() for r in shape], pa.binary()), pa.array(own, pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], names=["doc_id", "bad", "shape", "words", "meta"])
 
     found = sample.mapInArrow(features, "doc_id long, bad int, shape binary, words binary, meta binary")
+    # one row of each sampled id, however many the table has, so that the sample stays bounded
+    found = found.groupBy("doc_id").agg(F.min(F.struct("bad", "shape", "words", "meta")).alias("x")).select("doc_id", "x.*")
     # documents of the unlabelled sample that have a label outside the labelled one are left out
     found = sorted(found.collect(), key=lambda r: (r.doc_id, r.bad, r.shape))
     ids = spark.createDataFrame([(r.doc_id,) for r in found if r.bad < 0], "doc_id long")

@@ -1,6 +1,7 @@
 """Operators for training text: defined edge cases, brute force, exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -250,6 +251,72 @@ def test_language_mixture_and_edges(spark, docs, empty):
     assert {r.lang_pred for r in identify(own, none, nothing).collect()} == {"und"}
 
 
+def brute_mixture(rows, weights):
+    """One document's mixture, word by word: the same method without matrices."""
+    from heddle.llm.language_id import PENALTY, STEPS
+
+    words = [row for row, n in zip(rows, weights, strict=True) for _ in range(n)]
+    k, top = len(words[0]), [max(row) for row in words]
+    like = [[math.exp(x - m) for x in row] for row, m in zip(words, top, strict=True)]
+    sums = [sum(row[j] for row in words) for j in range(k)]
+    chosen = {sums.index(max(sums))}
+    theta = [float(j in chosen) for j in range(k)]
+    level = max(sums) - sum(top)
+    while len(chosen) < k:
+        gain = [-math.inf if j in chosen else sum(min(x[j] / max(sum(a * b for a, b in zip(x, theta, strict=True)), 1e-300), 1e6) for x in like) for j in range(k)]
+        trial = chosen | {gain.index(max(gain))}
+        t = [float(j in trial) / len(trial) for j in range(k)]
+        for _ in range(STEPS):
+            r = [[a * b for a, b in zip(x, t, strict=True)] for x in like]
+            t = [sum(x[j] / max(sum(x), 1e-300) for x in r) / len(words) for j in range(k)]
+        after = sum(math.log(max(sum(a * b for a, b in zip(x, t, strict=True)), 1e-300)) for x in like)
+        if not after - level > PENALTY * math.log(len(words) + 1):
+            break
+        chosen, theta, level = trial, t, after
+    return theta
+
+
+def test_mixtures_match_brute_force():
+    from heddle.llm.language_id import mixtures, word_likelihoods
+
+    rng = np.random.default_rng(11)
+    sizes = [1, 2, 5, 30, 60, 60, 90]
+    first, weight = np.concatenate([[0], np.cumsum(sizes)]), rng.integers(1, 4, sum(sizes))
+    logp = rng.normal(-20, 1, (sum(sizes), 5))
+    for d, n in enumerate(sizes):  # one to three languages stand out
+        for i in range(n):
+            logp[first[d] + i, (d + i % (1 + d % 3)) % 5] += 6
+    out = mixtures(logp, first, weight)
+    for d in range(len(sizes)):
+        assert np.allclose(out[d], brute_mixture(logp[first[d] : first[d + 1]].tolist(), weight[first[d] : first[d + 1]].tolist()), atol=1e-6)
+    assert max((out > 0).sum(axis=1)) >= 2
+    tie = mixtures(np.zeros((3, 4)), np.array([0, 3]), np.ones(3, int))
+    assert tie[0].tolist() == [1, 0, 0, 0]  # the language that sorts first
+    from heddle.llm import language_id as L
+
+    bucket, table = rng.integers(0, 50, 400), rng.normal(size=(50, 3)).astype(np.float32)
+    s, e = np.array([0, 10, 300]), np.array([7, 290, 400])
+    expected = np.stack([table[bucket[a:b]].sum(axis=0, dtype=np.float64) for a, b in zip(s, e, strict=True)])
+    for size in (1 << 22, 60, 3):
+        L.GATHER, old = size, L.GATHER
+        assert np.allclose(word_likelihoods(bucket, s, e, table), expected, atol=1e-4)
+        L.GATHER = old
+
+
+def test_many_languages_are_learnt(spark):
+    from heddle.llm.language_id import identify, train
+
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzåäöß") for _ in range(6)) for _ in range(12)] for k in range(230)}
+    rows = [(k, " ".join(w * 3), lang) for k, (lang, w) in enumerate(words.items())]
+    langs, logp = train(spark.createDataFrame([(t, lang) for _, t, lang in rows], "text string, lang string"))
+    assert len(langs) == 230
+    out = identify(spark.createDataFrame([(k, t) for k, t, _ in rows] + [(None, "… — “"), (5, rows[5][1])], "doc_id long, text string"), langs, logp).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] and r.mixture[0].lang == r.lang_pred and r.mixture[0].share == r.score for r in out if r.doc_id is not None)
+    assert [(r.lang_pred, r.score, r.mixture) for r in out if r.doc_id is None] == [("und", 0.0, [])]
+    assert len({(r.lang_pred, r.score) for r in out if r.doc_id == 5}) == 1
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     from heddle.llm.queries import op2_language_id
 
@@ -510,6 +577,61 @@ def test_quality_finds_bad_documents(spark, docs, empty):
     assert {(r.score, r.kept) for r in score_quality(docs.where("doc_id = 7"), None).collect()} == {(None, True)}
 
 
+def test_scores_match_brute_force(spark, docs):
+    """Features by regular expressions and counters, score by the three logistic models written out."""
+    from heddle.llm.quality import fit_quality, letter_words, score_quality, text_shape
+    from heddle.llm.textcore import utf8
+
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = fit_quality(d, labels)
+    own = d.where("doc_id % 37 = 0").select("doc_id", "text", "source", "lang", "n_chars").collect() + [r for r in docs.select("doc_id", "text", "source", "lang", "n_chars").collect() if r.doc_id not in (9, 10)]
+    shape, kinds = [], dict(zip(m.lexicon[0].tolist(), m.lexicon[1].tolist(), strict=True))
+    x_text = []
+    for r in own:
+        t = r.text or ""
+        raw = t.encode()
+        w, (n_words, chars, symbols, dup, rep) = WORD.findall(t), brute_rules(t)
+        count = lambda p: len(re.findall(p, raw))
+        letters, size, some = max(count(rb"[A-Za-z\x80-\xff]"), 1), max(len(raw), 1), max(n_words, 1)
+        marks, plain = count(rb"[!-/:-@\[-`{-~]"), count(rb"[.,]")
+        shape.append([count(rb"[A-Z]") / letters, (marks - plain) / size, plain / some, count(rb"[0-9]") / size, symbols / some, count(rb"!") / some, count(rb"\|") / some, count(rb"\n") / some, chars / some, dup / (count(rb"\n") + 1), rep / some, math.log1p(n_words)])
+        h, _ = letter_words(*utf8(pa.array([t])))
+        assert len(h) == len(re.findall(rb"[A-Za-z\x80-\xff]+", raw)) and len(w) == n_words
+        v = Counter(kinds.get(int(k), 0) for k in h)
+        n = max(len(h), 1)
+        x_text.append([*shape[-1], math.log1p(v[2]), min(v[2], 1), v[2] / n, v[1] / n, v[-1] / n])
+    assert np.allclose(text_shape(*utf8(pa.array([r.text or "" for r in own]))), shape)
+    logit = lambda f, x: max(-30, min(30, sum(max(-8, min(8, (a - b) / c)) * w for a, b, c, w in zip(x, f.mean, f.scale, f.weight[:-1], strict=True)) + f.weight[-1]))
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    from heddle.llm.quality import metadata
+
+    x_meta = metadata([r.source for r in own], [r.lang for r in own], np.array([float(r.n_chars or 0) for r in own]))
+    df = spark.createDataFrame([tuple(r) for r in own], "doc_id long, text string, source string, lang string, n_chars long")
+    got = Counter((r.doc_id, round(r.score, 6), r.kept) for r in score_quality(df, m).collect())
+    expected = Counter()
+    for r, a, b in zip(own, x_text, x_meta, strict=True):
+        both = [logit(m.platt[0], [logit(m.text, a)]), logit(m.platt[1], [logit(m.meta, b)])]
+        p = sigmoid(logit(m.joint, both))
+        expected[r.doc_id, round(1 - p, 6), p < m.cut and bool(WORD.search(r.text or ""))] += 1
+    assert got == expected
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    from heddle.llm import quality as Q
+
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    one = labels.select("doc_id").orderBy("doc_id").limit(1)
+    many = d.union(d.join(one, "doc_id", "left_semi").crossJoin(spark.range(3000)).drop("id"))
+    seen = []
+    real = Q.co_train
+    try:
+        Q.co_train = lambda shape, *rest: seen.append(len(shape)) or real(shape, *rest)
+        Q.fit_quality(many, labels)
+    finally:
+        Q.co_train = real
+    assert seen and seen[0] <= d.count()
+
+
 # 8 main text --------------------------------------------------------------------------------------------
 
 
