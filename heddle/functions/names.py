@@ -194,7 +194,7 @@ def safe_key(text: Column | str) -> Column:
 
 def rerun_path(path: Column | str, mode: Column) -> Column:
     """Output folder of a mode: anything but production goes to ``/rerun``, once."""
-    return F.when(mode.eqNullSafe("production") | _c(path).endswith("/rerun"), _c(path)).otherwise(F.concat(F.rtrim(_c(path)), _lit("/rerun")))
+    return F.when(mode.eqNullSafe("production") | _c(path).endswith("/rerun"), _c(path)).otherwise(F.concat(F.rtrim(_c(path), _lit("/")), _lit("/rerun")))
 
 
 # Controls: four definitions that the callers keep apart.

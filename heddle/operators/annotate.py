@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.sources.readers import work_folder
 
-def closure(sets: DataFrame, genes: DataFrame, name: str = "set_closure") -> DataFrame:
+
+def closure(sets: DataFrame, genes: DataFrame) -> DataFrame:
     """(set_id, gene) of all genes below a set. ``sets`` holds (set_id, component), ``genes`` (set_id, gene).
 
-    A recursive query carries the path and stops at a set it has met, so cycles end.
+    Breadth first: each step follows the components of what the last one reached and keeps what is new, so a part that many
+    sets share, or a cycle, is met once per set. Steps are written to the shared folder; there are as many as the hierarchy is deep.
     """
-    spark = sets.sparkSession
-    sets.createOrReplaceTempView(f"{name}_edges")
-    roots = sets.select("set_id").union(genes.select("set_id")).distinct()
-    roots.createOrReplaceTempView(f"{name}_roots")
-    reach = spark.sql(f"""
-        WITH RECURSIVE reach(root, node, path) AS (
-            SELECT set_id, set_id, array(set_id) FROM {name}_roots
-            UNION ALL
-            SELECT r.root, e.component, array_append(r.path, e.component)
-            FROM reach r JOIN {name}_edges e ON e.set_id = r.node WHERE NOT array_contains(r.path, e.component))
-        SELECT DISTINCT root AS set_id, node FROM reach""")
-    return reach.join(genes.withColumnRenamed("set_id", "node"), "node").select("set_id", "gene").distinct()
+    spark, folder = sets.sparkSession, work_folder(sets.sparkSession, "closure")
+    edges = sets.select(F.col("set_id").alias("node"), "component").where("node IS NOT NULL AND component IS NOT NULL").distinct()
+    roots = sets.select("set_id").union(genes.select("set_id")).where("set_id IS NOT NULL").distinct()
+    kind, paths = sets.schema["set_id"].dataType.simpleString(), [f"{folder}/step-0"]
+    roots.select("set_id", F.col("set_id").alias("node")).write.parquet(paths[0])
+    load = lambda p: spark.read.schema(f"set_id {kind}, node {kind}").parquet(*p)
+    while not load(paths[-1:]).isEmpty():
+        new = load(paths[-1:]).join(edges, "node").select("set_id", F.col("component").alias("node")).distinct().join(load(paths), ["set_id", "node"], "left_anti")
+        paths.append(f"{folder}/step-{len(paths)}")
+        new.write.parquet(paths[-1])
+    return load(paths).join(genes.withColumnRenamed("set_id", "node"), "node").select("set_id", "gene").distinct()
 
 
 def first_by_order(rows: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:

@@ -39,12 +39,25 @@ def keep_libraries(experiments: DataFrame, other: DataFrame, forced: DataFrame,
 
 
 def resolve_names(queries: DataFrame, known: DataFrame, query: str = "query", name: str = "name") -> DataFrame:
-    """Full name of each query by the first rule that finds one: exact, number, prefix, substring; the query itself otherwise. Several hits of a rule: the first in order."""
-    k = known.select(F.col(name).alias("_name")).distinct()
-    number = F.nullif(F.regexp_extract(F.lower(query), r"^(?:ops)?0*(\d+)$", 1), F.lit(""))
-    hit = queries.join(F.broadcast(k), F.col("_name").contains(F.col(query)) | (F.regexp_extract("_name", r"^ops0*(\d+)(?:_|$)", 1) == number), "left")
-    rank = F.when(F.col("_name") == F.col(query), 0).when(F.regexp_extract("_name", r"^ops0*(\d+)(?:_|$)", 1) == number, 1).when(F.col("_name").startswith(F.col(query)), 2).when(F.col("_name").contains(F.col(query)), 3)
-    return hit.withColumn("_r", rank).groupBy(query).agg(F.min_by("_name", F.when(F.col("_r").isNotNull(), F.struct("_r", "_name"))).alias("_found")).select(query, F.coalesce("_found", query).alias("resolved"))
+    """Full name of each query by the first rule that finds one: exact, number, prefix, substring; the query itself otherwise. Several hits of a rule: the first in order.
+
+    Each rule is a join by key. A name that contains a query also holds its first three characters (or all of a shorter one),
+    so names are listed under their runs of up to three characters and only those of the query's run are compared.
+    """
+    asked = queries.select(F.col(query).alias("_q")).distinct()
+    k = known.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
+    exact = asked.join(k, F.col("_q") == F.col("_name")).select("_q", F.lit(0).alias("_r"), "_name")
+    number = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    numbered = k.select(number(F.col("_name"), r"^ops0*(\d+)(?:_|$)").alias("_n"), "_name").where("_n IS NOT NULL").groupBy("_n").agg(F.min("_name").alias("_name"))
+    by_number = asked.withColumn("_n", number(F.lower("_q"), r"^(?:ops)?0*(\d+)$")).join(numbered, "_n").select("_q", F.lit(1).alias("_r"), "_name")
+    size = F.length("_name")
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("_name"), i, n)))))
+    listed = k.where(size > 0).select("_name", F.explode(runs).alias("_g"))
+    some = asked.where("_q <> ''").withColumn("_g", F.left("_q", F.lit(3))).join(listed, "_g").where(F.col("_name").contains(F.col("_q")))
+    inside = some.select("_q", F.when(F.col("_name").startswith(F.col("_q")), 2).otherwise(3).alias("_r"), "_name")
+    empty = asked.join(k.agg(F.min("_name").alias("_name")).withColumn("_q", F.lit("")), "_q").where("_name IS NOT NULL").select("_q", F.lit(2).alias("_r"), "_name")
+    best = exact.union(by_number).union(inside).union(empty).groupBy("_q").agg(F.min_by("_name", F.struct("_r", "_name")).alias("_found"))
+    return asked.join(best, "_q", "left").select(F.col("_q").alias(query), F.coalesce("_found", "_q").alias("resolved"))
 
 
 def channel_index_map(source: DataFrame, dest: DataFrame) -> DataFrame:
@@ -187,3 +200,9 @@ def status_counts(status: DataFrame) -> DataFrame:
 
 def eta_seconds(elapsed: Column, done: Column, total: Column) -> Column:
     return F.when(done > 0, elapsed / done * (total - done))
+
+
+def grid_cells(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
+    """``row`` and ``col`` of each row in a grid filled column by column, in the given order. The numbers come from one sorted pass over the panels of a figure."""
+    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+    return rows.withColumn("_k", k).withColumn("row", (F.col("_k") % n_rows).cast("int")).withColumn("col", F.floor(F.col("_k") / n_rows).cast("int")).drop("_k")

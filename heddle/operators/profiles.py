@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,19 @@ def zscore(df: DataFrame, columns: list[str], control: Column | None = None, lea
 
 
 def feature_stats(df: DataFrame, features: str) -> DataFrame:
-    """One row per feature: n, n_missing, n_inf, var_pop (NaN and infinities as zero), max_abs."""
-    long = df.select(F.posexplode(F.col(features).cast("array<double>")).alias("feature", "x"))
-    c = F.when(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")), F.lit(0.0)).otherwise(F.col("x"))
-    return long.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.isnan("x")).alias("n_missing"), F.count_if(F.abs("x") == float("inf")).alias("n_inf"), F.var_pop(c).alias("variance"), F.max(F.abs(c)).alias("max_abs"))
+    """One row per feature: n, n_missing, n_inf, variance (of the population; NaN and infinities as zero), max_abs. One pass of vector summaries, combined before the shuffle; only their one row is spread out."""
+    x = F.col(features).cast("array<double>")
+    flags = lambda test: array_to_vector(F.transform(x, lambda v: F.when(test(v), 1.0).otherwise(0.0)))
+    own = Summarizer.metrics("count", "variance", "max", "min")
+    sums = df.where(F.col(features).isNotNull()).agg(
+        own.summary(array_to_vector(clean(features))).alias("c"),
+        Summarizer.metrics("sum").summary(flags(lambda v: v.isNull() | F.isnan(v))).alias("m"),
+        Summarizer.metrics("sum").summary(flags(lambda v: F.coalesce(F.abs(v) == float("inf"), F.lit(False)))).alias("i"),
+    )
+    n = F.col("c.count")
+    columns = F.arrays_zip(vector_to_array("c.variance").alias("variance"), vector_to_array("c.max").alias("max"), vector_to_array("c.min").alias("min"), vector_to_array("m.sum").alias("missing"), vector_to_array("i.sum").alias("inf"))
+    long = sums.select(n.alias("n"), F.posexplode(columns).alias("feature", "s"))
+    return long.select("feature", "n", F.col("s.missing").cast("long").alias("n_missing"), F.col("s.inf").cast("long").alias("n_inf"), (F.col("s.variance") * (F.col("n") - 1) / F.col("n")).alias("variance"), F.greatest(F.abs("s.max"), F.abs("s.min")).alias("max_abs"))
 
 
 def feature_quality(df: DataFrame, features: str, zero_share: float = 0.10, constant_share: float = 0.05) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.sources.readers import work_folder
+
 
 def label_boxes(pixels: DataFrame, group: list[str], label: str = "label", y: str = "y", x: str = "x") -> DataFrame:
     """Half-open box and area of each label; zero is background. One hash aggregate, combined before the shuffle."""
@@ -79,6 +81,16 @@ def last_position(positions: DataFrame, group: str, position: str) -> DataFrame:
     return positions.groupBy(group).agg(F.max_by(position, F.struct(number, position)).alias(position))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Place of each row, from one, in a total order. Rows are sorted by range; only the number of rows of each range crosses to one task."""
+    folder = work_folder(rows.sparkSession, "sorted")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).write.parquet(folder)
+    done = rows.sparkSession.read.parquet(folder)
+    before = done.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n")).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return done.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_i")).drop("_p", "_n", "_i")
+
+
 def label_codes(rows: DataFrame, name: str, control: str = "NTC") -> DataFrame:
     """(name, code): dense numbers of the sorted distinct names, NULL standing for the control."""
     d = rows.select(F.coalesce(name, F.lit(control)).alias(name)).distinct()

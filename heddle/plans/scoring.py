@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.operators import profiles as P
@@ -187,9 +187,12 @@ def pca_variance(spark, sf_dir):
     return P.explained(spark, P.fit_pca(_vectors(spark, sf_dir), "embedding", 16)).select("component", r6("ratio"), r6("cumulative"))
 
 
-@query("SELECT t AS threshold, least(sum((k / 10.0 < t)::INT) + 1, 10)::BIGINT AS n_pcs FROM (VALUES (0.05::DOUBLE), (0.35::DOUBLE), (0.95::DOUBLE), (1.5::DOUBLE)) g(t), range(1, 11) r(k) GROUP BY t")
+@query("WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), v AS (SELECT round(sum(n) OVER (ORDER BY n DESC, p_brand) / (SELECT count(*) FROM part)::DOUBLE, 9) AS c FROM b) SELECT t AS threshold, least(sum((c < t)::INT) + 1, count(*))::BIGINT AS n_pcs FROM (VALUES (0.05::DOUBLE), (0.35::DOUBLE), (0.95::DOUBLE), (1.5::DOUBLE)) g(t), v GROUP BY t")
 def pcs_for_threshold(spark, sf_dir):
-    variance = spark.range(1, 11).select((F.col("id") / 10.0).alias("cumulative"))
+    """Cumulative shares of the brands in all parts, the largest first."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    brands = part.groupBy("p_brand").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    variance = brands.select(F.round(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "p_brand")) / F.col("total"), 9).alias("cumulative"))
     grid = spark.createDataFrame([(0.05,), (0.35,), (0.95,), (1.5,)], "threshold double")
     return P.components_for(variance, grid)
 

@@ -188,10 +188,10 @@ def _pattern(genes, patterns):
     return genes.select("gene", "name").join(named, "name").select("gene", "category")
 
 
-@query(cte("genes", "members") + ", p(category, ordinal, pattern) AS (VALUES " + ", ".join(map(str, _PATTERNS)) + "), g2 AS (SELECT member AS gene, arg_min(set_id, (ordinal, set_id)) AS category FROM members WHERE member < 20 GROUP BY member), g4 AS (SELECT gene, arg_min(category, ordinal) AS category FROM genes JOIN p ON regexp_matches(name, pattern) GROUP BY gene) SELECT g.gene, coalesce(g2.category, g4.category, 'Other') AS category FROM genes g LEFT JOIN g2 USING (gene) LEFT JOIN g4 USING (gene)")
+@query(cte("genes", "members") + ", p(category, ordinal, pattern) AS (VALUES " + ", ".join(map(str, _PATTERNS)) + "), g2 AS (SELECT member AS gene, arg_min(set_id, (ordinal, set_id)) AS category FROM members GROUP BY member), g4 AS (SELECT gene, arg_min(category, ordinal) AS category FROM genes JOIN p ON regexp_matches(name, pattern) GROUP BY gene) SELECT g.gene, coalesce(g2.category, g4.category, 'Other') AS category FROM genes g LEFT JOIN g2 USING (gene) LEFT JOIN g4 USING (gene)")
 def category_cascade(spark, sf_dir):
     g = read(spark, sf_dir, "genes")
-    clusters = A.first_by_order(read(spark, sf_dir, "members").where("member < 20"), "member", "set_id", "ordinal").select(F.col("member").alias("gene"), F.col("set_id").alias("category"))
+    clusters = A.first_by_order(read(spark, sf_dir, "members"), "member", "set_id", "ordinal").select(F.col("member").alias("gene"), F.col("set_id").alias("category"))
     p = spark.createDataFrame(_PATTERNS, "category string, ordinal int, pattern string")
     return A.cascade(g.select("gene"), "gene", [clusters, _pattern(g, p)])
 
@@ -304,9 +304,9 @@ def validation_verdict(spark, sf_dir):
 # catalogues ----------------------------------------------------------------------------------------
 
 
-@query(cte("experiments", "exclusions") + r", u AS (SELECT * FROM exclusions WHERE category IN ('bad', 'old')) SELECT name, coalesce(nullif(regexp_extract(name, '(?i)^ops\d{4}_(\d{8})$', 1), '') < '20231000', false) OR name IN (SELECT name FROM u WHERE name IS NOT NULL) OR regexp_extract(name, '^ops0*(\d+)', 1)::INT IN (SELECT number FROM u WHERE number IS NOT NULL) AS excluded FROM experiments WHERE regexp_extract(name, '^ops0*(\d+)', 1) <> ''")
+@query(cte("experiments", "exclusions") + r", u AS (SELECT * FROM exclusions WHERE category IN ('bad', 'old')) SELECT name, coalesce(nullif(regexp_extract(name, '(?i)^ops\d{4}_(\d{8})$', 1), '') < '20231000', false) OR name IN (SELECT name FROM u WHERE name IS NOT NULL) OR coalesce(try_cast(nullif(regexp_extract(name, '^ops0*(\d+)', 1), '') AS INT) IN (SELECT number FROM u WHERE number IS NOT NULL), false) AS excluded FROM experiments")
 def exclusion_filter(spark, sf_dir):
-    return C.excluded(read(spark, sf_dir, "experiments"), read(spark, sf_dir, "exclusions"), ["bad", "old"], "20231000").where(F.regexp_extract("name", r"^ops0*(\d+)", 1) != "")
+    return C.excluded(read(spark, sf_dir, "experiments"), read(spark, sf_dir, "exclusions"), ["bad", "old"], "20231000")
 
 
 @query(cte("channel_map") + "SELECT experiment, pos, channel_name AS channel, label, coalesce(regexp_matches(lower(label), 'economy'), false) OR coalesce(experiment = 'ops0007' AND lower(channel_name) = 'gfp', false) OR coalesce(regexp_extract(experiment, '^ops0*(\\d+)', 1) = '12' AND lower(channel_name) = 'bf', false) AS bad FROM channel_map")
@@ -329,9 +329,9 @@ def status_classify(spark, sf_dir):
     return C.embedding_status(e, e.where("experiment NOT LIKE '%7_2024%'"), d, d, f)
 
 
-@query(cte("docs_steps", "files") + "SELECT experiment, count(f.path) AS n_existing, count(*) AS n_expected, CASE WHEN count(f.path) = count(*) THEN 'completed' WHEN count(f.path) > 0 THEN 'partial' ELSE 'to_process' END AS state, regexp_extract(experiment, '^ops0*(\\d+)', 1)::INT AS order_no FROM docs_steps d LEFT JOIN (SELECT DISTINCT path FROM files) f USING (path) WHERE experiment NOT LIKE 'ops0000%' GROUP BY experiment")
+@query(cte("docs_steps", "files") + "SELECT experiment, count(f.path) AS n_existing, count(*) AS n_expected, CASE WHEN count(f.path) = count(*) THEN 'completed' WHEN count(f.path) > 0 THEN 'partial' ELSE 'to_process' END AS state, coalesce(try_cast(nullif(regexp_extract(experiment, '^ops0*(\\d+)', 1), '') AS INT), 9999) AS order_no FROM docs_steps d LEFT JOIN (SELECT DISTINCT path FROM files) f USING (path) GROUP BY experiment")
 def progress_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "docs_steps").where("experiment NOT LIKE 'ops0000%'")
+    d = read(spark, sf_dir, "docs_steps")
     return C.progress(d, read(spark, sf_dir, "files"))
 
 

@@ -3,7 +3,8 @@
 ``spark.read.format("zarr_chunks").load(path)`` gives (array, chunk, start, shape, dtype, values): the place of the chunk,
 its origin and extent inside the array, and its values as doubles in row-major order. Each chunk is its own
 partition of the scan, up to ``chunks_per_task`` at once. Codecs: none, zlib and gzip, and zstd where the library is
-there. Chunks that are not written hold the fill value and are not read.
+there. Chunks that are not written have rows of the fill value. Of a sharded array (version 3, one level) a row is an inner
+chunk, found through the index at the start or end of its shard's file. Paths are local or mounted folders.
 """
 
 from __future__ import annotations
@@ -29,15 +30,21 @@ def array_meta(path: str) -> dict:
     if os.path.exists(old):
         with open(old) as f:
             m = json.load(f)
-        return {"shape": m["shape"], "chunks": m["chunks"], "dtype": m["dtype"], "codec": (m.get("compressor") or {}).get("id"), "prefix": "", "sep": m.get("dimension_separator", "."), "order": m.get("order", "C"), "fill": m.get("fill_value") or 0}
+        return {"shape": m["shape"], "chunks": m["chunks"], "dtype": m["dtype"], "codec": (m.get("compressor") or {}).get("id"), "prefix": "", "sep": m.get("dimension_separator", "."), "order": m.get("order", "C"), "fill": m.get("fill_value") or 0, "shard": None}
     with open(new) as f:
         m = json.load(f)
-    codecs = [c["name"] for c in m.get("codecs", [])]
-    if "sharding_indexed" in codecs:
-        raise ValueError(f"{path}: sharded arrays are not read")
-    endian = "<" if next((c.get("configuration", {}).get("endian", "little") for c in m["codecs"] if c["name"] == "bytes"), "little") == "little" else ">"
+    codecs, outer, shard = m.get("codecs", []), m["chunk_grid"]["configuration"]["chunk_shape"], None
+    if codecs and codecs[0]["name"] == "sharding_indexed":
+        inside = codecs[0]["configuration"]
+        check = any(c["name"] == "crc32c" for c in inside.get("index_codecs", []))
+        shard = {"shape": outer, "first": inside.get("index_location", "end") == "start", "check": 4 if check else 0}
+        codecs, outer = inside.get("codecs", []), inside["chunk_shape"]
+    names = [c["name"] for c in codecs]
+    if odd := set(names) - {"bytes", "gzip", "zlib", "zstd"}:
+        raise ValueError(f"{path}: codecs {sorted(odd)} are not read")
+    endian = "<" if next((c.get("configuration", {}).get("endian", "little") for c in codecs if c["name"] == "bytes"), "little") == "little" else ">"
     sep = m.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
-    return {"shape": m["shape"], "chunks": m["chunk_grid"]["configuration"]["chunk_shape"], "dtype": np.dtype(m["data_type"]).newbyteorder(endian).str, "codec": next((c for c in codecs if c in ("gzip", "zlib", "zstd")), None), "prefix": "c" + sep, "sep": sep, "order": "C", "fill": m.get("fill_value") or 0}
+    return {"shape": m["shape"], "chunks": outer, "dtype": np.dtype(m["data_type"]).newbyteorder(endian).str, "codec": next((c for c in names if c != "bytes"), None), "prefix": "c" + sep, "sep": sep, "order": "C", "fill": m.get("fill_value") or 0, "shard": shard}
 
 
 def read_attributes(path: str) -> dict:
@@ -51,12 +58,32 @@ def read_attributes(path: str) -> dict:
     return {}
 
 
-def read_chunk(path: str, meta: dict, chunk: tuple[int, ...]) -> np.ndarray | None:
-    name = os.path.join(path, meta["prefix"] + meta["sep"].join(map(str, chunk)))
-    if not os.path.exists(name):
+def _stored(path: str, meta: dict, chunk: tuple[int, ...]) -> bytes | None:
+    """Bytes of a chunk as stored, in a file of its own or inside a shard; None if it is not written."""
+    name = lambda at: os.path.join(path, meta["prefix"] + meta["sep"].join(map(str, at)))
+    if meta["shard"] is None:
+        if not os.path.exists(name(chunk)):
+            return None
+        with open(name(chunk), "rb") as f:
+            return f.read()
+    per = [s // c for s, c in zip(meta["shard"]["shape"], meta["chunks"], strict=True)]
+    file = name([i // n for i, n in zip(chunk, per, strict=True)])
+    if not os.path.exists(file):
         return None
-    with open(name, "rb") as f:
-        raw = f.read()
+    k, size = int(np.ravel_multi_index([i % n for i, n in zip(chunk, per, strict=True)], per)), 16 * int(np.prod(per))
+    with open(file, "rb") as f:  # the index: offset and length of each inner chunk, both all ones where there is none
+        f.seek(0 if meta["shard"]["first"] else -(size + meta["shard"]["check"]), os.SEEK_SET if meta["shard"]["first"] else os.SEEK_END)
+        at, n = np.frombuffer(f.read(size), dtype="<u8")[2 * k : 2 * k + 2].tolist()
+        if at == n == (1 << 64) - 1:
+            return None
+        f.seek(at)
+        return f.read(n)
+
+
+def read_chunk(path: str, meta: dict, chunk: tuple[int, ...]) -> np.ndarray:
+    raw = _stored(path, meta, chunk)
+    if raw is None:
+        return np.full(meta["chunks"], meta["fill"], dtype=meta["dtype"])
     if meta["codec"] in ("zlib", "gzip"):
         raw = zlib.decompress(raw) if meta["codec"] == "zlib" else gzip.decompress(raw)
     elif meta["codec"] == "zstd":
@@ -89,8 +116,6 @@ class _Reader(DataSourceReader):
         meta = array_meta(partition.path)
         for chunk in partition.chunks:
             block = read_chunk(partition.path, meta, chunk)
-            if block is None:
-                continue
             start = [i * c for i, c in zip(chunk, meta["chunks"], strict=True)]
             extent = [min(c, s - a) for a, c, s in zip(start, meta["chunks"], meta["shape"], strict=True)]
             values = block[tuple(slice(0, e) for e in extent)].astype(float).ravel().tolist()
@@ -122,14 +147,16 @@ def pixels(chunks: DataFrame) -> DataFrame:
     return flat.select((F.element_at("start", F.col("n") - 1) + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"), (F.element_at("start", F.col("n")) + F.col("i") % F.col("w")).cast("int").alias("x"), "value")
 
 
-def write_array(path: str, values: np.ndarray, chunks: tuple[int, ...], codec: str | None = "zlib") -> None:
-    """Small writer of version 2, for fixtures and for pre-creating an array that tasks then fill chunk by chunk."""
+def write_array(path: str, values: np.ndarray, chunks: tuple[int, ...], codec: str | None = "zlib", skip_empty: bool = False) -> None:
+    """Small writer of version 2 (with ``skip_empty`` chunks of zeros are left out), for fixtures and for pre-creating an array that tasks then fill chunk by chunk."""
     os.makedirs(path, exist_ok=True)
     meta = {"zarr_format": 2, "shape": list(values.shape), "chunks": list(chunks), "dtype": values.dtype.str, "compressor": {"id": codec} if codec else None, "fill_value": 0, "order": "C", "filters": None}
     with open(os.path.join(path, ".zarray"), "w") as f:
         json.dump(meta, f)
     for chunk in itertools.product(*[range(-(-s // c)) for s, c in zip(values.shape, chunks, strict=True)]):
-        write_chunk(path, values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(chunk, chunks, strict=True))], chunk, chunks, codec)
+        part = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(chunk, chunks, strict=True))]
+        if part.any() or not skip_empty:
+            write_chunk(path, part, chunk, chunks, codec)
 
 
 def write_chunk(path: str, part: np.ndarray, chunk: tuple[int, ...], chunks: tuple[int, ...], codec: str | None = "zlib") -> None:
@@ -142,3 +169,29 @@ def write_chunk(path: str, part: np.ndarray, chunk: tuple[int, ...], chunks: tup
     with open(f"{name}.tmp", "wb") as f:
         f.write(raw)
     os.replace(f"{name}.tmp", name)
+
+
+def write_sharded(path: str, values: np.ndarray, shards: tuple[int, ...], chunks: tuple[int, ...]) -> None:
+    """Small writer of version 3 with one level of shards (gzip inside, index at the end, empty chunks left out), for fixtures."""
+    os.makedirs(path, exist_ok=True)
+    inner = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 1}}]
+    sharding = {"chunk_shape": list(chunks), "codecs": inner, "index_codecs": [inner[0]], "index_location": "end"}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": list(values.shape), "data_type": values.dtype.name, "fill_value": 0, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(shards)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "codecs": [{"name": "sharding_indexed", "configuration": sharding}], "attributes": {}}
+    with open(os.path.join(path, "zarr.json"), "w") as f:
+        json.dump(meta, f)
+    for shard in itertools.product(*[range(-(-s // c)) for s, c in zip(values.shape, shards, strict=True)]):
+        full = np.zeros(shards, dtype=values.dtype)
+        part = values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(shard, shards, strict=True))]
+        full[tuple(slice(0, s) for s in part.shape)] = part
+        body, index = b"", []
+        for at in itertools.product(*[range(s // c) for s, c in zip(shards, chunks, strict=True)]):
+            block = full[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunks, strict=True))]
+            raw = gzip.compress(np.ascontiguousarray(block).tobytes(), 1) if block.any() else b""
+            index += [len(body), len(raw)] if raw else [(1 << 64) - 1] * 2
+            body += raw
+        if body:
+            name = os.path.join(path, "c", *map(str, shard))
+            os.makedirs(os.path.dirname(name), exist_ok=True)
+            with open(f"{name}.tmp", "wb") as f:
+                f.write(body + np.array(index, dtype="<u8").tobytes())
+            os.replace(f"{name}.tmp", name)

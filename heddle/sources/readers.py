@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,28 +51,36 @@ def read_annotations(spark: SparkSession, path: str, key: str, texts: list[str])
     return df.where(F.trim(key) != "").select(F.col(key).alias("gene"), F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts])).alias("text"))
 
 
-def _load_yaml(path: str, required: bool) -> Any:
-    import os
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local master goes without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+
+def _load_yaml(spark: SparkSession, path: str, required: bool) -> Any:
+    """A configuration file (or a folder with its parts) in any file system Spark knows."""
     import yaml
 
-    if not os.path.exists(path):
+    if first_existing(spark, [path]) is None:
         if required:
             raise FileNotFoundError(path)
         return None
-    with open(path) as f:
-        return yaml.safe_load(f)
+    return yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def read_channel_map(spark: SparkSession, path: str) -> DataFrame:
     """(experiment, pos, channel_name, label) of a channel map; entries that are no channels keep NULLs, a missing file is empty."""
-    rows = [(str(k), i, (e or {}).get("channel_name") if isinstance(e, dict) else None, (e or {}).get("label") if isinstance(e, dict) else None) for k, v in (_load_yaml(path, False) or {}).items() for i, e in enumerate(v or [])]
+    rows = [(str(k), i, (e or {}).get("channel_name") if isinstance(e, dict) else None, (e or {}).get("label") if isinstance(e, dict) else None) for k, v in (_load_yaml(spark, path, False) or {}).items() for i, e in enumerate(v or [])]
     return spark.createDataFrame(rows, "experiment string, pos int, channel_name string, label string")
 
 
 def read_exclusions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str | None]:
     """Rules (category, name, number, reason), bad channels (name, number, channel, marker, reason) and the cut-off date. An entry is a name, a number, or a mapping of either with a reason."""
-    data = _load_yaml(path, False) or {}
+    data = _load_yaml(spark, path, False) or {}
     rules, channels = [], []
     for category, entries in data.items():
         if category == "bad_channels":
@@ -85,7 +95,7 @@ def read_exclusions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def read_library_map(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
     """Defaults and the overrides by experiment."""
-    data = _load_yaml(path, False) or {}
+    data = _load_yaml(spark, path, False) or {}
     fields = ["project", "library", "codebook", "gene_index", "tag"]
     rows = [(str(k), *[None if v.get(f) is None else str(v[f]) for f in fields]) for k, v in (data.get("overrides") or {}).items()]
     return {k: str(v) for k, v in (data.get("default") or {}).items()}, spark.createDataFrame(rows, "experiment string, " + ", ".join(f"{f} string" for f in fields))
@@ -94,7 +104,7 @@ def read_library_map(spark: SparkSession, path: str) -> tuple[dict[str, str], Da
 def read_gene_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(set_id, name, gene) and (set_id, component) of a hierarchy; the file must exist."""
     genes, parts = [], []
-    for k, v in (_load_yaml(path, True) or {}).items():
+    for k, v in (_load_yaml(spark, path, True) or {}).items():
         genes += [(str(k), str(v.get("name", k)), str(g)) for g in v.get("genes") or []]
         parts += [(str(k), str(c)) for c in v.get("components") or []]
     return spark.createDataFrame(genes, "set_id string, name string, gene string"), spark.createDataFrame(parts, "set_id string, component string")
@@ -102,7 +112,7 @@ def read_gene_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def read_category_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clusters (category, ordinal, set_id), keywords (category, ordinal, keyword) and patterns (category, ordinal, pattern) in the order of the file."""
-    data = (_load_yaml(path, True) or {}).get("super_categories") or {}
+    data = (_load_yaml(spark, path, True) or {}).get("super_categories") or {}
     out: tuple[list, list, list] = ([], [], [])
     for i, (name, v) in enumerate(data.items()):
         for rows, field in zip(out, ("chad_clusters", "pathway_keywords", "gene_patterns"), strict=True):
@@ -117,15 +127,19 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def count_rows(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(name, n) of Parquet tables; Spark answers a count from the footers. An unreadable table counts zero."""
-    rows = []
+    """(name, n) of Parquet tables, counted in one job that reads no column. Damaged files count zero, as do tables that are missing or have no readable file; other errors are raised."""
+    counts = None
     for name, path in paths.items():
         try:
-            n = spark.read.parquet(path).count()
-        except Exception:  # a damaged or missing table is reported as empty
-            n = 0
-        rows.append((name, n))
-    return spark.createDataFrame(rows, "name string, n bigint")
+            table = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            one = spark.range(1).select(F.lit(name).alias("name"), F.lit(0).cast("long").alias("n"))
+        else:
+            one = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.union(one)
+    return spark.createDataFrame([], "name string, n bigint") if counts is None else counts
 
 
 def read_accounting(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:

@@ -179,3 +179,48 @@ def test_channel_map_falls_back_to_positions_or_fails(spark):
 def test_tiles_turn(spark):
     r = spark.range(1).select(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4))).alias("t")).select(G.rotate(F.col("t")).alias("r"), G.flip(F.col("t")).alias("f"), G.flip(F.col("t"), True).alias("v")).first()
     assert r.r == [[2, 4], [1, 3]] and r.f == [[2, 1], [4, 3]] and r.v == [[3, 4], [1, 2]]
+
+
+def test_closure_of_a_deep_hierarchy_of_shared_parts(spark):
+    """Thirty levels of two sets each, both parts of both above: two to the thirtieth paths, sixty sets."""
+    from heddle.operators import annotate as A
+
+    sets = spark.createDataFrame([(f"s{k}{x}", f"s{k + 1}{y}") for k in range(30) for x in "ab" for y in "ab"], "set_id string, component string")
+    genes = spark.createDataFrame([("s30a", "g"), ("s30b", "h")], "set_id string, gene string")
+    out = A.closure(sets, genes).groupBy("gene").count().collect()
+    assert {(r.gene, r["count"]) for r in out} == {("g", 61), ("h", 61)}
+
+
+def test_names_are_resolved_without_nested_loops(spark, capsys):
+    from heddle.operators import catalog as C
+
+    known = spark.createDataFrame([("ops0001_2024",), ("ops0012_2024_x",), ("abc",), (None,), ("b",)], "name string")
+    asked = spark.createDataFrame([("12",), ("ops1",), ("abc",), ("24_",), ("x",), ("ops00",), ("",), ("none",), ("bc",), ("4_x",)], "query string")
+    out = C.resolve_names(asked, known)
+    assert {r.query: r.resolved for r in out.collect()} == {"12": "ops0012_2024_x", "ops1": "ops0001_2024", "abc": "abc", "24_": "ops0012_2024_x", "x": "ops0012_2024_x", "ops00": "ops0001_2024", "": "abc", "none": "none", "bc": "abc", "4_x": "ops0012_2024_x"}
+
+
+def test_correction_equals_the_definition(spark):
+    from heddle.operators import retrieval as R
+
+    rng = __import__("random").Random(3)
+    rows = [(i, "ab"[i % 2], rng.choice([0.0, 1e-300, 1e-6, 0.5, 1.0, rng.random(), rng.random() ** 8])) for i in range(400)] + [(900, "a", None), (901, None, 0.01), (902, None, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, s string, p double")
+    for scope in ((), ("s",)):
+        got = {r.id: r.corrected_p_value for r in R.correct_p_values(df, "p", scope).collect()}
+        for k in {r[1] for r in rows} if scope else {0}:
+            own = sorted((r[2], r[0]) for r in rows if (not scope or r[1] == k) and r[2] is not None and r[2] == r[2])
+            low = 1.0
+            for rank in range(len(own), 0, -1):
+                low = min(low, own[rank - 1][0] * len(own) / rank)
+                assert abs(got[own[rank - 1][1]] - low) < 1e-12
+        assert got[900] is None and got[902] is None and len(got) == len(rows)
+
+
+def test_set_consistency_joins_by_key(spark):
+    from heddle.operators import retrieval as R
+
+    profiles = spark.createDataFrame([(i, i % 5, [float(i), 1.0]) for i in range(20)], "id long, label int, v array<double>")
+    sets = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "set_id string, member int")
+    plan = R.consistency_rows(profiles, sets, "id", "v", "label")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

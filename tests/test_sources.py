@@ -108,3 +108,21 @@ def test_streaming_rollup(spark, tmp_path):
     got = {(r.start, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {(r.start, r.event_type): r.n for r in windowed_rollup(events, "ts", "event_type", "value", "1 day").collect()}
     assert got and all(batch[k] == n for k, n in got.items())
+
+
+def test_shards_and_missing_chunks(spark, tmp_path):
+    values = np.zeros((10, 13), dtype="<i4")
+    values[1:3, 2:6], values[9, 12] = 5, 9
+    Z.write_sharded(str(tmp_path / "s"), values, (8, 8), (4, 2))
+    Z.write_array(str(tmp_path / "e"), values, (4, 4), skip_empty=True)
+    for name in ("s", "e"):
+        got = {(r.y, r.x): r.value for r in Z.pixels(Z.read_array(spark, str(tmp_path / name), 5)).collect()}
+        assert got == {(y, x): float(values[y, x]) for y in range(10) for x in range(13)}
+
+
+def test_damaged_files_count_nothing(spark, tmp_path):
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "part-x.parquet").write_bytes(b"no parquet")
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "a.parquet").write_bytes(b"no parquet")
+    assert {r.name: r.n for r in R.count_rows(spark, {"t": str(tmp_path / "t"), "u": str(tmp_path / "u")}).collect()} == {"t": 7, "u": 0}
