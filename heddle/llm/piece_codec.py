@@ -133,7 +133,7 @@ def build_tokenizer(model: Model):
     if model.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    back = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")]  # one replacement in the whole text, not one per token
     tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
     return tokenizer
 
