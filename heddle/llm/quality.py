@@ -5,8 +5,9 @@ recorded length. Both start from the same bounded sample of labelled documents.
 view labels those documents of a bounded unlabelled sample of which it is surest, and hands
 them to the other view as training rows. Then each view is calibrated on labelled documents kept aside
 (Platt scaling), the calibrated views are combined by a logistic model on the same documents, and all
-documents are scored. A document is rejected when its probability to be bad reaches the cut, which is the
-larger of 0.5 and the level that all but ``GOOD_LOSS`` of the good calibration documents stay below.
+documents are scored. A document is rejected when its probability to be bad reaches the cut (``rejection_cut``): the
+level that all but ``GOOD_LOSS`` of the good calibration documents stay below, unless fewer than ``LEAST_RECALL`` of the bad or of the
+toxic ones reach it, as happens when some labels are wrong; then the level that so many reach. It is never below 0.5.
 
 A good document is one labelled of quality and not toxic. Sample sizes are parameters; the samples are
 chosen by a hash of the id, so a run repeats. Everything else covers all documents in one pass.
@@ -36,6 +37,8 @@ LABELLED, UNLABELLED, ROUNDS, ASIDE = 6_000, 4_000, 4, 0.3
 SURE, HANDED = 0.97, 200
 #: Share of good calibration documents that may be lost.
 GOOD_LOSS = 0.003
+#: Share of bad calibration documents, and of toxic ones among them, that are to be caught where a level of 0.5 or more allows it.
+LEAST_RECALL = 0.97
 #: Words of the lexicon: documents they stand in at least, and the least root of their likelihood-ratio statistic.
 WORD_DOCS, WORD_Z = 5, 5.0
 #: Log odds ratio from which a word points almost only to bad documents.
@@ -155,8 +158,17 @@ class Model:
         return tuple(1 / (1 + np.exp(-v)) for v in (a, b, self.joint.logit(np.stack([a, b], axis=1))))
 
 
-def co_train(shape: np.ndarray, words: list[np.ndarray], meta: np.ndarray, label: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """Fit both views. ``label`` is 1 for bad, 0 for good, -1 for unlabelled; ``aside`` marks the calibration rows."""
+def rejection_cut(p: np.ndarray, bad: np.ndarray, toxic: np.ndarray) -> float:
+    """Level of the probability ``p`` to be bad from which documents are rejected, from calibration documents of both kinds."""
+    level = float(np.quantile(p[~bad], 1 - GOOD_LOSS, method="higher")) + 1e-9
+    for kind in (bad, toxic):
+        if kind.any():
+            level = min(level, float(np.quantile(p[kind], 1 - LEAST_RECALL, method="lower")))
+    return max(0.5, level)
+
+
+def co_train(shape: np.ndarray, words: list[np.ndarray], meta: np.ndarray, label: np.ndarray, aside: np.ndarray, toxic: np.ndarray, rounds: int = ROUNDS) -> Model | None:
+    """Fit both views. ``label`` is 1 for bad, 0 for good, -1 for unlabelled; ``aside`` marks the calibration rows, ``toxic`` the toxic ones of the bad."""
     train, pool = (label >= 0) & ~aside, label < 0
     if len(set(label[train].tolist())) < 2 or len(set(label[aside & (label >= 0)].tolist())) < 2:
         return None
@@ -183,8 +195,7 @@ def co_train(shape: np.ndarray, words: list[np.ndarray], meta: np.ndarray, label
     both = np.stack([platt[v].logit(logits[v][:, None]) for v in (0, 1)], axis=1)
     joint = Logistic.fit(both, y)
     p = 1 / (1 + np.exp(-joint.logit(both)))
-    cut = max(0.5, float(np.quantile(p[y == 0], 1 - GOOD_LOSS, method="higher")) + 1e-9)
-    return Model(lexicon, views[0], views[1], platt, joint, cut)
+    return Model(lexicon, views[0], views[1], platt, joint, rejection_cut(p, y == 1, toxic[at]))
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> DataFrame:
@@ -206,7 +217,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     share = lambda n, most: scale if n <= most else int(scale * most / n)
     place = lambda c, seed: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(scale))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.col("quality"), F.lit(1)) < 1).cast("int").alias("low"), (F.coalesce(F.col("toxic"), F.lit(0)) > 0).cast("int").alias("toxic")).where("doc_id IS NOT NULL")
-    chosen = known.where(place("doc_id", 3) < share(known.count(), labelled)).groupBy("doc_id").agg(F.greatest(F.max("low"), F.max("toxic")).alias("bad"))
+    chosen = known.where(place("doc_id", 3) < share(known.count(), labelled)).groupBy("doc_id").agg(F.greatest(F.max("low"), 2 * F.max("toxic")).alias("bad"))  # 2: toxic
     rows = _columns(docs, id_col, text_col, source_col, lang_col, chars_col).where("doc_id IS NOT NULL")
     part = place("doc_id", 5) < share(docs.count(), unlabelled)
     # the labelled sample is bounded by construction, so it may be broadcast
@@ -229,10 +240,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     found = [r for r in found if r.bad >= 0 or r.doc_id not in other]
     if not found:
         return None
-    label = np.array([r.bad for r in found])
+    kind = np.array([r.bad for r in found])
     wide = lambda c: np.stack([np.frombuffer(r[c], dtype=np.float64) for r in found])
     aside = (mix(np.array([r.doc_id for r in found], dtype=np.int64).view(np.uint64)) % np.uint64(1000)) < int(1000 * ASIDE)
-    return co_train(wide("shape"), [np.frombuffer(r.words, dtype=np.uint64) for r in found], wide("meta"), label, aside)
+    return co_train(wide("shape"), [np.frombuffer(r.words, dtype=np.uint64) for r in found], wide("meta"), np.minimum(kind, 1), aside, kind == 2)
 
 
 def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", documents: bool = False) -> DataFrame:

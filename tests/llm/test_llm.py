@@ -577,6 +577,24 @@ def test_quality_finds_bad_documents(spark, docs, empty):
     assert {(r.score, r.kept) for r in score_quality(docs.where("doc_id = 7"), None).collect()} == {(None, True)}
 
 
+def test_wrong_labels_do_not_lift_the_cut():
+    from heddle.llm.quality import GOOD_LOSS, LEAST_RECALL, rejection_cut
+
+    rng = np.random.default_rng(4)
+    good, bad, toxic = rng.uniform(0, 0.4, 2000), rng.uniform(0.7, 1, 300), rng.uniform(0.6, 0.9, 40)
+    p = np.concatenate([good, bad, toxic])
+    is_bad, is_toxic = np.arange(p.size) >= 2000, np.arange(p.size) >= 2300
+    assert rejection_cut(p, is_bad, is_toxic) == 0.5
+    p[:100] = 0.999  # one in twenty good labels is wrong
+    cut = rejection_cut(p, is_bad, is_toxic)
+    assert 0.5 <= cut <= 0.7 and (p[is_toxic] >= cut).mean() >= LEAST_RECALL and (p[is_bad] >= cut).mean() >= LEAST_RECALL
+    p[:2000] = np.linspace(0, 0.65, 2000)  # good documents above one half, bad ones clearly above them: the loss decides
+    p[2000:] = 0.9
+    cut = rejection_cut(p, is_bad, is_toxic)
+    assert (p[:2000] >= cut).mean() <= GOOD_LOSS and cut > 0.5
+    assert rejection_cut(p, is_bad, np.zeros(p.size, dtype=bool)) == cut
+
+
 def test_scores_match_brute_force(spark, docs):
     """Features by regular expressions and counters, score by the three logistic models written out."""
     from heddle.llm.quality import fit_quality, letter_words, score_quality, text_shape
