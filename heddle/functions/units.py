@@ -64,3 +64,11 @@ def nan_to_zero_clipped(x: Column | str) -> Column:
     """NaN becomes 0, infinities the largest doubles."""
     v, top = _c(x).cast("double"), 1.7976931348623157e308
     return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(F.greatest(F.least(v, F.lit(top)), F.lit(-top)))
+
+
+def octave(v: Column) -> Column:
+    """Whole number that never falls as v grows: sign, power of two and the 256th of it. There are at most 600,000 such numbers; infinities have their own."""
+    size = F.abs(v)
+    e = F.floor(F.log2(size))
+    step = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(1 << 20)).otherwise((e + 1100) * 256 + F.floor((size / F.pow(F.lit(2.0), e) - 1) * 256))
+    return (F.signum(v).cast("long") * step).cast("long")

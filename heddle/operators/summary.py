@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.units import octave
+
 
 def weighted_score(groups: DataFrame, score: str, p: str, floor: float = 1e-6, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of score times -log10(p clipped to [floor, 1]) over its largest value; NaN below three groups, NULL scores left out."""
@@ -48,10 +50,30 @@ def mean_curve(points: DataFrame, series: str, x: str, y: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row per metric: n, mean, quartiles; NULLs left out. One pass for all metrics."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("s")).select("s.*")
-    q = long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return q.select("metric", "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    """One row per metric: n, mean, exact quartiles (interpolated); NULL and NaN left out. Without rows there is no row.
+
+    Values are counted first, then their buckets: the ranks of the quartiles point to at most six buckets of a metric, and
+    only the distinct values of those are put in order.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.nullif(F.col(m).cast("double"), F.lit(float("nan"))).alias("v")) for m in metrics])).alias("s")).select("s.*")
+    counts = long.groupBy("metric", "v").agg(F.count("v").alias("c")).withColumn("b", octave(F.col("v")))
+    sizes = counts.groupBy("metric", "b").agg(F.sum("c").alias("c"), F.sum(F.col("v") * F.col("c")).alias("s"))
+    total = sizes.groupBy("metric").agg(F.sum("c").alias("n"), F.sum("s").alias("s"))
+    before = F.sum("c").over(Window.partitionBy("metric").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    place = F.col("q") * (F.col("n") - 1)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.floor(place).alias("rank")), F.struct(F.lit(1).alias("end"), F.ceil(place).alias("rank"))))
+    ranks = total.where("n > 0").withColumn("q", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).select("metric", "q", (place - F.floor(place)).alias("part"), ends.alias("e")).select("metric", "q", "part", "e.*")
+    within = lambda start: (F.col("rank") >= start) & (F.col("rank") < start + F.col("c"))
+    # six ranks of each named metric, so they may be broadcast
+    found = sizes.where("b IS NOT NULL").withColumn("before", before).join(F.broadcast(ranks), "metric").where(within(F.col("before")))
+    start = F.sum("c").over(Window.partitionBy("metric", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    inside = counts.join(F.broadcast(found.select("metric", "b").distinct()), ["metric", "b"], "left_semi").withColumn("start", start)
+    at = inside.join(F.broadcast(found.select("metric", "b", "before", "q", "part", "end", "rank")), ["metric", "b"]).where(within(F.col("before") + F.col("start")))
+    ends = at.groupBy("metric", "q", "part").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part"))
+    quartile = lambda q: F.max(F.when(F.col("q") == q, value))
+    cuts = ends.groupBy("metric").agg(quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
+    return total.join(cuts, "metric", "left").select("metric", "n", (F.col("s") / F.nullif("n", F.lit(0))).alias("mean"), "q1", "median", "q3")
 
 
 def top_rows(df: DataFrame, value: str, n: int, tie: str, drop: Column | None = None) -> DataFrame:

@@ -224,3 +224,35 @@ def test_set_consistency_joins_by_key(spark):
     sets = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "set_id string, member int")
     plan = R.consistency_rows(profiles, sets, "id", "v", "label")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_distribution_equals_quantiles(spark):
+    import math
+
+    import numpy as np
+
+    from heddle.operators import summary as S
+
+    rng = np.random.default_rng(8)
+    inf, nan = float("inf"), float("nan")
+    a = [None, nan, 0.0, -0.0, 1e-320, -5e-324, 1e300, -1e200, 8.0, 7.999999999999999, *rng.normal(0, 3, 300).tolist(), *[2.5] * 60]
+    b = [-v if v is not None else None for v in rng.integers(-3, 9, len(a)).astype(float).tolist()]
+    df = spark.createDataFrame([(x, y, None, 4.0 if i == 3 else None, inf if i % 2 else -inf) for i, (x, y) in enumerate(zip(a, b))], "a double, b double, none double, one double, ends double")
+    got = {r.metric: r for r in S.distribution(df, df.columns).collect()}
+    for name, values in (("a", a), ("b", b), ("one", [4.0])):
+        own = [v for v in values if v is not None and not math.isnan(v)]
+        r = got[name]
+        assert r.n == len(own) and np.allclose([r.mean, r.q1, r.median, r.q3], [math.fsum(own) / len(own), *np.quantile(own, [0.25, 0.5, 0.75])])
+    assert tuple(got["none"]) == ("none", 0, None, None, None, None) and (got["ends"].q1, got["ends"].q3) == (-inf, inf)
+    assert S.distribution(df.where("false"), ["a"]).count() == 0
+
+
+def test_octaves_never_fall(spark):
+    from pyspark.sql import functions as F
+
+    from heddle.functions.units import octave
+
+    edges = [x for e in range(-1074, 1024, 7) for x in (2.0**e, 2.0**e * 1.5, 2.0**e * (2 - 2**-52))]
+    values = sorted({*edges, *(-x for x in edges), 0.0, 1e308, float("inf"), float("-inf")})
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(octave(F.col("x"))).collect()]
+    assert got == sorted(got)
