@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import names as N
+from heddle.operators.spatial import numbered
 
 
 def excluded(experiments: DataFrame, rules: DataFrame, categories: list[str], cutoff: str | None = None, name: str = "name") -> DataFrame:
@@ -203,6 +204,6 @@ def eta_seconds(elapsed: Column, done: Column, total: Column) -> Column:
 
 
 def grid_cells(rows: DataFrame, order: list[str], n_rows: int) -> DataFrame:
-    """``row`` and ``col`` of each row in a grid filled column by column, in the given order. The numbers come from one sorted pass over the panels of a figure."""
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-    return rows.withColumn("_k", k).withColumn("row", (F.col("_k") % n_rows).cast("int")).withColumn("col", F.floor(F.col("_k") / n_rows).cast("int")).drop("_k")
+    """``row`` and ``col`` of each row in a grid filled column by column, in the given order."""
+    k = numbered(rows, order, "_k").withColumn("_k", F.col("_k") - 1)
+    return k.withColumn("row", (F.col("_k") % n_rows).cast("int")).withColumn("col", F.floor(F.col("_k") / n_rows).cast("int")).drop("_k")

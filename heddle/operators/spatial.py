@@ -81,11 +81,16 @@ def last_position(positions: DataFrame, group: str, position: str) -> DataFrame:
     return positions.groupBy(group).agg(F.max_by(position, F.struct(number, position)).alias(position))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """Place of each row, from one, in a total order. Rows are sorted by range; only the number of rows of each range crosses to one task."""
+def sorted_parts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``_p``, the number of their range in this order; written to the shared folder, so that the ranges stay."""
     folder = work_folder(rows.sparkSession, "sorted")
     rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).write.parquet(folder)
-    done = rows.sparkSession.read.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Place of each row, from one, in a total order. Rows are sorted by range; only the number of rows of each range crosses to one task."""
+    done = sorted_parts(rows, order)
     before = done.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n")).alias("_n"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return done.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_i")).drop("_p", "_n", "_i")
@@ -94,7 +99,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFram
 def label_codes(rows: DataFrame, name: str, control: str = "NTC") -> DataFrame:
     """(name, code): dense numbers of the sorted distinct names, NULL standing for the control."""
     d = rows.select(F.coalesce(name, F.lit(control)).alias(name)).distinct()
-    return d.withColumn("code", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(name)) - 1)
+    return numbered(d, [name], "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def has_data(tiles: DataFrame, group: list[str], values: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.units import octave
+from heddle.operators.spatial import sorted_parts
 
 
 def weighted_score(groups: DataFrame, score: str, p: str, floor: float = 1e-6, by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,15 +39,34 @@ def trapezoid(curve: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> Dat
 def mean_curve(points: DataFrame, series: str, x: str, y: str) -> DataFrame:
     """Mean over the series of their linear interpolation on the union of all x; flat beyond a series' ends.
 
-    The grid joins each series once; the two neighbours come from windows over one series.
+    The sum of the series is itself a broken line: it starts at the sum of their first values and its slope changes
+    only where one of them has a point. So no series meets the x of another: the changes are added up by x, and the
+    line is followed in the order of x. Both orders are kept in ranges, and one row of each range crosses to one task.
+
+    Defined cases: values of one series at one x are averaged; NULL, NaN and infinite y are unknown, their x stays in the union;
+    rows of such an x are left out, and a NULL series only adds its x; without any known y the mean is NULL and ``n`` zero.
     """
-    grid = points.select(x).distinct().crossJoin(points.select(series).distinct())
-    full = grid.join(points.select(series, x, F.col(y).alias("_y")).groupBy(series, x).agg(F.avg("_y").alias("_y")), [series, x], "left")
-    w = Window.partitionBy(series).orderBy(x)
-    known = F.when(F.col("_y").isNotNull(), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
-    full = full.withColumn("_l", F.last(known, True).over(w)).withColumn("_r", F.first(known, True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    value = F.when(F.col("_l").isNull(), F.col("_r.y")).when(F.col("_r").isNull() | (F.col("_l.x") == F.col("_r.x")), F.col("_l.y")).otherwise(F.col("_l.y") + (F.col("_r.y") - F.col("_l.y")) * (F.col(x) - F.col("_l.x")) / (F.col("_r.x") - F.col("_l.x")))
-    return full.withColumn("_v", value).groupBy(x).agg(F.avg("_v").alias(y), F.count("_v").alias("n"))
+    finite = lambda c: F.when(F.abs(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))) < float("inf"), F.col(c).cast("double"))
+    rows = points.select(F.col(series).alias("_s"), finite(x).alias("_x"), finite(y).alias("_y")).where("_x IS NOT NULL").groupBy("_s", "_x").agg(F.avg("_y").alias("_y"))
+    placed = sorted_parts(rows.where("_s IS NOT NULL AND _y IS NOT NULL"), ["_s", "_x"])
+    v, w, here = Window.partitionBy(F.lit(0)).orderBy("_p"), Window.partitionBy("_p").orderBy("_s", "_x"), F.struct("_s", "_x", "_y")
+    edges = placed.groupBy("_p").agg(F.min(here).alias("_head"), F.max(here).alias("_tail")).select("_p", F.lag("_tail").over(v).alias("_before"), F.lead("_head").over(v).alias("_after"))
+    near = placed.join(F.broadcast(edges), "_p").withColumn("_before", F.coalesce(F.lag(here).over(w), "_before")).withColumn("_after", F.coalesce(F.lead(here).over(w), "_after"))
+    slope = lambda o: F.when(F.col(o)["_s"] == F.col("_s"), (F.col(o)["_y"] - F.col("_y")) / (F.col(o)["_x"] - F.col("_x")))
+    near = near.select("_x", "_y", slope("_before").alias("_in"), slope("_after").alias("_out"))
+    turns = near.select("_x", (F.coalesce("_out", F.lit(0.0)) - F.coalesce("_in", F.lit(0.0))).alias("_d"), F.when(F.col("_in").isNull(), F.col("_y")).alias("_first"))
+
+    turns = turns.union(rows.select("_x", F.lit(0.0), F.lit(None).cast("double")))
+    line = sorted_parts(turns.groupBy("_x").agg(F.sum("_d").alias("_d"), F.sum("_first").alias("_first"), F.count("_first").alias("n")), ["_x"])
+    start = line.agg(F.sum("_first").alias("_first"), F.sum("n").alias("n"))
+    w = Window.partitionBy("_p").orderBy("_x")
+    line = line.withColumn("_a", F.sum("_d").over(w)).withColumn("_l", F.coalesce(F.lag("_a").over(w) * (F.col("_x") - F.lag("_x").over(w)), F.lit(0.0))).withColumn("_l", F.sum("_l").over(w))
+    earlier = lambda c: F.coalesce(F.sum(c).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ends = line.groupBy("_p").agg(F.sum("_d").alias("_d"), F.max_by("_l", "_x").alias("_l"), F.max("_x").alias("_e"))
+    ends = ends.select("_p", "_l", "_e", earlier("_d").alias("_slope"), F.coalesce(F.lag("_e").over(v), F.lit(0.0)).alias("_from"))
+    ends = ends.select("_p", "_slope", "_from", earlier(F.col("_slope") * (F.col("_e") - F.col("_from")) + F.col("_l")).alias("_rise"))
+    total = F.col("_first") + F.col("_rise") + F.col("_slope") * (F.col("_x") - F.col("_from")) + F.col("_l")
+    return line.drop("_first", "n").join(F.broadcast(ends), "_p").join(F.broadcast(start)).select(F.col("_x").alias(x), (total / F.nullif("n", F.lit(0))).alias(y), "n")
 
 
 def distribution(df: DataFrame, metrics: list[str]) -> DataFrame:

@@ -231,8 +231,6 @@ def test_distribution_equals_quantiles(spark):
 
     import numpy as np
 
-    from heddle.operators import summary as S
-
     rng = np.random.default_rng(8)
     inf, nan = float("inf"), float("nan")
     a = [None, nan, 0.0, -0.0, 1e-320, -5e-324, 1e300, -1e200, 8.0, 7.999999999999999, *rng.normal(0, 3, 300).tolist(), *[2.5] * 60]
@@ -256,3 +254,67 @@ def test_octaves_never_fall(spark):
     values = sorted({*edges, *(-x for x in edges), 0.0, 1e308, float("inf"), float("-inf")})
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(octave(F.col("x"))).collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("coalesce", ["false", "true"])
+def test_mean_curve_equals_interpolation(spark, coalesce):
+    """Against NumPy's interpolation, in several ranges and in one, with one long series, repeated, unknown and NULL values."""
+    rng = np.random.default_rng(5)
+    rows = [("long", float(x), float(y)) for x, y in zip(rng.choice(1000, 60, replace=False) / 7 + 1e6, rng.normal(size=60), strict=True)]
+    rows += [(s, float(x) / 7 + 1e6, float(y)) for s in "abc" for x, y in zip(rng.integers(0, 1000, 5), rng.normal(size=5), strict=True)]
+    rows += [("one", 1e6 + 3, 2.0), ("one", 1e6 + 3, 4.0), ("gap", 1e6 + 1, None), ("gap", 1e6 + 2, float("nan")), (None, 1e6 + 5, 9.0), ("a", None, 1.0), ("a", float("inf"), 1.0), ("b", 1e6 + 4, float("inf"))]
+    points = spark.createDataFrame(rows, "series string, x double, y double")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, coalesce)
+    try:
+        out = {r.x: (r.y, r.n) for r in S.mean_curve(points, "series", "x", "y").collect()}
+    finally:
+        spark.conf.set(key, before)
+    known = {}
+    for s, x, y in rows:
+        if s is not None and x is not None and np.isfinite(x) and y is not None and np.isfinite(y):
+            known.setdefault(s, {}).setdefault(x, []).append(y)
+    union = sorted({x for _, x, _ in rows if x is not None and np.isfinite(x)})
+    want = np.mean([np.interp(union, sorted(k), [np.mean(k[x]) for x in sorted(k)]) for k in known.values()], axis=0)
+    assert sorted(out) == union and {n for _, n in out.values()} == {len(known)}
+    assert np.allclose([out[x][0] for x in union], want, atol=1e-7)
+
+
+def test_mean_curve_without_known_values(spark):
+    points = spark.createDataFrame([("a", 1.0, None)], "series string, x double, y double")
+    assert [tuple(r) for r in S.mean_curve(points, "series", "x", "y").collect()] == [(1.0, None, 0)]
+    assert S.mean_curve(points.where("x > 1"), "series", "x", "y").collect() == []
+
+
+def test_codes_and_grids_number_all_rows(spark):
+    rows = spark.createDataFrame([(f"g{i % 40:02d}" if i % 7 else None,) for i in range(300)], "name string")
+    names = sorted({r.name or "NTC" for r in rows.collect()})
+    assert {r.name: r.code for r in G.label_codes(rows, "name").collect()} == {n: i for i, n in enumerate(names)}
+    panels = spark.range(11).withColumnRenamed("id", "k")
+    assert {(r.k, r.row, r.col) for r in C.grid_cells(panels, ["k"], 4).collect()} == {(k, k % 4, k // 4) for k in range(11)}
+
+
+def test_null_sets_are_equally_likely_on_both_sides():
+    from collections import Counter
+    from itertools import combinations
+
+    for k in (2, 4):
+        seen = Counter(map(tuple, R._random_ranks(np.random.default_rng(k), 60_000, k, 6).tolist()))
+        sets = list(combinations(range(1, 7), k))
+        assert set(seen) == set(sets)
+        assert max(abs(n - 60_000 / len(sets)) for n in seen.values()) < 5 * (60_000 / len(sets)) ** 0.5
+
+
+def test_parts_of_a_null_add_up(spark, monkeypatch):
+    """The number of draws is exact when the null is no multiple of a part, and parts differ."""
+    from pyspark.sql import Row
+
+    ap = spark.createDataFrame([Row(g=g, average_precision=a, normalized_average_precision=a, n_pos_pairs=2, n_total_pairs=7) for g, a in [("x", 1.0), ("y", 0.0), (None, 0.4)]])
+    monkeypatch.setattr(R, "NULL_PART", 400)
+    R.null_scores.cache_clear()
+    out = {r.g: r.p_value for r in R.with_p_values(ap, ["g"], 1000).collect()}
+    R.null_scores.cache_clear()
+    null = np.concatenate([R.null_scores(2, 7, n, R.SEED, part) for part, n in enumerate((400, 400, 200))])
+    assert out == {g: pytest.approx((1 + int((null >= a - 1e-12).sum())) / 1001) for g, a in [("x", 1.0), ("y", 0.0), (None, 0.4)]}
+    assert out["y"] == 1.0 and not np.array_equal(null[:400], null[400:800])
