@@ -54,4 +54,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op4_decontaminate": _OP4, "op5_warc": _OP5, "op9_substring_dedup": _OP9}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1)::INT AS good, bool_or(toxic IS NOT DISTINCT FROM 1)::INT AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+ + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x))::INT + 8 * regexp_matches(x, '[#$%&*|]')::INT
+ + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY x), false)::INT AS mask FROM d LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, list_sum(bits[1:k]) - bits[k] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+r AS (SELECT c.part, s.filter_order, s.step, s.bit, sum(CASE WHEN mask & (bit | before::INT) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit > 0 AND mask & before::INT = 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN mask & bit > 0 AND mask & before::INT > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN mask & bit > 0 AND mask & before::INT = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & before::INT = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+(sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+_OP12 = f"""
+WITH t AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS v FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+gd AS (SELECT rid, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, greatest(len(w), 1))])) AS g FROM d),
+gb AS (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, greatest(len(w), 1))])) AS g FROM b),
+u AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM gd UNION SELECT g FROM gb)),
+k AS (SELECT g, xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(h) // 2)], lambda c, x: xor(c >> 8, v[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM u, t),
+s AS (SELECT bucket, count(*) AS s FROM gd JOIN k USING (g) GROUP BY bucket),
+q AS (SELECT bucket, count(*) AS t FROM gb JOIN k USING (g) GROUP BY bucket),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS bs, coalesce((SELECT sum(t) FROM q), 0)::DOUBLE AS bt),
+e AS (SELECT bucket, floor(1000.0 * ln((coalesce(t, 0) + 1)::DOUBLE * (bs + 10000) / ((s + 1)::DOUBLE * (bt + 10000))))::BIGINT AS gain FROM s LEFT JOIN q USING (bucket), n),
+m AS (SELECT rid, count(*) AS n_features, sum(gain)::BIGINT AS total FROM gd JOIN k USING (g) JOIN e USING (bucket) GROUP BY rid),
+w AS (SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, CASE WHEN total IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END::BIGINT AS weight FROM d LEFT JOIN m USING (rid)),
+c AS (SELECT *, weight + floor(-1000.0 * ln(-ln((('0x' || substr(sha256(concat('7:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM w),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, rid) AS place FROM c WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM r) // 100 THEN place END::BIGINT AS rank FROM c LEFT JOIN r USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op4_decontaminate": _OP4, "op5_warc": _OP5, "op9_substring_dedup": _OP9, "op11_filter_audit": _OP11, "op12_importance": _OP12}

@@ -83,4 +83,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_token_files, op4_decontaminate, op5_warc, op6_sentencepiece, op7_quality, op8_html_text, op9_substring_dedup, op10_quality_rules)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.filter_audit import audit_filters
+
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.bpe_lexicon import bpe_words
+
+    return bpe_words(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_token_files, op4_decontaminate, op5_warc, op6_sentencepiece, op7_quality, op8_html_text, op9_substring_dedup, op10_quality_rules, op11_filter_audit, op12_importance, op13_bpe_lexicon)}
