@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.plans import files, scoring, tables
+from heddle.plans import files, scoring, stores, tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scoring.QUERIES | tables.QUERIES | files.QUERIES
+    return scoring.QUERIES | tables.QUERIES | files.QUERIES | stores.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return scoring.ORACLES | tables.ORACLES | files.ORACLES
+    return scoring.ORACLES | tables.ORACLES | files.ORACLES | stores.ORACLES

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from heddle.functions import names as N
@@ -13,7 +12,6 @@ from heddle.operators import profiles as P
 from heddle.operators import retrieval as R
 from heddle.operators import spatial as G
 from heddle.plans.inputs import cte, read
-from heddle.sources import arrays as Z
 from heddle.sources import readers as S
 
 QUERIES, ORACLES = {}, {}
@@ -155,33 +153,6 @@ def listing_scan(spark, sf_dir):
     return found.select(F.url_decode(F.regexp_extract("path", "event_type=([^/]+)/", 1)).alias("event_type")).distinct()
 
 
-_GRID = "SELECT (l_orderkey * 7 % 37)::INT AS y, (l_partkey * 13 % 29)::INT AS x, count(*) AS n FROM lineitem WHERE l_orderkey % 37 > 4 GROUP BY 1, 2"
-
-
-def _grid(spark, sf_dir) -> np.ndarray:
-    """Counts on a grid of 37 x 29, with empty rows: bounded, whatever the table."""
-    out = np.zeros((37, 29), dtype="<i4")
-    for r in spark.sql(_GRID.replace("lineitem", "{lineitem}").replace("::INT", ""), lineitem=_table(spark, sf_dir, "lineitem")).collect():
-        out[int(r.y), int(r.x)] = r.n
-    return out
-
-
-@query(f"WITH g AS ({_GRID}) SELECT r.y::INT AS y, c.x::INT AS x, coalesce(n, 0)::DOUBLE AS value FROM range(37) r(y), range(29) c(x) LEFT JOIN g ON g.y = r.y AND g.x = c.x")
-def array_scan(spark, sf_dir):
-    """An array in chunks, written and scanned; chunks that are not written hold the fill value."""
-    path = S.work_folder(spark, "array").removeprefix("file://")
-    Z.write_array(path, _grid(spark, sf_dir), (8, 8), skip_empty=True)
-    return Z.pixels(Z.read_array(spark, path))
-
-
-@query(f"WITH g AS ({_GRID}) SELECT r.y::INT AS y, c.x::INT AS x, coalesce(n, 0)::DOUBLE AS value FROM range(37) r(y), range(29) c(x) LEFT JOIN g ON g.y = r.y AND g.x = c.x")
-def sharded_array_scan(spark, sf_dir):
-    """The same in version 3 with shards of 16 x 16 and inner chunks of 4 x 8."""
-    path = S.work_folder(spark, "shards").removeprefix("file://")
-    Z.write_sharded(path, _grid(spark, sf_dir), (16, 16), (4, 8))
-    return Z.pixels(Z.read_array(spark, path))
-
-
 @query("SELECT concat(l_orderkey, '.', l_linenumber) AS job_id, CASE WHEN l_linenumber % 2 = 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS state, CASE WHEN l_linenumber % 3 > 0 THEN l_returnflag END AS node FROM lineitem")
 def accounting_scan(spark, sf_dir):
     """Lines parted by pipes, some too short."""

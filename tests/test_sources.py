@@ -11,6 +11,7 @@ from heddle.operators.spatial import label_boxes
 from heddle.sources import arrays as Z
 from heddle.sources import readers as R
 from heddle.streaming.rollups import run_available, windowed_rollup
+from tests import array_files
 
 
 def test_csv_and_parts(spark, tmp_path):
@@ -85,7 +86,7 @@ def test_log_keeps_the_last_entry_per_key(spark, tmp_path):
 def test_array_chunks(spark, tmp_path, codec):
     values = np.zeros((2, 9, 7), dtype="<i4")
     values[0, 1:3, 2:6], values[0, 8, 6] = 5, 9
-    Z.write_array(str(tmp_path / "img"), values, (1, 4, 4), codec)
+    array_files.write_array(str(tmp_path / "img"), values, (1, 4, 4), codec)
     df = Z.read_array(spark, str(tmp_path / "img"), 3)
     assert df.count() == 12
     back = np.zeros_like(values)
@@ -113,8 +114,8 @@ def test_streaming_rollup(spark, tmp_path):
 def test_shards_and_missing_chunks(spark, tmp_path):
     values = np.zeros((10, 13), dtype="<i4")
     values[1:3, 2:6], values[9, 12] = 5, 9
-    Z.write_sharded(str(tmp_path / "s"), values, (8, 8), (4, 2))
-    Z.write_array(str(tmp_path / "e"), values, (4, 4), skip_empty=True)
+    array_files.write_sharded(str(tmp_path / "s"), values, (8, 8), (4, 2))
+    array_files.write_array(str(tmp_path / "e"), values, (4, 4), skip_empty=True)
     for name in ("s", "e"):
         got = {(r.y, r.x): r.value for r in Z.pixels(Z.read_array(spark, str(tmp_path / name), 5)).collect()}
         assert got == {(y, x): float(values[y, x]) for y in range(10) for x in range(13)}
