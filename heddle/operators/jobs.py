@@ -29,12 +29,39 @@ def resource_summary(jobs: DataFrame, by: list[str]) -> DataFrame:
     return jobs.groupBy(*by).agg(F.count("*").alias("n_jobs"), F.min(some(elapsed)).alias("min_s"), F.max(some(elapsed)).alias("max_s"), (F.min(some(memory)) / F.lit(1024.0**3)).alias("min_gb"), (F.max(some(memory)) / F.lit(1024.0**3)).alias("max_gb"), F.avg(use).alias("cpu_pct"))
 
 
+#: Measures of a sub-task's entry and what a parent reports of them: column -> ((result, function, digits), ...).
+_MEASURES = {
+    "gpu_sm_util_avg_pct": (("gpu_sm_util_mean", "avg", 2), ("gpu_sm_util_min", "min", 2), ("gpu_sm_util_max", "max", 2)),
+    "gpu_sm_util_max_pct": (("gpu_sm_util_peak", "max", 2),),
+    "gpu_mem_used_mib": (("gpu_mem_mib_max", "max", 1),),
+    "gpu_mem_used_percent": (("gpu_mem_pct_max", "max", 2),),
+    "gpu_power_avg_w": (("gpu_power_mean", "avg", 1),),
+    "gpu_power_max_w": (("gpu_power_max", "max", 1),),
+    "cpu_util_pct": (("cpu_util_mean", "avg", 2),),
+}
+
+
+def parent_keys(key: Column) -> Column:
+    """What stands before each underscore of a key: the keys of all entries above it."""
+    cut = lambda i: F.when(F.substr(key, i, F.lit(1)) == "_", F.substr(key, F.lit(1), i - 1))
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), cut), lambda k: k.isNotNull())
+
+
 def subtask_rollup(log: DataFrame, parents: DataFrame) -> DataFrame:
-    """Metrics of the entries whose key starts with a parent's key and an underscore: number, sum, mean and range of seconds, hosts. Joined on the key's prefix before its last part, then checked."""
-    child = log.withColumn("_p", F.regexp_replace("log_key", "_[^_]*$", ""))
-    seconds = F.regexp_extract("duration", r"([0-9]+\.?[0-9]*)", 1).try_cast("double")
-    rows = parents.select(F.col("log_key").alias("parent")).join(child, F.col("parent") == F.col("_p"))
-    return rows.withColumn("_s", seconds).groupBy("parent").agg(F.count("*").alias("n"), F.round(F.sum("_s"), 2).alias("total_s"), F.round(F.avg("_s"), 2).alias("mean_s"), F.round(F.min("_s"), 2).alias("min_s"), F.round(F.max("_s"), 2).alias("max_s"), F.array_join(F.sort_array(F.collect_set("hostname")), ",").alias("hosts"))
+    """One row per parent with sub-tasks, the entries at any depth whose key starts with the parent's and an underscore: number, seconds, hosts, and the measures of ``_MEASURES`` and GPU models that the log has.
+
+    Entries are added up for all keys above them, combined before the shuffle, and parents meet one row per key. Seconds are read from numbers and texts like
+    ``12.5 seconds``; other texts are unknown. Results of measures that no sub-task has are NULL; parents given twice count once; NULL keys are no entries.
+    """
+    text = F.trim(F.col("duration").cast("string"))
+    seconds = F.when(text.endswith("seconds"), F.split(text, r"\s+")[0].try_cast("double")).otherwise(text.try_cast("double"))
+    above = log.where("log_key IS NOT NULL").withColumns({"_s": seconds, "parent": F.explode(parent_keys(F.col("log_key")))})
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(F.col(c) != "", F.col(c)))), ",")
+    results = [F.count("*").alias("n"), *(F.round(f(F.col("_s")), 2).alias(n) for n, f in (("total_s", F.sum), ("mean_s", F.avg), ("min_s", F.min), ("max_s", F.max))), listed("hostname").alias("hosts")]
+    for c in [c for c in _MEASURES if c in log.columns]:
+        results += [F.round(getattr(F, f)(F.col(c).cast("double")), d).alias(n) for n, f, d in _MEASURES[c]]
+    results += [listed("gpu_models").alias("gpu_models")] if "gpu_models" in log.columns else []
+    return above.groupBy("parent").agg(*results).join(parents.select(F.col("log_key").alias("parent")).distinct(), "parent")
 
 
 def latest_per_key(log: DataFrame, key: str, order: str) -> DataFrame:

@@ -61,18 +61,66 @@ def units(positions: DataFrame) -> DataFrame:
 
 
 def balanced_sample(positions: DataFrame, group: str, order: str, n: Column | int) -> DataFrame:
-    """Up to ``n`` positions of each group around the middle one (by order); the remainder of an uneven number goes to the earlier side. The window is over one group's positions."""
+    """Up to ``n`` positions of each group around its middle one (by order): the block starts half of ``n``, rounded down, before it. The window is over one group's positions."""
     n = F.lit(n) if isinstance(n, int) else n
     w = Window.partitionBy(group).orderBy(order)
     rows = positions.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    start = F.floor((F.col("_n") - F.least(n, F.col("_n"))) / 2)
-    return rows.where((F.col("_r") > start) & (F.col("_r") <= start + n)).drop("_r", "_n")
+    k = F.least(n, F.col("_n"))
+    start = F.floor(F.col("_n") / 2) - F.floor(k / 2)
+    return rows.where((F.col("_r") > start) & (F.col("_r") <= start + k)).drop("_r", "_n")
 
 
 def shares(groups: DataFrame, total: int, order: str) -> DataFrame:
-    """How many of ``total`` each group gives: equal parts, the remainder to the first ones."""
+    """How many of ``total`` each group gives: equal parts of at least one, the remainder to the first ones. The window is over the groups."""
     k, n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)), F.count("*").over(Window.partitionBy(F.lit(0)))
-    return groups.withColumn("n", F.floor(F.lit(total) / n) + F.when(k <= F.lit(total) % n, 1).otherwise(0))
+    base = F.greatest(F.lit(1), F.floor(F.lit(total) / n))
+    return groups.withColumn("n", base + F.when(k <= F.lit(total) - base * n, 1).otherwise(0))
+
+
+def _tile_order(position: str) -> Column:
+    """Number of a position's last part, which orders the tiles of a well; zero without digits."""
+    digits = F.regexp_replace(F.substring_index(position, "/", -1), r"\D", "")
+    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+
+
+def _ranked(positions: DataFrame, well: str, position: str) -> DataFrame:
+    """Positions with ``_r`` (from zero, in the order of their well's tiles) and ``_n`` of their well; the windows are over one well."""
+    w = Window.partitionBy(well)
+    return positions.withColumn("_r", F.row_number().over(w.orderBy(_tile_order(position), position)) - 1).withColumn("_n", F.count("*").over(w))
+
+
+def sample_positions(positions: DataFrame, well: str, position: str, total: int) -> DataFrame:
+    """``total`` positions in central blocks: each well gives its share (see ``shares``) or all it has, and the first wells fill the total where shares of one exceed it. Nothing asked for (``total`` below one) means all."""
+    if total < 1:
+        return positions
+    given = shares(positions.select(well).distinct(), total, well)
+    rows = _ranked(positions, well, position).join(F.broadcast(given.withColumnRenamed("n", "_k")), well)
+    k = F.least("_k", "_n")
+    start = F.floor(F.col("_n") / 2) - F.floor(k / 2)
+    chosen = rows.where((F.col("_r") >= start) & (F.col("_r") < start + k))
+    before = chosen.groupBy(well).agg(F.count("*").alias("_c")).select(well, (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy(well)) - F.col("_c")).alias("_b"))
+    place = F.col("_b") + F.col("_r") - start
+    return chosen.join(F.broadcast(before), well).where(place < total).drop("_r", "_n", "_k", "_b")
+
+
+def discover_positions(positions: DataFrame, well: str, position: str, total: int) -> DataFrame:
+    """``total`` positions of a central block of as many wells: each gives up to ``ceil(total / wells)``, spreading from its middle tile (the lower side first), and wells are filled in order until the total is met.
+
+    Wells without so many tiles leave room that later wells use only up to their own part, so fewer than ``total`` may come back. Windows are over one well, and over one row per well.
+    """
+    if total < 1:
+        return positions.limit(0)
+    one = Window.partitionBy(F.lit(0))
+    wells = positions.groupBy(well).agg(F.count("*").alias("_n"))
+    wells = wells.withColumn("_w", F.row_number().over(one.orderBy(well)) - 1).withColumn("_all", F.count("*").over(one))
+    start = F.when(F.lit(total) >= F.col("_all"), 0).otherwise(F.floor(F.col("_all") / 2) - F.lit(total // 2))
+    wells = wells.where((F.col("_w") >= start) & (F.col("_w") < start + total)).withColumn("_all", F.count("*").over(one))
+    gives = wells.withColumn("_g", F.least(F.col("_n"), F.ceil(F.lit(total) / F.col("_all"))))
+    gives = gives.withColumn("_b", F.sum("_g").over(one.orderBy(well)) - F.col("_g")).withColumn("_g", F.greatest(F.lit(0), F.least(F.col("_g"), F.lit(total) - F.col("_b"))))
+    rows = _ranked(positions, well, position).join(F.broadcast(gives.select(well, "_g")), well)
+    off = F.col("_r") - F.floor(F.col("_n") / 2)
+    spread = F.row_number().over(Window.partitionBy(well).orderBy(F.abs(off), off))
+    return rows.withColumn("_s", spread).where(F.col("_s") <= F.col("_g")).drop("_r", "_n", "_g", "_s")
 
 
 def last_position(positions: DataFrame, group: str, position: str) -> DataFrame:

@@ -7,14 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.units import octave
+from heddle.functions.units import nan_to_null, octave
 from heddle.operators.spatial import sorted_parts
 
 
 def weighted_score(groups: DataFrame, score: str, p: str, floor: float = 1e-6, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean of score times -log10(p clipped to [floor, 1]) over its largest value; NaN below three groups, NULL scores left out."""
-    weight = -F.log10(F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(floor))) / F.lit(-math.log10(floor))
-    return groups.groupBy(*by).agg(F.when(F.count("*") < 3, F.lit(float("nan"))).otherwise(F.avg(F.col(score) * weight)).alias("auc_score"))
+    """Mean of score times -log10(p clipped to [floor, 1]) over its largest value, of the rows that know both (NULL and NaN are unknown); NaN below three groups, or if no row knows both."""
+    known, scored = nan_to_null(p), nan_to_null(score)
+    weight = F.when(known.isNotNull(), -F.log10(F.greatest(F.least(known, F.lit(1.0)), F.lit(floor))) / F.lit(-math.log10(floor)))
+    mean = F.coalesce(F.avg(scored * weight), F.lit(float("nan")))
+    return groups.groupBy(*by).agg(F.when(F.count("*") < 3, F.lit(float("nan"))).otherwise(mean).alias("auc_score"))
 
 
 def log_grid(spark, low: float = 1e-6, n: int = 100) -> DataFrame:
@@ -24,9 +26,21 @@ def log_grid(spark, low: float = 1e-6, n: int = 100) -> DataFrame:
 
 
 def threshold_sweep(groups: DataFrame, score: str, p: str, grid: DataFrame) -> DataFrame:
-    """(k, t, x, y): share of groups with p < t times their mean score; zero where none is below. The grid is a hundred rows beside one pass."""
-    y = F.count_if(F.col(p) < F.col("t")) / F.count("*") * F.coalesce(F.avg(F.when(F.col(p) < F.col("t"), F.col(score))), F.lit(0.0))
-    return groups.join(F.broadcast(grid)).groupBy("k", "t", "x").agg(y.alias("y"))
+    """(k, t, x, y): share of groups with p < t times their mean score; zero where none is below.
+
+    Each group counts once, for the number of thresholds above its p; as thresholds fall with k, what a threshold covers is the sum over all larger numbers. The thresholds
+    are one row of the (small) grid, so rows are not multiplied; the window is over the grid.
+    """
+    steps = grid.agg(F.array_sort(F.collect_list("t")).alias("_t"))
+    below = groups.join(F.broadcast(steps)).select(F.size(F.filter("_t", lambda t: F.col(p) < t)).alias("_m"), F.col(score).cast("double").alias("_s"))
+    counted = below.groupBy("_m").agg(F.count("*").alias("_n"), F.count("_s").alias("_c"), F.sum("_s").alias("_s"))
+    ranked = grid.select("k", "t", "x", (F.col("k") + 1).alias("_m"), F.lit(0).alias("_n"), F.lit(0).alias("_c"), F.lit(0.0).alias("_s"))
+    every = counted.select(F.lit(None).alias("k"), F.lit(None).alias("t"), F.lit(None).alias("x"), "_m", "_n", "_c", F.coalesce("_s", F.lit(0.0)).alias("_s")).union(ranked)
+    up = Window.partitionBy(F.lit(0)).orderBy(F.desc("_m")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(F.lit(0))
+    n, c, total = F.sum("_n").over(up), F.sum("_c").over(up), F.sum("_s").over(up)
+    y = n / F.sum("_n").over(whole) * F.coalesce(total / F.nullif(c, F.lit(0)), F.lit(0.0))
+    return every.withColumn("y", y).where("k IS NOT NULL").select("k", "t", "x", "y")
 
 
 def trapezoid(curve: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:

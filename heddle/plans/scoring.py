@@ -125,10 +125,15 @@ def significant_ratio(spark, sf_dir):
     return c.groupBy("brand").agg(F.round(F.avg(F.col("below_corrected_p").cast("double")), 6).alias("ratio"), F.count("*").alias("n_groups"))
 
 
-@query(cte("p_values") + "SELECT brand, round(CASE WHEN count(*) < 3 THEN 'NaN'::DOUBLE ELSE avg(score::DOUBLE * -log10(greatest(least(p::DOUBLE, 1.0), 1e-6)) / 6.0) END, 6) AS auc_score FROM p_values GROUP BY brand")
+@query(cte("p_values") + """, v AS (SELECT id, brand, CASE WHEN id % 13 = 0 THEN NULL ELSE score::DOUBLE END AS score, CASE WHEN id % 7 = 0 OR id % 11 = 0 THEN NULL ELSE p::DOUBLE END AS p FROM p_values UNION ALL SELECT p_partkey, concat('few', p_partkey % 40000), 1.0, 0.5 FROM part WHERE p_partkey % 4 = 1)
+    SELECT brand, round(CASE WHEN count(*) < 3 THEN 'NaN'::DOUBLE ELSE coalesce(sum(score * -log10(greatest(least(p, 1.0), 1e-6)) / 6.0) / nullif(count(*) FILTER (score IS NOT NULL AND p IS NOT NULL), 0), 'NaN'::DOUBLE) END, 6) AS auc_score FROM v GROUP BY brand""")
 def auc_score(spark, sf_dir):
-    v = read(spark, sf_dir, "p_values").withColumn("p", F.col("p").cast("double")).withColumn("score", F.col("score").cast("double"))
-    return S.weighted_score(v, "score", "p", by=("brand",)).select("brand", r6("auc_score"))
+    """Some p are NULL, some NaN, some scores NULL: means are over what is known. Brands of a single row have no score."""
+    v, k = read(spark, sf_dir, "p_values"), F.col("id")
+    p = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.lit(float("nan"))).otherwise(F.col("p").cast("double"))
+    v = v.select("brand", F.when(k % 13 > 0, F.col("score").cast("double")).alias("score"), p.alias("p"))
+    few = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 4 = 1").select(F.concat(F.lit("few"), F.col("p_partkey") % 40000), F.lit(1.0), F.lit(0.5))
+    return S.weighted_score(v.union(few), "score", "p", by=("brand",)).select("brand", r6("auc_score"))
 
 
 @query(cte("p_values") + """, g AS (SELECT k * (6.0::DOUBLE / 99) AS x, pow(10.0::DOUBLE, -(k * (6.0::DOUBLE / 99))) AS t FROM range(100) r(k)),

@@ -398,7 +398,7 @@ def enumerate_units(spark, sf_dir):
     return G.units(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("n_t"), (F.col("p_partkey") % 3 + 1).cast("int").alias("n_c")))
 
 
-@query(cte("positions") + ", r AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY ord) AS r, count(*) OVER (PARTITION BY well) AS n FROM positions) SELECT well, ord, position FROM r WHERE r > (n - least(5, n)) // 2 AND r <= (n - least(5, n)) // 2 + 5")
+@query(cte("positions") + ", r AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY ord) AS r, count(*) OVER (PARTITION BY well) AS n FROM positions) SELECT well, ord, position FROM r WHERE r - 1 >= n // 2 - least(5, n) // 2 AND r - 1 < n // 2 - least(5, n) // 2 + least(5, n)")
 def balanced_sample(spark, sf_dir):
     return G.balanced_sample(read(spark, sf_dir, "positions"), "well", "ord", 5)
 
@@ -408,6 +408,27 @@ def sample_shares(spark, sf_dir):
     return G.shares(read(spark, sf_dir, "positions").select("well").distinct(), 100, "well")
 
 
+@query(cte("positions") + """, w AS (SELECT well, row_number() OVER (ORDER BY well) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT well FROM positions)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY ord) - 1 AS r, count(*) OVER (PARTITION BY well) AS n FROM positions JOIN w USING (well)),
+    k AS (SELECT *, least(n, 100 // m + CASE WHEN i <= 100 % m THEN 1 ELSE 0 END) AS k FROM r)
+    SELECT well, position FROM k WHERE r >= n // 2 - k // 2 AND r < n // 2 - k // 2 + k""")
+def sampled_positions(spark, sf_dir):
+    """A hundred positions over all wells, from the middle of each."""
+    return G.sample_positions(read(spark, sf_dir, "positions"), "well", "position", 100).select("well", "position")
+
+
+@query(cte("positions") + """, p AS (SELECT concat(well, '/', c) AS well, position, ord FROM (SELECT *, ord % 7 AS c FROM positions)),
+    w AS (SELECT well, count(*) AS n, row_number() OVER (ORDER BY well) - 1 AS i, count(*) OVER () AS m FROM p GROUP BY well),
+    s AS (SELECT *, least(n, 2) AS g FROM w WHERE i >= CASE WHEN 10 >= m THEN 0 ELSE m // 2 - 5 END AND i < CASE WHEN 10 >= m THEN 0 ELSE m // 2 - 5 END + 10),
+    t AS (SELECT *, least(n, ceil(10.0 / count(*) OVER ())::INT) AS part FROM s), u AS (SELECT well, n, greatest(0, least(part, 10 - (sum(part) OVER (ORDER BY well) - part))) AS part FROM t),
+    r AS (SELECT p.well, position, row_number() OVER (PARTITION BY p.well ORDER BY ord) - 1 - n // 2 AS o, part FROM p JOIN u USING (well))
+    SELECT well, position FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY abs(o), o) AS q FROM r) WHERE q <= part""")
+def discovered_positions(spark, sf_dir):
+    """Ten positions of the central wells, spreading from the middle of each."""
+    p = read(spark, sf_dir, "positions").withColumn("well", F.concat("well", F.lit("/"), (F.col("ord") % 7).cast("string")))
+    return G.discover_positions(p, "well", "position", 10).select("well", "position")
+
+
 @query(cte("positions") + "SELECT well, arg_max(position, regexp_replace(position, '\\D', '', 'g')::INT) AS position FROM positions GROUP BY well")
 def last_per_group(spark, sf_dir):
     return G.last_position(read(spark, sf_dir, "positions"), "well", "position")
@@ -451,11 +472,11 @@ def duration_format(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", U.format_duration(F.col("o_orderkey") * 7 % 9000).alias("text"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 100)::DOUBLE END AS util_pct, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_orderkey / 1024.0, 6) END AS mem_gb FROM orders WHERE o_orderkey > 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 100)::DOUBLE END AS util_pct, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_orderkey / 1024.0, 6) END AS mem_gb FROM orders")
 def gpu_metrics(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.concat(F.lit("cpu=1,gres/gpuutil="), F.when(k % 3 == 0, F.lit("x")).otherwise((k % 100).cast("string")), F.lit(",gres/gpumem="), F.when(k % 5 == 0, F.lit("junk")).otherwise(F.concat(k.cast("string"), F.lit("M"))))
-    o = _table(spark, sf_dir, "orders").where("o_orderkey > 0").select("o_orderkey", U.gpu_metrics(text).alias("g"))
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", U.gpu_metrics(text).alias("g"))
     return o.select("o_orderkey", "g.util_pct", F.round("g.mem_gb", 6).alias("mem_gb"))
 
 
@@ -470,11 +491,20 @@ def resource_summary(spark, sf_dir):
     return J.resource_summary(li, ["l_shipmode"]).select("l_shipmode", "n_jobs", "min_s", "max_s", F.round("cpu_pct", 6).alias("cpu_pct"))
 
 
-@query(cte("calls") + ", p AS (SELECT DISTINCT regexp_replace(log_key, '_[^_]*$', '') AS parent FROM calls) SELECT parent, count(*) AS n, round(sum(s), 2) AS total_s, round(min(s), 2) AS min_s, round(max(s), 2) AS max_s, string_agg(DISTINCT hostname, ',' ORDER BY hostname) AS hosts FROM p JOIN (SELECT *, regexp_replace(log_key, '_[^_]*$', '') AS pp, regexp_extract(duration, '([0-9]+\\.?[0-9]*)', 1)::DOUBLE AS s FROM calls) ON parent = pp GROUP BY parent")
+#: Entries at several depths below their step, some without a host or a readable time.
+_DEEP = "SELECT concat(log_key, CASE ord % 4 WHEN 0 THEN '' WHEN 1 THEN '_a' WHEN 2 THEN concat('_ps', cast(ord % 5 AS varchar(10)), '_pe') ELSE '__x' END) AS log_key, CASE ord % 6 WHEN 0 THEN 'soon' WHEN 1 THEN '12.5' ELSE duration END AS duration, CASE WHEN ord % 7 = 0 THEN cast(NULL AS varchar(10)) ELSE hostname END AS hostname, CASE WHEN ord % 3 = 0 THEN cast(ord % 101 AS double) END AS gpu_sm_util_avg_pct, cast(ord * 17 % 4096 AS double) AS gpu_mem_used_mib, CASE WHEN ord % 5 = 0 THEN concat('model', cast(ord % 2 AS varchar(10))) ELSE '' END AS gpu_models FROM calls"
+
+
+@query(cte("calls") + f""", d AS ({_DEEP}), p AS (SELECT DISTINCT regexp_replace(log_key, '_[^_]*$', '') AS parent FROM d),
+    c AS (SELECT *, CASE WHEN duration = 'soon' THEN NULL ELSE regexp_extract(duration, '^([0-9.]+)', 1)::DOUBLE END AS s FROM d)
+    SELECT parent, count(*) AS n, round(sum(s), 2) AS total_s, round(min(s), 2) AS min_s, round(max(s), 2) AS max_s, coalesce(string_agg(DISTINCT hostname, ',' ORDER BY hostname), '') AS hosts,
+    round(min(gpu_sm_util_avg_pct), 2) AS gpu_sm_util_min, round(max(gpu_mem_used_mib), 1) AS gpu_mem_mib_max, coalesce(string_agg(DISTINCT nullif(gpu_models, ''), ',' ORDER BY nullif(gpu_models, '')), '') AS gpu_models
+    FROM p JOIN c ON starts_with(log_key, parent || '_') GROUP BY parent""")
 def subtask_rollup(spark, sf_dir):
-    c = read(spark, sf_dir, "calls")
-    parents = c.select(F.regexp_replace("log_key", "_[^_]*$", "").alias("log_key")).distinct()
-    return J.subtask_rollup(c, parents).select("parent", "n", "total_s", "min_s", "max_s", "hosts")
+    """Sub-tasks at any depth below their parents."""
+    c = spark.sql(_DEEP.replace("FROM calls", "FROM {calls}"), calls=read(spark, sf_dir, "calls"))
+    parents = c.select(F.regexp_replace("log_key", "_[^_]*$", "").alias("log_key"))
+    return J.subtask_rollup(c, parents).select("parent", "n", "total_s", "min_s", "max_s", "hosts", "gpu_sm_util_min", "gpu_mem_mib_max", "gpu_models")
 
 
 @query(cte("calls") + "SELECT hostname, max(ord) AS ord FROM calls GROUP BY hostname")

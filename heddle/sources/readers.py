@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.names import parse_pipes, safe_key
 from heddle.functions.units import nan_to_null
 
+log = logging.getLogger(__name__)
+
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, rename: dict[str, str] | None = None, sep: str = ",") -> DataFrame:
     """Delimited text with a header. Columns named ``Unnamed:...`` or starting with ``_c`` are dropped, the others renamed by the map; without a schema types are inferred."""
@@ -165,25 +170,75 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
+class _Snapshots:
+    """Snapshots of one cached table: folders of their own, and a file that names the current one and the lengths of its files."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm = spark._jvm
+        self.spark, self.folder, self.fs_of = spark, folder, jvm.org.apache.hadoop.fs
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.path().getFileSystem(self.conf)
+
+    def path(self, name: str = ""):
+        return self.fs_of.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def modified(self) -> int | None:
+        """When the current snapshot was published; None if there is none."""
+        return self.fs.getFileStatus(self.path("current")).getModificationTime() if self.fs.exists(self.path("current")) else None
+
+    def _files(self, name: str) -> list[list]:
+        return sorted([f.getPath().getName(), f.getLen()] for f in self.fs.listStatus(self.path(name)) if f.getPath().getName().startswith("part-"))
+
+    def load(self) -> DataFrame:
+        """The current snapshot. A file that is gone, has another length or cannot be opened raises an error."""
+        current = json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current").collect()))
+        if self._files(current["snapshot"]) != current["files"]:
+            raise ValueError("the snapshot's files have changed")
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{current['snapshot']}")  # opens all footers
+
+    def publish(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as a new snapshot, make it the current one by one rename, and remove those before the last."""
+        name = f"snapshot-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{name}")
+        out, rename = self.fs.create(self.path(f"new-{name}")), self.fs_of.Options.Rename
+        out.write(bytearray(json.dumps({"snapshot": name, "files": self._files(name)}).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        old = self.modified() is not None and json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current").collect())).get("snapshot")
+        self.fs_of.FileContext.getFileContext(self.path().toUri(), self.conf).rename(self.path(f"new-{name}"), self.path("current"), options)
+        for f in self.fs.listStatus(self.path()):
+            if f.getPath().getName().startswith("snapshot-") and f.getPath().getName() not in (name, old):
+                self.fs.delete(f.getPath(), True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+
 def cached(spark: SparkSession, folder: str, namespace: str, key: str, build: Callable[[], DataFrame | None], source: str | None = None, where: str | None = None) -> DataFrame | None:
-    """Parquet cache of ``build``: fresh if it is not older than the source, or the source is gone. Nothing is cached for None; a filter is pushed to the scan."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Cache of what ``build`` gives, as snapshots: fresh if it is not older than the source, or the source is gone. Nothing is cached for None; a filter is pushed to the scan.
+
+    A new table is written in a folder of its own and published by one rename, so readers see the old one or the new one, and a failed build keeps the old one. One snapshot before the
+    current one stays for those who still read it. A damaged snapshot counts as none. If a table cannot be written, it is returned as it was built.
+    """
     name = spark.range(1).select(safe_key(F.lit(key)).alias("k")).first().k
-    target = f"{folder.rstrip('/')}/{namespace}/{name}.parquet"
-    done = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    fs, fresh = done.getFileSystem(conf), False
-    if fs.exists(done):
-        fresh = True
-        if source is not None:
-            src = jvm.org.apache.hadoop.fs.Path(source)
-            sfs = src.getFileSystem(conf)
-            fresh = not sfs.exists(src) or fs.getFileStatus(done).getModificationTime() >= sfs.getFileStatus(src).getModificationTime()
-    if not fresh:
-        df = build()
-        if df is None:
+    store = _Snapshots(spark, f"{folder.rstrip('/')}/{namespace}/{name}.parquet")
+    at, out = store.modified(), None
+    if at is not None and source is not None:
+        src = store.fs_of.Path(source)
+        sfs = src.getFileSystem(store.conf)
+        at = at if not sfs.exists(src) or at >= sfs.getFileStatus(src).getModificationTime() else None
+    if at is not None:
+        try:
+            out = store.load()
+        except (Py4JJavaError, PySparkException, ValueError) as e:
+            log.warning("cache of %s/%s cannot be read, it is built again: %s", namespace, key, str(e).partition("\n")[0])
+    if out is None:
+        out = build()
+        if out is None:
             return None
-        df.write.mode("overwrite").parquet(target)
-    out = spark.read.parquet(target)
+        try:
+            out = store.publish(out)
+        except (Py4JJavaError, PySparkException) as e:
+            log.warning("cache of %s/%s cannot be written: %s", namespace, key, str(e).partition("\n")[0])
     return out.where(where) if where else out
 
 
