@@ -27,7 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import BLOCK, documents_per_batch, ragged, shared_folder, slices
+from heddle.functions.units import octave
+from heddle.llm.textcore import BLOCK, documents_per_batch, materialize, ragged, shared_folder, slices
 from heddle.llm.token_files import WordEncoder
 
 #: Words of a lexicon at most, and bytes of one.
@@ -210,11 +211,22 @@ def codec_of(path: str, lexicon: str) -> LexiconCodec:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> DataFrame:
-    """(word, n): the most frequent runs of all texts, ASCII ones lower-cased; ties go to the smaller word."""
+    """(word, n): at most ``words`` of the most frequent runs of all texts, ASCII ones lower-cased: all that are met more often than a bound, the least one that leaves no more of them.
+
+    The bound is found from the numbers of words by the size of their count (a few thousand rows), so no task sends words that do not enter.
+    """
     run = F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(_RUNS), F.lit(0)))
     runs = docs.select(run.alias("word")).where(F.octet_length("word") <= LEXICON_BYTES)
     folded = F.when(F.octet_length("word") == F.char_length("word"), F.lower("word")).otherwise(F.col("word"))
-    return runs.groupBy(folded.alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
+    counted = runs.groupBy(folded.alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counted = materialize(counted.withColumn("size", octave(F.col("n").cast("double"))), "word-counts")
+    left, bound = words, None
+    for r in sorted(counted.groupBy("size").count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        bound = r.size
+    return counted.where(F.col("size") >= F.lit(bound)).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = LEXICON_WORDS, folder: str | None = None) -> str:

@@ -258,6 +258,9 @@ def test_frequent_words_are_counted_over_all_texts(spark):
     df = spark.createDataFrame([(1, "The the THE cat's é É é"), (2, "the, the! ÉL"), (3, None), (4, "once " + "y" * 70 + " " + "y" * 70)], "doc_id long, text string")
     assert {r.word: r.n for r in frequent_words(df).collect()} == {"the": 5, "é": 2}
     assert [r.word for r in frequent_words(df, words=1).collect()] == ["the"]
+    assert frequent_words(df, words=0).collect() == [] and frequent_words(df.where("false")).collect() == []
+    same = spark.createDataFrame([(1, "a b c a b c d d d")], "doc_id long, text string")
+    assert [r.word for r in frequent_words(same, words=3).collect()] == ["d"]  # words of one count enter together or not at all
 
 
 def test_oracles(spark):
