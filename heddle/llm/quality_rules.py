@@ -5,23 +5,24 @@ fertility verdict encodes each whole text with a public vocabulary and measures
 per token, the share of byte-fallback tokens and the entropy of the text's tokens. A text has the script of most
 of its letters, by Unicode's names of them; ties go to the script that stands first in ``SCRIPTS``.
 
-A text is rejected when a figure leaves the band of its script. A band has two parts, and both must hold: fixed limits
-(``BANDS``), and fences around the quartiles of all the given documents of that script that pass the base rule
-(``fences``), so a corpus sets its own bands as well. Quartiles do not move with a minority of junk. The least entropy is fixed and grows
-with the number of tokens.
+A text is rejected when a figure leaves the band of its script (``BANDS``, ``entropy_band``): hexadecimal and base64 dumps, random
+letters and text read in a wrong encoding have too few characters per token or too many fallback tokens, strings of words without grammar have too much
+entropy, endless repetition too little. The bands hold natural text in many languages (README) and the invented prose of the given
+tables alike, so they do not depend on what else is in the corpus.
 
 Latin text is measured with the given model, other scripts with a multilingual byte vocabulary, whose
-fallback tokens are those that end or start inside a character. The fixed latin band stands just outside the 1/10,000
-quantiles of the given documents (README); the other scripts do not occur there, and their fixed bands lie
-between a few sentences and random letters.
+fallback tokens are those that end or start inside a character. Latin text that leaves its band is measured again with the multilingual
+one, as languages with many diacritics are dear in the first, and is rejected only if it leaves the band there too. Runs of white space count as one space, as
+how a text is wrapped or aligned says nothing about it.
 
-Defined cases: null and empty texts have no words, fail the base rule and are not kept; repeated
-rows are judged each by itself; an empty table gives an empty result; ids are passed through, null included; other columns are not read.
+Defined cases: null and empty texts have no words, fail the base rule and are not kept; very long texts are measured whole; repeated
+rows are judged each by itself; an empty table gives an empty result; ids are passed through, null included; other columns are not read, so names cannot clash.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,25 +34,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.piece_codec import codec_of, flat_ids
-from heddle.llm.textcore import BLOCK, IS_WORD_BYTE, documents_per_batch, materialize, slices, span_hashes, spans, utf8, window_hashes
+from heddle.llm.textcore import BLOCK, IS_WORD_BYTE, documents_per_batch, slices, span_hashes, spans, utf8, window_hashes
 
 #: Bands by script: least and most word characters per token, most byte-fallback share, base of the least entropy in bits.
 BANDS = {
-    "latin": (1.65, 2.9, 0.06, 3.4),
-    "greek": (1.3, 4.0, 0.15, 3.0),
-    "cyrillic": (1.5, 5.0, 0.10, 3.0),
-    "other": (0.6, 4.0, 0.70, 3.0),
-    "none": (0.5, 4.0, 0.30, 3.0),
+    "latin": (1.62, 5.6, 0.10, 3.4),
+    "greek": (1.15, 4.5, 0.30, 3.0),
+    "cyrillic": (1.18, 5.0, 0.40, 3.0),
+    "kana": (0.6, 4.5, 0.35, 3.0),
+    "other": (0.6, 4.5, 0.70, 3.0),
+    "none": (0.5, 4.5, 0.30, 3.0),
 }
+#: The band of latin text in the multilingual vocabulary.
+SECOND_LATIN = (1.5, 5.6, 0.30, 3.4)
 #: Scripts told apart; those without a band of their own have that of "other".
 SCRIPTS = ["latin", "greek", "cyrillic", "arabic", "hebrew", "devanagari", "thai", "hangul", "kana", "han", "other", "none"]
-#: Fences stand this many interquartile ranges outside the quartiles, and at least this share of the median (or this much byte share) away from it.
-FENCE, LEAST_FENCE, LEAST_SHARE = 3.0, 0.2, 0.05
 #: Bits of least entropy for each doubling of the tokens, above the base; and as a share of the greatest possible entropy, which is what binds short texts.
 ENTROPY_STEP, ENTROPY_SHARE = 0.15, 0.6
+#: The same for the most entropy: base and bits for each doubling, and share.
+MOST_ENTROPY, MOST_STEP, MOST_SHARE = 4.6, 0.45, 0.975
 #: Fixed limits of the base rule.
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 
+_BREAKS = re.compile(r"[\x09-\x0D][\x09-\x0D ]*| [\x09-\x0D ]+")
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _NOT_NEWLINE = np.ones(256, dtype=bool)
@@ -150,10 +155,24 @@ def ranks_of(path: str) -> tuple:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), inside
 
 
-def token_measures(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", multi: str | None = None) -> DataFrame:
-    """One row per document row: doc_id, the base counts, base_failed, n_tokens, script, chars_per_token, byte_share, token_entropy.
+def entropy_band(tokens: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most entropy of texts of so many tokens."""
+    doublings = np.log2(np.maximum(tokens, 1))
+    return np.minimum(ENTROPY_SHARE * doublings, base + ENTROPY_STEP * doublings), np.minimum(MOST_SHARE * doublings, MOST_ENTROPY + MOST_STEP * doublings)
 
-    ``multi`` is the ranks file for all scripts but latin (byte_bpe_multi_50k unless given); the token figures are of the vocabulary used.
+
+def in_band(band: tuple[float, float, float, float], chars: np.ndarray, tokens: np.ndarray, share: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+    """Whether the figures lie in a band."""
+    least, most, most_share, base = band
+    per_token, (low, high) = chars / np.maximum(tokens, 1), entropy_band(tokens, base)
+    return (per_token >= least) & (per_token <= most) & (share <= most_share) & (entropy >= low) & (entropy <= high)
+
+
+def quality_rules(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, tuple[float, float, float, float]] = BANDS, multi: str | None = None) -> DataFrame:
+    """One row per document row: doc_id, the base counts, base_failed, kept (it passes the base rule, and its token figures lie in the band of its script), n_tokens, script, chars_per_token, byte_share, token_entropy, vocabulary.
+
+    ``multi`` is the ranks file for all scripts but latin and for latin text outside its band (byte_bpe_multi_50k unless given); the token figures are those of the ``vocabulary`` (first or second) that
+    decided. One pass, without a shuffle.
     """
     if multi is None:
         import public_tokenizers
@@ -162,51 +181,43 @@ def token_measures(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     documents_per_batch(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in slices(batches, "text", BLOCK):
-            texts = batch.column(1).fill_null("").to_pylist()
+            texts = [_BREAKS.sub(" ", t) for t in batch.column(1).fill_null("").to_pylist()]
             buf, offs = utf8(batch.column(1))
             c = base_counts(buf, offs)
-            script = scripts(texts, buf, offs)
-            home = np.isin(script, ["latin", "none"])
-            counts, share, entropy = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-            if home.any():
-                own = np.flatnonzero(home)
-                ids, counts[own] = flat_ids(codec.encode([texts[i] for i in own]))
-                share[own], entropy[own] = token_figures(ids, counts[own], codec.is_byte)
-            if not home.all():
-                own = np.flatnonzero(~home)
-                encoder, inside = ranks_of(multi)
-                ids, counts[own] = flat_ids(encoder.encode_ordinary_batch([texts[i] for i in own], num_threads=1))
-                share[own], entropy[own] = token_figures(ids, counts[own], inside)
+            script, chars = scripts(texts, buf, offs), c["word_chars"]
             failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
-            out = {"doc_id": batch.column(0), **{k: pa.array(v, pa.int64()) for k, v in c.items()}, "base_failed": pa.array(failed)}
-            out |= {"n_tokens": pa.array(counts), "script": pa.array(script.tolist(), pa.string()), "chars_per_token": pa.array(c["word_chars"] / np.maximum(counts, 1)), "byte_share": pa.array(share), "token_entropy": pa.array(entropy)}
+            counts, share, entropy, good = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
+
+            def measure(own: np.ndarray, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                some = [texts[i] for i in own]
+                encoder, inside = ranks_of(multi) if second else (codec, codec.is_byte)
+                ids, n = flat_ids(encoder.encode_ordinary_batch(some, num_threads=1) if second else encoder.encode(some))
+                return n, *token_figures(ids, n, inside)
+
+            def decide(own: np.ndarray, second: bool) -> None:
+                counts[own], share[own], entropy[own] = measure(own, second)
+                for name in set(script[own]):
+                    at = own[script[own] == name]
+                    band = SECOND_LATIN if second and name == "latin" else bands.get(name, bands["other"])
+                    good[at] = in_band(band, chars[at], counts[at], share[at], entropy[at])
+
+            second = ~np.isin(script, ["latin", "none"])
+            for kind in (False, True):
+                if len(own := np.flatnonzero(second == kind)):
+                    decide(own, kind)
+            again = np.flatnonzero((script == "latin") & ~good & ~failed)
+            if len(again):
+                before = counts[again], share[again], entropy[again]
+                decide(again, True)
+                still = ~good[again]  # rejected by both: the figures of the first stay
+                counts[again[still]], share[again[still]], entropy[again[still]] = (x[still] for x in before)
+                second[again[~still]] = True
+            out = {"doc_id": batch.column(0), **{k: pa.array(v, pa.int64()) for k, v in c.items()}, "base_failed": pa.array(failed), "kept": pa.array(good & ~failed)}
+            out |= {"n_tokens": pa.array(counts), "script": pa.array(script.tolist(), pa.string()), "chars_per_token": pa.array(chars / np.maximum(counts, 1)), "byte_share": pa.array(share), "token_entropy": pa.array(entropy)}
+            out["vocabulary"] = pa.array(np.where(second, "second", "first").tolist(), pa.string())
             yield pa.record_batch(list(out.values()), names=list(out))
 
-    return read.mapInArrow(measure, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, script string, chars_per_token double, byte_share double, token_entropy double")
-
-
-def fences(measures: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """Least and most characters per token and most byte share of each script, from the quartiles of all its documents that pass the base rule. The driver gets one row per script."""
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c)
-    out = {}
-    for r in measures.where("NOT base_failed").groupBy("script").agg(quartiles("chars_per_token"), quartiles("byte_share")).collect():
-        (a, m, z), (b, n, y) = r.chars_per_token, r.byte_share
-        out[r.script] = (min(a - FENCE * (z - a), m * (1 - LEAST_FENCE)), max(z + FENCE * (z - a), m * (1 + LEAST_FENCE)), max(y + FENCE * (y - b), n + LEAST_SHARE))
-    return out
-
-
-def quality_rules(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, tuple[float, float, float, float]] = BANDS, multi: str | None = None) -> DataFrame:
-    """``token_measures`` of every document with ``kept``: it passes the base rule, and its token figures lie in the fixed ``bands`` and in the ``fences`` of its script. The measures are written to the shared folder once, as both need them."""
-    measures = materialize(token_measures(docs, model, id_col, text_col, multi), "measures")
-    own, good = fences(measures), F.lit(False)
-    doublings = F.log2(F.greatest("n_tokens", F.lit(1)))
-    for script in SCRIPTS:
-        least, most, share, base = bands.get(script, bands["other"])
-        low, high, part = own.get(script, (least, most, share))
-        inside = F.col("chars_per_token").between(max(least, low), min(most, high)) & (F.col("byte_share") <= min(share, part))
-        good = good | ((F.col("script") == script) & inside & (F.col("token_entropy") >= F.least(ENTROPY_SHARE * doublings, base + ENTROPY_STEP * doublings)))
-    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return measures.select(*first, (~F.col("base_failed") & good).alias("kept"), "n_tokens", "script", "chars_per_token", "byte_share", "token_entropy")
+    return read.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, script string, chars_per_token double, byte_share double, token_entropy double, vocabulary string")
