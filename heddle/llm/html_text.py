@@ -18,7 +18,7 @@ controls of forms never have text; formulas and drawings are text of their block
 Defined cases: null and empty html give an empty text; unclosed and unmatched tags are repaired as browsers
 do for paragraphs, items and cells, other end tags without a start are dropped; attributes are read as browsers do, so
 a quote inside an unquoted value belongs to it and an open one reaches to the next of its kind; a cut-off tag or comment at the
-end of the page is dropped; repeated rows are judged each by itself; null ids and urls pass through; an empty table
+end of the page is dropped; very long, deep or broken pages take time and memory in proportion to their length; repeated rows are judged each by itself; null ids and urls pass through; an empty table
 gives an empty result; other columns are not read, so their names cannot clash.
 """
 
@@ -28,6 +28,7 @@ import html as entities
 import math
 import random
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -62,17 +63,55 @@ _ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
-@dataclass
+class Names:
+    """Words of an open element that is no block, and those of the ones around it up to their block. Elements share what stands above them."""
+
+    __slots__ = ("above", "words", "known")
+
+    def __init__(self, above: Names | None, words: list[str]):
+        self.above, self.words, self.known = above, tuple(words), None
+
+    def among(self, vocabulary: frozenset[str]) -> frozenset[str]:
+        """The words that a vocabulary holds. Looked up once for each element (with one vocabulary)."""
+        path, node = [], self
+        while node is not None and node.known is None:
+            path.append(node)
+            node = node.above
+        found = frozenset() if node is None else node.known
+        for node in reversed(path):
+            found = node.known = found if vocabulary.isdisjoint(node.words) else found | vocabulary.intersection(node.words)
+        return found
+
+    def all(self) -> Iterator[str]:
+        node = self
+        while node is not None:
+            yield from node.words
+            node = node.above
+
+
+@dataclass(slots=True)
 class Block:
     tag: str
     parent: int
-    words: tuple[str, ...] = ()
+    own: tuple[str, ...] = ()
+    around: Names | None = None
     label: int | None = None
     chars: int = 0
     linked: int = 0
     below: int = 0
     below_linked: int = 0
 
+    @property
+    def words(self) -> tuple[str, ...]:
+        """Words of the names of the block, and of the elements between it and the block around it."""
+        return tuple(sorted({*self.own, *(self.around.all() if self.around else ())}))
+
+    def known(self, vocabulary: frozenset[str]) -> tuple[str, ...]:
+        """Those of the words that a vocabulary holds."""
+        if self.around is None and not self.own:
+            return ()
+        return tuple(sorted(vocabulary.intersection(self.own) | (self.around.among(vocabulary) if self.around else frozenset())))
+
 
 @dataclass
 class Page:
@@ -81,9 +120,11 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """Blocks in page order (a parent precedes its children) and the runs of text with their blocks."""
+    """Blocks in page order (a parent precedes its children) and the runs of text with their blocks. Time and memory grow with the length of the page, however deep or broken it is."""
     page = Page([Block("#root", -1)])
-    stack: list[tuple[str, int, list[str]]] = [("#root", 0, [])]  # open elements with the block they stand in and the words of those that are none
+    stack: list[tuple[str, int, Names | None]] = [("#root", 0, None)]  # open elements with the block they stand in and the names of those that are none
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by name
+    barriers: list[int] = [0]
     parts: list[str] = []
     at = links = silent = 0
 
@@ -104,6 +145,10 @@ def parse(html: str) -> Page:
             if links:
                 page.blocks[stack[-1][1]].linked += len(text)
 
+    def last(names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, zero if there is none."""
+        return max((p[-1] for n in names if (p := places.get(n))), default=0)
+
     def close(to: int) -> None:
         nonlocal links, silent
         while len(stack) > to:
@@ -111,9 +156,21 @@ def parse(html: str) -> Page:
             if name in BLOCKS:
                 flush()
             stack.pop()
+            places[name].pop()
+            if name in BARRIER:
+                barriers.pop()
             links -= name == "a"
             silent -= name in SILENT
 
+    def push(name: str, block: int, names: Names | None) -> None:
+        nonlocal links, silent
+        places[name].append(len(stack))
+        if name in BARRIER:
+            barriers.append(len(stack))
+        stack.append((name, block, names))
+        links += name == "a"
+        silent += name in SILENT
+
     n = len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -127,10 +184,8 @@ def parse(html: str) -> Page:
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if k := last((name,)):
+                close(k)
             continue
         if name == "br":
             add(" ")
@@ -151,22 +206,17 @@ def parse(html: str) -> Page:
                 words += [w.lower() for w in _PART.findall(value)]
         if name in BLOCKS:
             flush()
-            names = CLOSES.get(name, ("p",))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in names:
-                    close(k)
-                    break
-                if stack[k][0] in BARRIER and name != "body":
-                    break
+            k = last(CLOSES.get(name, ("p",)))
+            if k > (0 if name == "body" else barriers[-1]):
+                close(k)
             if name in ("header", "footer"):
-                words.append(f"{name}-of-{next((e for e, *_ in reversed(stack) if e in ('article', 'main', 'section')), 'body')}")
-            page.blocks.append(Block(name, stack[-1][1], tuple(sorted({*words, *stack[-1][2]})), label))
-            stack.append((name, len(page.blocks) - 1, []))
+                k = last(("article", "main", "section"))
+                words.append(f"{name}-of-{stack[k][0] if k else 'body'}")
+            page.blocks.append(Block(name, stack[-1][1], tuple(words), stack[-1][2], label))
+            push(name, len(page.blocks) - 1, None)
         else:  # the names of such an element count for the blocks inside it
             words += name.split("-") if "-" in name else []
-            stack.append((name, stack[-1][1], [*stack[-1][2], *words] if words else stack[-1][2]))
-        links += name == "a"
-        silent += name in SILENT
+            push(name, stack[-1][1], Names(stack[-1][2], words) if words else stack[-1][2])
     close(1)
     flush()
     for b in reversed(page.blocks):  # a child stands behind its parent
@@ -178,12 +228,12 @@ def parse(html: str) -> Page:
     return page
 
 
-def features(block: Block, total: int) -> tuple:
-    """Kind of tag together with the link share of the text in and below the block, attribute words, amount of own text, share of the page's text outside links (``total``); numbers in steps."""
+def features(block: Block, total: int, vocabulary: frozenset[str] | None = None) -> tuple:
+    """Kind of tag together with the link share of the text in and below the block, attribute words, amount of own text, share of the page's text outside links (``total``); numbers in steps. With a vocabulary other words are left out."""
     share = block.below_linked / block.below if block.below else 0
     own = block.below - block.below_linked
     part = 0 if own <= 0 else 1 + (10 * own > total) + (2 * own > total)
-    return (KINDS.get(block.tag, block.tag), min(3, int(4 * share))), block.words, 0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5)), part
+    return (KINDS.get(block.tag, block.tag), min(3, int(4 * share))), block.words if vocabulary is None else block.known(vocabulary), 0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5)), part
 
 
 #: Labels of blocks: not content, content, frame.
@@ -219,6 +269,7 @@ class TreeModel:
                     self.counts[y][1][w] += 1
         self.sizes = {k: len(v) + 1 for k, v in vocabulary.items()}
         self.pair = [[p / sum(row) for p in row] for row in pairs]
+        self.words = frozenset(w for y in LABELS for w in self.counts[y][1])
         self.unary = lru_cache(maxsize=20_000)(self._unary)
 
     def _unary(self, key: tuple) -> tuple[float, ...]:
@@ -239,29 +290,37 @@ class TreeModel:
 
     def marginals(self, blocks: list[Block]) -> list[tuple[float, ...]]:
         """Probabilities of the labels of each block. The page as a whole is a frame."""
+        flat = self._sum_product(blocks)
+        return list(zip(flat[0::3], flat[1::3], flat[2::3], strict=True))
+
+    def _sum_product(self, blocks: list[Block]) -> array:
+        """The marginals one after another, three numbers for each block."""
         n, total = len(blocks), blocks[0].below - blocks[0].below_linked
-        belief = [list(self.unary(features(b, total))) for b in blocks]  # unary times messages from the children
-        belief[0] = [float(y == FRAME) for y in LABELS]
-        up: list[list[float]] = [[1.0] * len(LABELS)] * n
-        pair, back = self.pair, list(zip(*self.pair, strict=True))
-        for i in range(n - 1, 0, -1):
-            b = belief[i]
-            m = [p[0] * b[0] + p[1] * b[1] + p[2] * b[2] for p in pair]
-            s = sum(m)
-            up[i] = m = [v / s for v in m]
-            above = blocks[i].parent
-            v = [x * y for x, y in zip(belief[above], m, strict=True)]
-            s = sum(v)
-            belief[above] = [x / s for x in v]
-        out = [tuple(belief[0])] * n
-        for i in range(1, n):
+        belief = array("d")  # unary times messages from the children
+        for b in blocks:
+            belief.extend(self.unary(features(b, total, self.words)))
+        belief[0:3] = array("d", [float(y == FRAME) for y in LABELS])
+        up = array("d", [1.0]) * (3 * n)
+        (p0, p1, p2), (q0, q1, q2), (r0, r1, r2) = self.pair
+        for i in range(3 * n - 3, 0, -3):
+            a, b, c = belief[i : i + 3]
+            x, y, z = p0 * a + p1 * b + p2 * c, q0 * a + q1 * b + q2 * c, r0 * a + r1 * b + r2 * c
+            s = x + y + z
+            up[i], up[i + 1], up[i + 2] = x, y, z = x / s, y / s, z / s
+            k = 3 * blocks[i // 3].parent
+            x, y, z = belief[k] * x, belief[k + 1] * y, belief[k + 2] * z
+            s = x + y + z
+            belief[k], belief[k + 1], belief[k + 2] = x / s, y / s, z / s
+        out = belief  # final from the root on: a parent is done before its children
+        for i in range(3, 3 * n, 3):
             # the parent's belief without this child's message, carried down
-            q = [x / max(y, 1e-300) for x, y in zip(out[blocks[i].parent], up[i], strict=True)]
-            s = sum(q)
-            q = [v / s for v in q]
-            d = [x * (p[0] * q[0] + p[1] * q[1] + p[2] * q[2]) for x, p in zip(belief[i], back, strict=True)]
-            s = sum(d)
-            out[i] = tuple(v / s for v in d)
+            k = 3 * blocks[i // 3].parent
+            a, b, c = out[k] / max(up[i], 1e-300), out[k + 1] / max(up[i + 1], 1e-300), out[k + 2] / max(up[i + 2], 1e-300)
+            s = a + b + c
+            a, b, c = a / s, b / s, c / s
+            x, y, z = belief[i] * (p0 * a + q0 * b + r0 * c), belief[i + 1] * (p1 * a + q1 * b + r1 * c), belief[i + 2] * (p2 * a + q2 * b + r2 * c)
+            s = x + y + z
+            out[i], out[i + 1], out[i + 2] = x / s, y / s, z / s
         return out
 
 
@@ -273,8 +332,8 @@ def extract(html: str | None, model: TreeModel) -> str:
     page = parse(html or "")
     if not page.runs:
         return ""
-    p = model.marginals(page.blocks)
-    return "\n".join(text for block, text in page.runs if p[block][REST] < 0.5)
+    p = model._sum_product(page.blocks)
+    return "\n".join(text for block, text in page.runs if p[3 * block + REST] < 0.5)
 
 
 def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[str]:

@@ -727,6 +727,39 @@ def test_html_edges(spark):
     assert extract_pages(df).count() == 3 and extract_pages(df.where("false")).count() == 0
 
 
+#: Broken pages of about ``n`` characters: open elements with names, nested blocks, end tags without a start, paragraphs below open elements, headers in headers.
+BROKEN = {
+    "open spans": lambda n: "<span class=a>x " * (n // 16),
+    "open spans with names of their own": lambda n: "".join(f'<span class="w{i} nav">x ' for i in range(n // 48)) + "<div class=post>y</div>" * (n // 48),
+    "nested blocks": lambda n: "<div>x" * (n // 6),
+    "nested headings": lambda n: "<h1>x" * (n // 5),
+    "stray end tags": lambda n: "<div>" * (n // 10) + "</b>" * (n // 8),
+    "paragraphs in open elements": lambda n: "<b>" * (n // 6) + "<p>x" * (n // 8),
+    "headers": lambda n: "<header>" * (n // 8),
+    "tags that never end": lambda n: "<a " * (n // 3),
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_html_work_grows_with_the_page(kind):
+    import time
+    import tracemalloc
+
+    from heddle.llm.html_text import default_model, extract
+
+    m = default_model()
+    began = time.process_time()
+    extract(BROKEN[kind](2 << 20), m)
+    assert time.process_time() - began < 10 * 3  # the machine may be busy: 6 s at most on an idle one
+    peaks = []
+    for n in (1 << 17, 1 << 18):
+        tracemalloc.start()
+        extract(BROKEN[kind](n), m)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 200e6 / 8 * 1.2 and peaks[1] < 2.6 * max(peaks[0], 2e6)
+
+
 def test_marginals_are_exact():
     from itertools import product
 
