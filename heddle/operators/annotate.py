@@ -49,9 +49,14 @@ def keyword_category(texts: DataFrame, key: str, text: str, keywords: DataFrame)
 
 
 def pattern_category(names: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
-    """Category of the first pattern (by ordinal) that the name matches; names without a match are left out."""
-    hit = names.join(F.broadcast(patterns), F.expr(f"`{key}` rlike pattern"))
-    return hit.groupBy(key).agg(F.min_by("category", "ordinal").alias("category"))
+    """Category of the first pattern (by ordinal) that the name matches; names without a match are left out.
+
+    ``patterns`` (category, ordinal, pattern) is a configuration table: it is gathered into one row, so each name is read once; repeated names give one row.
+    """
+    table = patterns.agg(F.sort_array(F.collect_list(F.struct("ordinal", "category", "pattern"))).alias("_table"))
+    hits = F.filter("_table", lambda p: F.rlike(F.col(key), p["pattern"]))
+    found = names.select(key).distinct().crossJoin(F.broadcast(table)).select(key, F.get(hits, F.lit(0))["category"].alias("category"))
+    return found.where("category IS NOT NULL")
 
 
 def cascade(genes: DataFrame, key: str, steps: list[DataFrame], boosted: bool = True, default: str | None = "Other") -> DataFrame:

@@ -14,6 +14,7 @@ from heddle.operators import jobs as J
 from heddle.operators import spatial as G
 from heddle.operators import summary as S
 from heddle.operators import validate as V
+from heddle.operators import validate_pass as VP
 from heddle.plans.inputs import cte, read
 
 QUERIES, ORACLES = {}, {}
@@ -97,6 +98,14 @@ def list_text(spark, sf_dir):
     return p.select("p_partkey", text.alias("t"), F.concat("p_type", F.lit(" | |"), "p_name").alias("q")).select("p_partkey", F.array_join(N.parse_list("t"), "|").alias("items"), F.array_join(N.parse_pipes("q"), "|").alias("piped"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'corum,string' WHEN 1 THEN 'string' WHEN 2 THEN '' ELSE 'go,corum' END AS sources FROM part")
+def source_lists(spark, sf_dir):
+    """Comma lists against the known names: any case, blanks and repeats."""
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, " Corum, STRING,corum").when(k == 1, "string").when(k == 2, " ,").otherwise("go,, corum ")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.parse_sources(text, ("corum", "string", "go")), ",").alias("sources"))
+
+
 @query(cte("channel_map", "features") + r""", e AS (SELECT experiment AS k, pos, channel_name, replace(CASE WHEN label LIKE '%,%' THEN trim(substr(label, strpos(label, ',') + 1)) ELSE label END, ' ', '_') AS new FROM channel_map WHERE channel_name IS NOT NULL),
     al AS (SELECT k, pos, new, unnest(CASE WHEN channel_name = 'BF' THEN ['BF', 'Phase2D', 'Phase3D', 'Phase'] ELSE [replace(channel_name, ' ', '_')] END) AS alias, unnest(CASE WHEN channel_name = 'BF' THEN [0, 1, 2, 3] ELSE [0] END) AS no FROM e),
     pat AS (SELECT k, 'single_object_' AS head, pos AS a, 0 AS b, no AS c, 0 AS d, concat('single_object_', alias, '_') AS f, concat('single_object_', new, '_') AS t FROM al UNION ALL SELECT x.k, 'coloc_', x.pos, y.pos, x.no, y.no, concat('coloc_', x.alias, '_', y.alias, '_'), concat('coloc_', x.new, '_', y.new, '_') FROM al x JOIN al y ON x.k = y.k),
@@ -301,6 +310,51 @@ def validation_verdict(spark, sf_dir):
     return V.verdicts(spark.createDataFrame([("cell",), ("gene",)], "level string"), V.null_issues(q, "cell", ["doc_id", "quality"]))
 
 
+_PLANTED = "SELECT cast(c_custkey AS varchar(20)) AS cell_id, CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_mktsegment END AS well, CASE WHEN c_custkey % 31 = 0 THEN -1 ELSE c_nationkey END AS gene_id, CASE WHEN c_custkey % 31 = 0 THEN 'NTC' ELSE concat('g', cast(c_nationkey AS varchar(10))) END AS gene, CASE c_custkey % 7 WHEN 0 THEN 'None' WHEN 1 THEN '' ELSE concat('s', cast(c_custkey % 50 AS varchar(10))) END AS guide, CASE WHEN c_custkey % 3 = 0 THEN 1.0 END AS x, CASE WHEN c_custkey % 11 > 0 THEN 1 END AS box_a, CASE WHEN c_custkey % 13 > 0 THEN 1 END AS box_b, c_acctbal AS balance FROM customer"
+
+
+@query(f"""WITH c AS ({_PLANTED}), n AS (SELECT count(*) AS n FROM c),
+    r AS (SELECT 'issue' AS severity, 'nulls' AS check_name, 'well' AS subject, count(*) FILTER (well IS NULL) AS k, NULL AS pct, true AS shared FROM c
+    UNION ALL SELECT 'issue', 'duplicates', 'cell_id', count(*) - count(DISTINCT cell_id), NULL, true FROM (SELECT * FROM c UNION ALL SELECT * FROM c WHERE gene_id = -1)
+    UNION ALL SELECT 'issue', 'quality', 'zero_features', 1, 100 / 3.0, false UNION ALL SELECT 'issue', 'quality', 'constant_features', 1, 100 / 3.0, false
+    UNION ALL SELECT 'issue', 'dual_coverage', 'both', count(*) FILTER (box_a IS NOT NULL AND box_b IS NOT NULL), NULL, true FROM c UNION ALL SELECT 'issue', 'dual_coverage', 'neither', count(*) FILTER (box_a IS NULL AND box_b IS NULL), NULL, true FROM c
+    UNION ALL SELECT 'warning', 'incomplete', 'drift', count(*) FILTER (x IS NOT NULL), NULL, true FROM c
+    UNION ALL SELECT 'issue', 'library_size', 'guides', count(DISTINCT nullif(nullif(guide, ''), 'None')), 100.0 * count(DISTINCT nullif(nullif(guide, ''), 'None')) / 40, false FROM c
+    UNION ALL SELECT 'issue', 'missing_column', 'none', 1, NULL, false)
+    SELECT 'cell' AS level, severity, check_name, subject, k::BIGINT AS n, round(CASE WHEN shared AND check_name = 'duplicates' THEN 100.0 * k / (SELECT count(*) + count(*) FILTER (gene_id = -1) FROM c) WHEN shared THEN 100.0 * k / n ELSE pct END, 6)::DOUBLE AS pct FROM r, n WHERE k > 0""")
+def validation_pass(spark, sf_dir):
+    """All checks of a table with planted faults in one pass; its clean twin, the level ``gene``, raises nothing. The repeats are checked on the table with its controls twice."""
+    c = spark.sql(_PLANTED.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer"))
+    c = c.withColumn("v", F.array(F.col("balance"), F.lit(0.0), F.lit(3.0)))
+    cell = VP.Checks("cell", {"cell_id": "string", "none": "number"}, ["cell_id", "well"], None, "v", 3, "network_", (F.col("box_a").isNotNull(), F.col("box_b").isNotNull()), {"drift": ["x"]}, ("gene_id", None, "gene"), "guide", "gene", 40, 25)
+    gene = VP.Checks("gene", {"gene": "string"}, ["gene"], "cell_id", control=("gene_id", None, "gene"), gene="gene", genes=25)
+    twice = VP.validate_table(c.union(c.where("gene_id = -1")), VP.Checks("cell", key="cell_id"))
+    return V.report([VP.validate_table(c, cell), VP.validate_table(c, gene), twice]).withColumn("pct", F.round("pct", 6))
+
+
+@query(f"""WITH c AS ({_PLANTED}), e AS (SELECT DISTINCT well FROM c WHERE well IS NOT NULL), l AS (SELECT well AS experiment, level FROM e, (SELECT unnest(['cell', 'guide', 'gene']) AS level)),
+    f AS (SELECT l.*, CASE WHEN level = 'guide' AND experiment LIKE 'A%' THEN 1 WHEN level = 'cell' AND experiment LIKE 'M%' THEN 1 ELSE 0 END AS n_issues, CASE WHEN level = 'gene' THEN 1 ELSE 0 END AS n_warnings FROM l)
+    SELECT experiment, level, n_issues::BIGINT AS n_issues, n_warnings::BIGINT AS n_warnings, n_issues = 0 AS passed FROM f UNION ALL SELECT experiment, 'all', sum(n_issues)::BIGINT, sum(n_warnings)::BIGINT, sum(n_issues) = 0 FROM f GROUP BY experiment""")
+def experiment_verdicts(spark, sf_dir):
+    """Segments stand for experiments: those with an A have no file of guides, those with an M an issue of their cells; all have a warning."""
+    e = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("experiment")).distinct()
+    level = lambda name: F.lit(name).alias("level")
+    present = e.select("experiment", level("cell")).union(e.select("experiment", level("gene"))).union(e.where("experiment NOT LIKE 'A%'").select("experiment", level("guide")))
+    issues = e.select("experiment", level("gene"), F.lit("warning").alias("severity")).union(e.where("experiment LIKE 'M%'").select("experiment", level("cell"), F.lit("issue")))
+    return VP.experiment_verdicts(issues, present)
+
+
+@query(cte("quality") + "SELECT 'cell' AS level, 'issue' AS severity, 'unassigned_features' AS check_name, 'quality' AS subject, count(*) FILTER (quality IS NULL) AS n, round(100.0 * count(*) FILTER (quality IS NULL) / count(*), 6) AS pct FROM quality")
+def unassigned_features(spark, sf_dir):
+    return VP.unassigned_issues(read(spark, sf_dir, "quality"), "cell", "quality").withColumn("pct", F.round("pct", 6))
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY text LIMIT 5")
+def duplicate_examples(spark, sf_dir):
+    """A top-k report: the limit is the feature."""
+    return V.duplicate_examples(_table(spark, sf_dir, "documents"), "text")
+
+
 # catalogues ----------------------------------------------------------------------------------------
 
 
@@ -376,6 +430,14 @@ def label_to_bbox(spark, sf_dir):
     return G.label_boxes(read(spark, sf_dir, "pixels"), ["tile"])
 
 
+@query(cte("pixels") + ", b AS (SELECT label, min(y) AS y0, min(x) AS x0, max(y) + 1 AS y1, max(x) + 1 AS x1 FROM pixels WHERE label % 3 > 0 GROUP BY label) SELECT p.tile, p.y, p.x, p.label, coalesce(y0, p.y - 64)::INT AS ymin, coalesce(x0, p.x - 64)::INT AS xmin, coalesce(y1, p.y + 64)::INT AS ymax, coalesce(x1, p.x + 64)::INT AS xmax FROM pixels p LEFT JOIN b USING (label)")
+def boxes_for_cells(spark, sf_dir):
+    """Cells with the box of their label, or a square around them where it has none."""
+    p = read(spark, sf_dir, "pixels")
+    boxes = G.label_boxes(p.where("label % 3 > 0").withColumn("g", F.lit(1)), ["g"]).drop("g", "area")
+    return G.boxes_for_cells(p, boxes, ["label"])
+
+
 @query(cte("pixels") + "SELECT * FROM pixels WHERE x > (SELECT min(x) FROM pixels) + 8 AND x < (SELECT max(x) FROM pixels) - 8 AND y > (SELECT min(y) FROM pixels) + 8 AND y < (SELECT max(y) FROM pixels) - 8")
 def edge_filter(spark, sf_dir):
     return G.inside_edges(read(spark, sf_dir, "pixels"), 8)
