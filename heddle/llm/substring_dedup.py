@@ -13,8 +13,8 @@ count as repeated. Copies are counted apart; of a text that stands twice all wor
 nothing to the candidates, and a slice scans each text once.
 
 Hot passages: a task combines the equal hashes of a slice of documents before the shuffle. It sends
-one marker for them, and the positions themselves travel as ranges under keys of their own, so a
-passage that a third of all documents hold adds one row per slice to the task that counts it. The joins with
+one marker for them, and the positions themselves travel as ranges under keys of their own. A task sends the marker of a hash once, however many of its slices hold it (as long as it
+remembers ``TOLD`` of them), so a passage that a third of all documents hold adds one row per task to the task that counts it. The joins with
 the texts deal the copies of a text in parts when there are many. Both read one shuffle of
 the texts, which travel compressed.
 
@@ -39,6 +39,8 @@ from heddle.llm.textcore import SLICE, documents_per_batch, materialize, mix, pa
 
 #: Words of a window.
 WINDOW = 35
+#: Markers that a task remembers (8 bytes each).
+TOLD = 2_000_000
 #: A perfect difference set: every remainder modulo 21 is a difference of two of its elements.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
@@ -70,12 +72,35 @@ def _pack(kind: int, a: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
     return np.int64(kind << 62 if kind < 2 else (kind << 62) - (1 << 64)) | (np.asarray(more, dtype=np.int64) << 31) | a.astype(np.int64)
 
 
-def _emit(h: list[np.ndarray], owner: np.ndarray, place: np.ndarray, t: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
-    """Rows of a slice: single hashes as they are, hashes met before in the slice as one marker, and their places as ranges under random keys."""
+class _Told:
+    """Hashes whose marker a task has sent already, as single numbers in order; emptied when there are too many."""
+
+    def __init__(self):
+        self.sent = np.zeros(0, np.uint64)
+
+    def known(self, h: list[np.ndarray]) -> np.ndarray:
+        k = _joint(h)
+        at = np.searchsorted(self.sent, k)
+        return self.sent[np.minimum(at, len(self.sent) - 1)] == k if len(self.sent) else np.zeros(len(k), bool)
+
+    def add(self, h: list[np.ndarray]) -> None:
+        self.sent = np.union1d(self.sent, _joint(h)) if len(self.sent) + len(h[0]) <= TOLD else np.unique(_joint(h))
+
+
+def _joint(h: list[np.ndarray]) -> np.ndarray:
+    """One number of all hashes of a place."""
+    with np.errstate(over="ignore"):
+        return h[0].view(np.uint64) if len(h) == 1 else mix(h[0].view(np.uint64) + mix(h[1].view(np.uint64)))
+
+
+def _emit(h: list[np.ndarray], owner: np.ndarray, place: np.ndarray, t: np.ndarray, u: np.ndarray, told: _Told) -> pa.RecordBatch:
+    """Rows of a slice: single hashes as they are; hashes that stand more than once in it, or that the task has told before, as one marker for the task, and their places as ranges under random keys."""
     frame = pd.DataFrame(dict(enumerate(h)))
-    many = frame.duplicated(keep=False).to_numpy()
+    before = told.known(h)
+    many = frame.duplicated(keep=False).to_numpy() | before
     one, at = np.flatnonzero(~many), np.flatnonzero(many)
-    mark = at[~frame.iloc[at].duplicated().to_numpy()]
+    mark = at[~frame.iloc[at].duplicated().to_numpy() & ~before[at]]
+    told.add([x[mark] for x in h])
     nothing = np.zeros(len(mark), np.int64)
     parts = [(t[owner[one]], u[owner[one]], *(x[one] for x in h), _pack(_ONE, place[one])), (nothing, nothing, *(x[mark] for x in h), _pack(_MARKER, nothing))]
     if len(at):
@@ -155,13 +180,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(*name, F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"), rest)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = _Told()
         for batch in map(_first_of_text, slices(batches, "text")):
             w = _Words(batch.column(2))
             n = w.n[w.owner]
             at = np.flatnonzero(cover[w.place % PERIOD] & (w.place + anchor <= n) & (n >= window))
-            yield _emit([w.windows(anchor, at)], w.owner[at], w.place[at], batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield _emit([w.windows(anchor, at)], w.owner[at], w.place[at], batch.column(0).to_numpy(), batch.column(1).to_numpy(), told)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = _Told()
         for batch in map(_first_of_text, packed_slices(batches)):
             w = _Words(unpack_texts(batch.column(_TEXT), batch.column(_SIZE)))
             owner, a, b = _ranges(batch, _RANGES)
@@ -169,7 +196,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             good = last >= 0
             base_at, last, a, b = base_at[good], last[good], a[good], b[good]
             at = np.flatnonzero(_cover(len(w.place), base_at + np.maximum(a - PERIOD + 1, 0), base_at + np.minimum(b, last) + 1))
-            yield _emit([w.windows(window, at, k) for k in (0, 1)], w.owner[at], w.place[at], batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield _emit([w.windows(window, at, k) for k in (0, 1)], w.owner[at], w.place[at], batch.column(0).to_numpy(), batch.column(1).to_numpy(), told)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in packed_slices(batches):

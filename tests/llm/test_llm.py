@@ -816,6 +816,24 @@ def test_substring_dedup_matches_brute_force(spark, docs, empty):
     assert dedup_substrings(empty).count() == 0
 
 
+
+def test_a_task_tells_of_a_hash_once(spark, monkeypatch):
+    """Slices of one document each: a passage that all documents hold gives one marker per task, and the result stays the same when markers are forgotten."""
+    from heddle.llm import substring_dedup as S
+
+    rng = random.Random(6)
+    texts = [" ".join(f"u{rng.random()}" for _ in range(20)) + " " + PASSAGE + " " + PASSAGE.upper() + " " + PASSAGE for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    expected = Counter(map(tuple, brute_removed([(i, t) for i, t in enumerate(texts)], 35)))
+    rows_of = lambda: Counter(tuple(r) for r in S.dedup_substrings(df).collect())
+    assert rows_of() == expected
+    told, at = S._Told(), np.array([5, 7, 5], dtype=np.uint64)
+    sent = [S._emit([at], np.array([0, 0, 1]), np.array([3, 6, 3]), np.arange(2), np.arange(2), told) for _ in range(4)]
+    assert [sum(p >> 62 == -1 or (p >> 62) & 3 == S._MARKER for p in b.column("p").to_pylist()) for b in sent] == [1, 0, 0, 0]
+    monkeypatch.setattr(S, "TOLD", 1)
+    assert rows_of() == expected
+
+
 # 10 quality rules ---------------------------------------------------------------------------------------
 
 
