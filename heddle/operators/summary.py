@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.units import nan_to_null, octave
-from heddle.operators.spatial import sorted_parts
+from heddle.operators.spatial import numbered, sorted_parts
 
 
 def weighted_score(groups: DataFrame, score: str, p: str, floor: float = 1e-6, by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,37 +50,52 @@ def trapezoid(curve: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> Dat
     return step.groupBy(*by).agg((F.sum("_a") / F.max(x)).alias("area"))
 
 
-def mean_curve(points: DataFrame, series: str, x: str, y: str) -> DataFrame:
+#: Places of x in one block of ``mean_curve``.
+CURVE_BLOCK = 256
+
+
+def mean_curve(points: DataFrame, series: str, x: str, y: str, block: int = CURVE_BLOCK) -> DataFrame:
     """Mean over the series of their linear interpolation on the union of all x; flat beyond a series' ends.
 
-    The sum of the series is itself a broken line: it starts at the sum of their first values and its slope changes
-    only where one of them has a point. So no series meets the x of another: the changes are added up by x, and the
-    line is followed in the order of x. Both orders are kept in ranges, and one row of each range crosses to one task.
+    The union of x is numbered by ranges and cut into blocks. Between two of its points a series is a line, so a block without a point of it needs its values at
+    both ends only: these lines are added up by block and read off at each x in between. In blocks where a series has points its line is taken at each x. Lines are
+    never continued from sums of slopes, so steep ones leave no error behind; rows are (series x blocks) and (points x block), not series x all x.
 
     Defined cases: values of one series at one x are averaged; NULL, NaN and infinite y are unknown, their x stays in the union;
     rows of such an x are left out, and a NULL series only adds its x; without any known y the mean is NULL and ``n`` zero.
     """
     finite = lambda c: F.when(F.abs(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))) < float("inf"), F.col(c).cast("double"))
     rows = points.select(F.col(series).alias("_s"), finite(x).alias("_x"), finite(y).alias("_y")).where("_x IS NOT NULL").groupBy("_s", "_x").agg(F.avg("_y").alias("_y"))
-    placed = sorted_parts(rows.where("_s IS NOT NULL AND _y IS NOT NULL"), ["_s", "_x"])
-    v, w, here = Window.partitionBy(F.lit(0)).orderBy("_p"), Window.partitionBy("_p").orderBy("_s", "_x"), F.struct("_s", "_x", "_y")
+    union = numbered(rows.select("_x").distinct(), ["_x"], "_place").select("_x", (F.col("_place") - 1).alias("_i")).withColumn("_b", F.expr(f"_i div {block}"))
+    blocks = union.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_at")).withColumns({"_low": F.col("_at")[0]["_x"], "_high": F.element_at("_at", -1)["_x"]})
+
+    # each known point with the next one of its series; one row of each range crosses to one task
+    placed = sorted_parts(rows.where("_s IS NOT NULL AND _y IS NOT NULL").join(union, "_x"), ["_s", "_x"])
+    v, w, here = Window.partitionBy(F.lit(0)).orderBy("_p"), Window.partitionBy("_p").orderBy("_s", "_x"), F.struct("_s", "_x", "_y", "_i")
     edges = placed.groupBy("_p").agg(F.min(here).alias("_head"), F.max(here).alias("_tail")).select("_p", F.lag("_tail").over(v).alias("_before"), F.lead("_head").over(v).alias("_after"))
     near = placed.join(F.broadcast(edges), "_p").withColumn("_before", F.coalesce(F.lag(here).over(w), "_before")).withColumn("_after", F.coalesce(F.lead(here).over(w), "_after"))
-    slope = lambda o: F.when(F.col(o)["_s"] == F.col("_s"), (F.col(o)["_y"] - F.col("_y")) / (F.col(o)["_x"] - F.col("_x")))
-    near = near.select("_x", "_y", slope("_before").alias("_in"), slope("_after").alias("_out"))
-    turns = near.select("_x", (F.coalesce("_out", F.lit(0.0)) - F.coalesce("_in", F.lit(0.0))).alias("_d"), F.when(F.col("_in").isNull(), F.col("_y")).alias("_first"))
-
-    turns = turns.union(rows.select("_x", F.lit(0.0), F.lit(None).cast("double")))
-    line = sorted_parts(turns.groupBy("_x").agg(F.sum("_d").alias("_d"), F.sum("_first").alias("_first"), F.count("_first").alias("n")), ["_x"])
-    start = line.agg(F.sum("_first").alias("_first"), F.sum("n").alias("n"))
-    w = Window.partitionBy("_p").orderBy("_x")
-    line = line.withColumn("_a", F.sum("_d").over(w)).withColumn("_l", F.coalesce(F.lag("_a").over(w) * (F.col("_x") - F.lag("_x").over(w)), F.lit(0.0))).withColumn("_l", F.sum("_l").over(w))
-    earlier = lambda c: F.coalesce(F.sum(c).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ends = line.groupBy("_p").agg(F.sum("_d").alias("_d"), F.max_by("_l", "_x").alias("_l"), F.max("_x").alias("_e"))
-    ends = ends.select("_p", "_l", "_e", earlier("_d").alias("_slope"), F.coalesce(F.lag("_e").over(v), F.lit(0.0)).alias("_from"))
-    ends = ends.select("_p", "_slope", "_from", earlier(F.col("_slope") * (F.col("_e") - F.col("_from")) + F.col("_l")).alias("_rise"))
-    total = F.col("_first") + F.col("_rise") + F.col("_slope") * (F.col("_x") - F.col("_from")) + F.col("_l")
-    return line.drop("_first", "n").join(F.broadcast(ends), "_p").join(F.broadcast(start)).select(F.col("_x").alias(x), (total / F.nullif("n", F.lit(0))).alias(y), "n")
+    whole = union.agg(F.coalesce(F.max("_i") + 1, F.lit(0)).alias("_all"))
+    known = near.agg(F.count_distinct("_s").alias("n"))
+    near = near.join(F.broadcast(whole))
+    first, last = F.coalesce(F.col("_before")["_s"] != F.col("_s"), F.lit(True)), F.coalesce(F.col("_after")["_s"] != F.col("_s"), F.lit(True))
+    part = lambda low, high, to_x, to_y: F.struct(low.alias("lo"), high.alias("hi"), F.col("_x").alias("x0"), F.col("_y").alias("y0"), to_x.cast("double").alias("x1"), to_y.cast("double").alias("y1"))
+    nothing = F.lit(None)
+    after = part(F.col("_i"), F.when(last, F.col("_all")).otherwise(F.col("_after")["_i"]), F.when(~last, F.col("_after")["_x"]), F.when(~last, F.col("_after")["_y"]))
+    before = F.when(first & (F.col("_i") > 0), part(F.lit(0).cast("long"), F.col("_i"), nothing, nothing))
+    lines = near.select(F.explode(F.array_compact(F.array(after, before))).alias("l")).select("l.*")
+    lines = lines.withColumns({"b0": F.expr(f"lo div {block}"), "b1": F.expr(f"(hi - 1) div {block}")})
+    value = lambda c: F.when(F.col("x1").isNull(), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * ((c - F.col("x0")) / (F.col("x1") - F.col("x0"))))
+
+    inner = lines.where("b1 > b0 + 1").withColumn("_b", F.explode(F.sequence(F.col("b0") + 1, F.col("b1") - 1))).join(blocks.drop("_at"), "_b")
+    inner = inner.groupBy("_b").agg(F.sum(value(F.col("_low"))).alias("_from"), F.sum(value(F.col("_high"))).alias("_to"))
+    ends = lines.withColumn("_b", F.explode(F.array_distinct(F.array("b0", "b1")))).join(blocks, "_b")
+    ends = ends.withColumn("_at", F.explode(F.filter("_at", lambda p: (p["_i"] >= F.col("lo")) & (p["_i"] < F.col("hi"))))).select(F.col("_at._i").alias("_i"), value(F.col("_at._x")).alias("_v"))
+    direct = ends.groupBy("_i").agg(F.sum("_v").alias("_v"))
+    out = union.join(blocks.drop("_at").join(inner, "_b", "left"), "_b").join(direct, "_i", "left")
+    rise = F.coalesce(F.try_divide(F.col("_x") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    line = F.col("_from") + (F.col("_to") - F.col("_from")) * rise
+    total = F.coalesce("_v", F.lit(0.0)) + F.coalesce(line, F.lit(0.0))
+    return out.join(F.broadcast(known)).select(F.col("_x").alias(x), (total / F.nullif("n", F.lit(0))).alias(y), "n")
 
 
 def distribution(df: DataFrame, metrics: list[str]) -> DataFrame:

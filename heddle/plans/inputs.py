@@ -26,7 +26,7 @@ INPUTS = {
     "positions": "SELECT concat(CASE WHEN c_nationkey % 2 = 0 THEN 'A' ELSE 'B' END, '/', cast(c_nationkey % 6 + 1 AS varchar(10))) AS well, c_custkey AS ord, concat('pos', cast(c_custkey AS varchar(10))) AS position FROM {customer}",
     "job_records": "SELECT concat(cast(l_orderkey AS varchar(10)), CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN '.batch' WHEN 3 THEN '.0' ELSE '.extern' END) AS job_id, max(CASE WHEN l_quantity < 10 THEN ' ' ELSE concat(cast(cast(l_quantity AS int) AS varchar(10)), 'M') END) AS max_rss, max(concat('00:', lpad(cast(l_suppkey % 60 AS varchar(10)), 2, '0'), ':00')) AS elapsed FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
     "calls": "SELECT concat('step', cast(user_id AS varchar(10)), '_', cast(event_id AS varchar(10))) AS log_key, concat(cast(value AS varchar(30)), ' seconds') AS duration, event_type AS hostname, event_id AS ord FROM {events}",
-    "curves": "SELECT p_brand AS series, cast(p_size AS double) AS x, avg(p_retailprice) AS y FROM {part} GROUP BY p_brand, p_size",
+    "curves": "SELECT p_brand AS series, cast(p_size AS double) + cast(p_partkey % 2 AS double) * 1e-11 AS x, avg(p_retailprice) AS y FROM {part} GROUP BY 1, 2",
     "docs_steps": "SELECT concat('ops', lpad(cast(o_custkey % 300 AS varchar(10)), 4, '0'), '_20240101') AS experiment, concat('f', cast(o_orderkey AS varchar(10))) AS path FROM {orders}",
     "files": "SELECT concat('f', cast(l_orderkey AS varchar(10))) AS path FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 3 > 0",
 }

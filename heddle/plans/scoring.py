@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heddle.operators import density as DE
+from heddle.operators import neighbour_graph as NG
 from heddle.operators import profiles as P
 from heddle.operators import retrieval as R
 from heddle.operators import summary as S
@@ -103,6 +107,42 @@ def nearest_neighbours(spark, sf_dir):
     return R.nearest(_vectors(spark, sf_dir), "vec_id", "embedding").select("id", "neighbour", "rank")
 
 
+@query()
+def neighbour_graph(spark, sf_dir):
+    """Weighted edges of the approximate neighbours: an index, so no SQL; see ``neighbour_recall``."""
+    return NG.neighbour_graph(_vectors(spark, sf_dir), "vec_id", "embedding")
+
+
+@query("SELECT count(*) * least(15, count(*) - 1) AS n_pairs, true AS enough FROM embeddings")
+def neighbour_recall(spark, sf_dir):
+    """Exact neighbours of all rows, and whether the approximate ones hold at least nine in ten of them."""
+    v = _vectors(spark, sf_dir)
+    exact = R.nearest(v, "vec_id", "embedding").select("id", "neighbour")
+    found = NG.approximate_neighbours(v, "vec_id", "embedding").select("id", "neighbour", F.lit(1).alias("hit"))
+    return exact.join(found, ["id", "neighbour"], "left").agg(F.count("*").alias("n_pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y FROM part),
+    s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, sqrt(var_samp(x)) AS a, covar_samp(x, y) / sqrt(var_samp(x)) AS b, var_samp(y) AS vy, pow(count(*)::DOUBLE, -1.0::DOUBLE / 6) AS h FROM p),
+    t AS (SELECT *, sqrt(vy - b * b) AS d FROM s), q AS (SELECT id, (x - mx) / (a * h) AS u, y - my AS v, b, d, h FROM p, t), z AS (SELECT id, u, (v - u * (b * h)) / (d * h) AS w FROM q),
+    c AS (SELECT floor(u / 4) AS su, floor(w / 4) AS sw, count(*) AS n, avg(u) AS u, avg(w) AS w FROM z GROUP BY floor(u / 4), floor(w / 4), floor(u / 0.125), floor(w / 0.125))
+    SELECT id, round(sum(c.n * exp(-((z.u - c.u) ** 2 + (z.w - c.w) ** 2) / 2)) / any_value(2 * pi() * t.n * a * d * h * h) * 1e6, 3) AS density FROM z, c, t WHERE abs(floor(z.u / 4) - su) <= 1 AND abs(floor(z.w / 4) - sw) <= 1 GROUP BY id""")
+def kernel_density(spark, sf_dir):
+    """Density (a million times) of the parts by size and price."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))
+    return DE.density(p).select("id", F.round(F.col("density") * 1e6, 3).alias("density"))
+
+
+@query()
+def map_screen(spark, sf_dir):
+    """Ratios of significant groups of a whole screen: permutation p-values are seeded draws, so no SQL."""
+    v = _vectors(spark, sf_dir).withColumn("guide", F.col("vec_id"))
+    sets = v.select((F.col("label") % 3).alias("set_id"), F.col("label").alias("member")).distinct()
+    out = R.score_screen(v, v, sets, sets, "label", "guide", "embedding", "vec_id", "vec_id", "is_control")
+    parts = [d.select(F.lit(k).alias("metric"), "*") for k, d in out.items() if k.endswith("_ratio")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def map_pvalue_perm(spark, sf_dir):
     """Permutation p-values are seeded draws: no SQL."""

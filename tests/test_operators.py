@@ -281,6 +281,23 @@ def test_mean_curve_equals_interpolation(spark, coalesce):
     assert np.allclose([out[x][0] for x in union], want, atol=1e-7)
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_steep_series_leave_no_error_behind(spark, block):
+    """Steps of next to no width beside series that reach far: the sum of slopes would lose all digits."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(41):
+        at = float(rng.uniform(0, 1000))
+        width = float(10 ** -rng.uniform(11, 13.5)) * max(at, 1)
+        rows += [(s, 0.0, float(rng.random())), (s, at, 0.0), (s, at + width, 1.0), (s, 1000.0, float(rng.random()))]
+    points = spark.createDataFrame(rows, "series int, x double, y double")
+    xs = sorted({r[1] for r in rows})
+    by = {s: sorted((x, y) for t, x, y in rows if t == s) for s in range(41)}
+    want = np.mean([np.interp(xs, *zip(*by[s], strict=True)) for s in by], axis=0)
+    got = {r.x: (r.y, r.n) for r in S.mean_curve(points, "series", "x", "y", block).collect()}
+    assert sorted(got) == xs and all(abs(got[x][0] - w) < 1e-9 and got[x][1] == 41 for x, w in zip(xs, want, strict=True))
+
+
 def test_mean_curve_without_known_values(spark):
     points = spark.createDataFrame([("a", 1.0, None)], "series string, x double, y double")
     assert [tuple(r) for r in S.mean_curve(points, "series", "x", "y").collect()] == [(1.0, None, 0)]
