@@ -895,7 +895,7 @@ def test_oracles(spark):
     from heddle.llm import oracles, queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in oracles.ORACLES.items():
         out = queries.QUERIES[name](spark, SF)
