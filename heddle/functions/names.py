@@ -108,6 +108,11 @@ def sanitize_label(label: Column | str) -> Column:
     return F.replace(v, _lit(" "), _lit("_"))
 
 
+def signal_file(signal: Column | str) -> Column:
+    """A signal's label as a file name: spaces become underscores, slashes hyphens; commas and round brackets go."""
+    return F.translate(_c(signal), " /,()", "_-")
+
+
 def derived_label(channel: Column | str) -> Column:
     """Label spelled out in a channel's own name: ``CP1_organelle_marker`` and ``4i_R1_organelle_marker`` or ``4i_R1_marker``; NULL otherwise."""
     v = _c(channel)

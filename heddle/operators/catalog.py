@@ -23,6 +23,41 @@ def excluded(experiments: DataFrame, rules: DataFrame, categories: list[str], cu
     return out.select(*experiments.columns, (old | F.coalesce("_hit_name", F.lit(False)) | F.coalesce("_hit_number", F.lit(False))).alias("excluded"))
 
 
+def exclusion_reasons(experiments: DataFrame, rules: DataFrame, cutoff: str | None = None, name: str = "name") -> DataFrame:
+    """``experiments`` with ``reason``: of the first rule (by ``ordinal``) that has the experiment's name or its number, or else that it is before the cut-off date; NULL without either, or if that rule gives none.
+
+    The first rule is found per name and per number before the experiments are joined, so a rule that is given very often costs one row.
+    """
+    first = lambda key, by: rules.where(f"{key} IS NOT NULL").groupBy(F.col(key).alias(by)).agg(F.min(F.struct("ordinal", "reason")).alias(f"{by}_r"))
+    keyed = experiments.withColumn("_num", N.experiment_number(N.experiment_key(name))).withColumn("_day", N.experiment_date(name))
+    out = keyed.join(first("name", "_n"), F.col(name) == F.col("_n"), "left").join(first("number", "_k"), F.col("_num") == F.col("_k"), "left")
+    ruled = F.least("_n_r", "_k_r")  # the earlier of both; NULL is left out
+    late = F.lit(None).cast("string") if cutoff is None else F.when(F.col("_day") < cutoff, F.lit(f"before date cutoff ({cutoff})"))
+    return out.select(*experiments.columns, F.when(ruled.isNotNull(), ruled["reason"]).otherwise(late).alias("reason"))
+
+
+#: Tags of the kinds of imaging, and the flags of a channel map that stand for them.
+BASE_DESIGN, DESIGN_FLAGS, LIBRARY_DESIGN = "livecell_OPS", {"cell_painting": "Cell_Painting", "four_i": "4i"}, ("merfish", "MERFISH")
+
+
+def design_tags(experiments: DataFrame, flags: DataFrame, codebooks: DataFrame, name: str = "name") -> DataFrame:
+    """``experiments`` with ``design``: the base tag, one for each flag that is enabled in the experiment's channel map (in the order in which the map names them), and one if its codebook's name says so.
+
+    ``flags`` (experiment, pos, flag, enabled) and ``codebooks`` (experiment, codebook) go by the experiment's short key.
+    """
+    tag = F.element_at(F.create_map(*[F.lit(x) for kv in DESIGN_FLAGS.items() for x in kv]), F.col("flag"))
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(DESIGN_FLAGS) for x in (k, i)])
+    on = flags.where("enabled").select(F.col("experiment").alias("_exp"), tag.alias("t"), F.struct("pos", F.element_at(order, F.col("flag")).alias("k")).alias("at")).where("t IS NOT NULL")
+    on = on.groupBy("_exp", "t").agg(F.min("at").alias("at")).groupBy("_exp").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]).alias("_on"))
+    word, more = LIBRARY_DESIGN
+    books = codebooks.groupBy(F.col("experiment").alias("_exp2")).agg(F.bool_or(F.lower("codebook").contains(word)).alias("_book"))
+    keyed = experiments.withColumn("_key", F.coalesce(N.experiment_key(name), F.col(name)))
+    out = keyed.join(on, F.col("_key") == F.col("_exp"), "left").join(books, F.col("_key") == F.col("_exp2"), "left")
+    empty = F.array().cast("array<string>")
+    design = F.concat(F.array(F.lit(BASE_DESIGN)), F.coalesce("_on", empty), F.when(F.coalesce("_book", F.lit(False)), F.array(F.lit(more))).otherwise(empty))
+    return out.select(*experiments.columns, design.alias("design"))
+
+
 def bad_channels(channels: DataFrame, rules: DataFrame, words: tuple[str, ...] = ("no label", "bleedthrough", "autofluorescence")) -> DataFrame:
     """Flag ``bad`` of (experiment, channel, label): the label holds a word, or a rule names the experiment (or its number) and channel."""
     low = F.lower(F.col("channel"))

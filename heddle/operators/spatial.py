@@ -55,6 +55,24 @@ def central_roi(height: Column, width: Column, size: int) -> Column:
     return F.struct(y.alias("y0"), F.least(height, y + size).alias("y1"), x.alias("x0"), F.least(width, x + size).alias("x1"))
 
 
+def three_rois(height: Column, width: Column, size: int = 500, edge_distance: int = 7000) -> Column:
+    """array<struct<place, y, x, y0, y1, x0, x1>>: squares at the centre, half of the smaller half-side above it, and ``edge_distance`` below the top of the centred square; each is clipped to the image."""
+    cy, cx = F.floor(height / 2).cast("int"), F.floor(width / 2).cast("int")
+    radius = F.least(cy, cx)
+    low = lambda c: F.greatest(F.lit(0), c - size // 2)
+    out = []
+    for place, y in (("center", cy), ("mid", cy - F.floor(radius / 2).cast("int")), ("edge", cy - (radius - edge_distance))):
+        out.append(F.struct(F.lit(place).alias("place"), y.alias("y"), cx.alias("x"), low(y).alias("y0"), F.least(height, low(y) + size).alias("y1"), low(cx).alias("x0"), F.least(width, low(cx) + size).alias("x1")))
+    return F.array(*out)
+
+
+def subtile_grid(n: Column, height: Column, width: Column) -> Column:
+    """Side of a square grid of ``n`` parts of an image; anything but a square number whose root divides both sides raises an error."""
+    side = F.round(F.sqrt(n)).cast("int")
+    odd = F.when(side * side != n, F.concat(n.cast("string"), F.lit(" is not a square number"))).when((height % side != 0) | (width % side != 0), F.concat(F.lit("a grid of "), side.cast("string"), F.lit(" does not divide the image")))
+    return F.when(odd.isNotNull(), F.raise_error(odd).cast("int")).otherwise(side)
+
+
 def units(positions: DataFrame) -> DataFrame:
     """One row per position, time and channel."""
     return positions.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_t") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1))).drop("n_t", "n_c")

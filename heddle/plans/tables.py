@@ -76,6 +76,12 @@ def label_parse(spark, sf_dir):
     return t.select("id", N.split_label("label").getField("organelle").alias("organelle"), N.split_label("label").getField("marker").alias("marker"), N.short_label("label", "channel").alias("short"), N.derived_label("channel").alias("derived"))
 
 
+@query(cte("labels_text") + "SELECT id, replace(replace(replace(replace(replace(label, ' ', '_'), ',', ''), '(', ''), ')', ''), '/', '-') AS file FROM (SELECT id, concat('(', label, ')') AS label FROM labels_text)")
+def signal_files(spark, sf_dir):
+    t = read(spark, sf_dir, "labels_text").select("id", F.concat(F.lit("("), F.coalesce("label", F.lit("")), F.lit(")")).alias("label"))
+    return t.select("id", N.signal_file("label").alias("file"))
+
+
 @query(cte("labels_text") + f"""SELECT id, CASE WHEN channel LIKE 'Phase%' THEN 'BF' ELSE channel END AS normal, CASE lower(channel) WHEN 'gfp' THEN 'GFP' WHEN 'm-cherry' THEN 'mCherry' ELSE channel END AS canonical, CASE WHEN channel IN ('Phase2D', 'BF') THEN 'labelfree' ELSE 'fluorescent' END AS kind,
     CASE WHEN {_MARK} IS NULL OR {_MARK} = '' THEN NULL WHEN regexp_matches(lower({_MARK}), 'dye|tracker|live|spy|bodipy|phrodo|cellrox|cellevent|chromalive|emission') THEN 'live_cell_dye' ELSE 'endogenous_tag' END AS marker_type FROM labels_text""")
 def channel_names(spark, sf_dir):
@@ -363,6 +369,27 @@ def exclusion_filter(spark, sf_dir):
     return C.excluded(read(spark, sf_dir, "experiments"), read(spark, sf_dir, "exclusions"), ["bad", "old"], "20231000")
 
 
+@query(cte("experiments", "exclusions") + r""", u AS (SELECT *, CASE WHEN category = 'old' THEN NULL ELSE concat(category, ' ', coalesce(name, number::VARCHAR)) END AS reason, CASE category WHEN 'bad' THEN 0 WHEN 'old' THEN 1 ELSE 2 END * 1000 + coalesce(number, try_cast(substr(name, 4) AS INT)) AS ordinal FROM exclusions),
+    k AS (SELECT name, try_cast(nullif(regexp_extract(name, '^ops0*(\d+)', 1), '') AS INT) AS num, nullif(regexp_extract(name, '(?i)^ops\d{4}_(\d{8})$', 1), '') AS day FROM experiments),
+    h AS (SELECT k.name, arg_min(coalesce(reason, 'none'), ordinal) AS r FROM k JOIN u ON u.name = k.name OR u.number = k.num GROUP BY k.name)
+    SELECT k.name, CASE WHEN r IS NOT NULL THEN nullif(r, 'none') WHEN day < '20231000' THEN 'before date cutoff (20231000)' END AS reason FROM k LEFT JOIN h USING (name)""")
+def exclusion_reasons(spark, sf_dir):
+    """The first rule that has the experiment's name or number, or the cut-off date."""
+    rules = read(spark, sf_dir, "exclusions").withColumn("reason", F.when(F.col("category") != "old", F.concat("category", F.lit(" "), F.coalesce("name", F.col("number").cast("string")))))
+    place = F.when(F.col("category") == "bad", 0).when(F.col("category") == "old", 1).otherwise(2) * 1000
+    return C.exclusion_reasons(read(spark, sf_dir, "experiments"), rules.withColumn("ordinal", place + F.coalesce("number", F.substring("name", 4, 10).try_cast("int"))), "20231000")
+
+
+@query("SELECT p_partkey, concat('livecell_OPS', CASE p_partkey % 4 WHEN 1 THEN ',Cell_Painting' WHEN 2 THEN ',4i,Cell_Painting' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN ',MERFISH' ELSE '' END) AS design FROM part")
+def design_tags(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").withColumn("name", F.concat(F.lit("part"), "p_partkey"))
+    k = F.col("p_partkey") % 4
+    row = lambda pos, flag, on: F.struct(F.lit(pos).alias("pos"), F.lit(flag).alias("flag"), on.alias("enabled"))
+    flags = p.select(F.col("name").alias("experiment"), F.explode(F.array(row(2, "cell_painting", k.isin(1, 2)), row(1, "four_i", k == 2), row(3, "four_i", k == 2), row(0, "other", F.lit(True)))).alias("f")).select("experiment", "f.*")
+    books = p.select(F.col("name").alias("experiment"), F.when(F.col("p_size") % 5 == 0, "book_MERFISH_2.csv").when(F.col("p_size") % 5 == 1, "plain.csv").alias("codebook"))
+    return C.design_tags(p, flags, books).select("p_partkey", F.array_join("design", ",").alias("design"))
+
+
 @query(cte("channel_map") + "SELECT experiment, pos, channel_name AS channel, label, coalesce(regexp_matches(lower(label), 'economy'), false) OR coalesce(experiment = 'ops0007' AND lower(channel_name) = 'gfp', false) OR coalesce(regexp_extract(experiment, '^ops0*(\\d+)', 1) = '12' AND lower(channel_name) = 'bf', false) AS bad FROM channel_map")
 def bad_channels(spark, sf_dir):
     m = read(spark, sf_dir, "channel_map").withColumnRenamed("channel_name", "channel")
@@ -455,6 +482,18 @@ def tile_bounds_overlap(spark, sf_dir):
     return G.tiles_with_overlap(i, 3, 10).drop("height", "width")
 
 
+@query("""WITH i AS (SELECT p_partkey AS id, (300 + p_size * 12)::INT AS h, (252 + p_partkey % 400 * 12)::INT AS w FROM part), c AS (SELECT *, h // 2 AS cy, w // 2 AS cx, least(h // 2, w // 2) AS r FROM i),
+    y AS (SELECT *, unnest(['center', 'mid', 'edge']) AS place, unnest([cy, cy - r // 2, cy - (r - 60)]) AS y FROM c)
+    SELECT id, place, y::INT AS y, cx::INT AS x, greatest(0, y - 50)::INT AS y0, least(h, greatest(0, y - 50) + 100)::INT AS y1, greatest(0, cx - 50)::INT AS x0, least(w, greatest(0, cx - 50) + 100)::INT AS x1, greatest(0, (h - 280) // 2)::INT AS c0, least(h, greatest(0, (h - 280) // 2) + 280)::INT AS c1, (id % 3 + 2)::INT AS grid FROM y""")
+def region_boxes(spark, sf_dir):
+    """Three regions of each image, the rows of its central square, and the side of its grid of parts."""
+    h, w = (F.lit(300) + F.col("p_size") * 12).cast("int"), (F.lit(252) + F.col("p_partkey") % 400 * 12).cast("int")
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), h.alias("h"), w.alias("w"))
+    side = F.col("id") % 3 + 2
+    rois = p.select("id", G.central_roi(F.col("h"), F.col("w"), 280).alias("c"), G.subtile_grid(side * side, F.col("h"), F.col("w")).alias("grid"), F.explode(G.three_rois(F.col("h"), F.col("w"), 100, 60)).alias("r"))
+    return rois.select("id", "r.*", F.col("c.y0").alias("c0"), F.col("c.y1").alias("c1"), "grid")
+
+
 @query("SELECT p_partkey AS id, t, c FROM part, range(51) a(t), range(3) b(c) WHERE t < p_size % 4 + 1 AND c < p_partkey % 3 + 1")
 def enumerate_units(spark, sf_dir):
     return G.units(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("n_t"), (F.col("p_partkey") % 3 + 1).cast("int").alias("n_c")))

@@ -335,3 +335,13 @@ def test_parts_of_a_null_add_up(spark, monkeypatch):
     null = np.concatenate([R.null_scores(2, 7, n, R.SEED, part) for part, n in enumerate((400, 400, 200))])
     assert out == {g: pytest.approx((1 + int((null >= a - 1e-12).sum())) / 1001) for g, a in [("x", 1.0), ("y", 0.0), (None, 0.4)]}
     assert out["y"] == 1.0 and not np.array_equal(null[:400], null[400:800])
+
+
+@pytest.mark.parametrize(("n", "h", "w", "side"), [(4, 8, 6, 2), (9, 9, 12, 3), (1, 5, 7, 1), (8, 8, 8, None), (4, 7, 8, None), (9, 9, 10, None)])
+def test_grids_must_fit(spark, n, h, w, side):
+    df = spark.createDataFrame([(n, h, w)], "n int, h int, w int").select(G.subtile_grid(F.col("n"), F.col("h"), F.col("w")).alias("s"))
+    if side is None:
+        with pytest.raises(Exception, match="square number|does not divide"):
+            df.collect()
+    else:
+        assert df.first().s == side
