@@ -60,7 +60,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local master goes without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
