@@ -193,15 +193,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Rows of an Arrow batch: documents have kilobytes, and a batch is held by the JVM and the Python worker.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: documents have kilobytes, some megabytes, and a batch is held by the JVM and the Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def documents_per_batch(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes (or one row), if they are larger."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions_for(df, floor: int = 1) -> int:

@@ -36,6 +36,28 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_arrow_batches_are_bounded(spark):
+    from heddle.llm.textcore import BATCH_BYTES, BATCH_ROWS, documents_per_batch
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for given, want in ((["10000", "64m"], [BATCH_ROWS, BATCH_BYTES]), (["0", "1g"], [BATCH_ROWS, BATCH_BYTES]), (["7", "1k"], ["7", "1k"])):
+            for n, v in zip(names, given, strict=True):
+                spark.conf.set(n, v)
+            documents_per_batch(spark)
+            assert [spark.conf.get(n) for n in names] == [str(w) for w in want]
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+        documents_per_batch(spark)
+        sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+        found = spark.range(0, 700, 1, 1).selectExpr("id", "repeat('x', 20000) AS t").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 700 and max(r.size for r in found) < BATCH_BYTES + 50_000
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
