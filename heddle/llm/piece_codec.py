@@ -5,9 +5,11 @@ format. ``build_tokenizer`` rebuilds the pipeline: the compiled normaliser map w
 white-space marker with its dummy prefix, the unigram scores (or, for a BPE model, the merges in
 order of the scores) and the byte fallback.
 
-``PieceCodec`` hands whole texts to the library, a slice of a batch in one call, which uses as many
-threads as TOKENIZERS_PARALLELISM and RAYON_NUM_THREADS allow; decoding goes through the library's
-decoder in the same way. ``encode_pieces`` compares the ids of every row with those of the sentencepiece library
+``PieceCodec`` hands texts to the library, a slice of a batch in one call, which uses as many
+threads as TOKENIZERS_PARALLELISM and RAYON_NUM_THREADS allow. Where no piece of a BPE model holds a marker behind another
+character, no merge can cross the start of a run of markers: ``encode_flat`` cuts texts there and hands each
+distinct part to the library once (``PartCache``). Other models get whole texts. Whole texts are decoded by the library's
+decoder. ``encode_pieces`` compares the ids of every row with those of the sentencepiece library for the whole text
 and the decoded text with the original.
 
 Defined cases: null is encoded as the empty text, which has no ids and decodes to the empty text; a text that
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.textcore import documents_per_batch, slices
+from heddle.llm.piece_cache import PieceCache
+from heddle.llm.textcore import documents_per_batch, slices, utf8
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
@@ -38,6 +41,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of text handed to the library at once.
 SLICE_BYTES = 1 << 20
+#: Distinct parts, and ids of them, held by one Python worker before the cache is emptied.
+CACHE_PARTS, CACHE_IDS = 1_000_000, 8_000_000
+#: New parts handed to the library as one text: a text of its own costs it more than the letters of a short part.
+JOINED = 50
 
 
 @dataclass
@@ -145,6 +152,27 @@ class PieceCodec:
         self.model = read_model(path)
         self.tokenizer = build_tokenizer(self.model)
         self.is_byte = np.array([k == BYTE for k in self.model.kinds])
+        self.parts = PartCache(self.model) if self._has_parts() else None
+
+    def _has_parts(self) -> bool:
+        """Whether a text may be cut before each run of markers: no piece goes on across that place, and no unknown character or normalisation does."""
+        m = self.model
+        plain = m.kind == BPE and m.escape_spaces and not m.squeeze_spaces and not m.charsmap and m.byte_fallback and m.kinds.count(BYTE) == 256
+        return plain and MARK in m.pieces and not any(MARK in p.lstrip(MARK) for p in m.pieces)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``encode`` one after another and their number per text."""
+        if self.parts is None:
+            return flat_ids(self.encode(texts))
+        prefix = " " if self.model.dummy_prefix else ""
+        buf, offs = utf8(pa.array([prefix + t if t else "" for t in texts], pa.string()))
+        space, cut = buf == 32, np.zeros(len(buf) + 1, dtype=bool)
+        cut[1:-1] = space[1:] & ~space[:-1]
+        cut[np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81)) + 3] = False  # behind a marker in the text itself
+        cut[offs] = True
+        edges = np.flatnonzero(cut)
+        ids, counts = self.parts.ids(buf, edges[:-1], edges[1:])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(edges, offs)])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the empty text has none."""
@@ -154,6 +182,38 @@ class PieceCodec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+class PartCache(PieceCache):
+    """Ids of the parts of texts between the starts of runs of markers."""
+
+    def __init__(self, model: Model, limit: int = CACHE_PARTS, most_ids: int = CACHE_IDS):
+        from tokenizers import normalizers
+
+        tokenizer = build_tokenizer(model)
+        tokenizer.normalizer = normalizers.Sequence([])  # parts come with their markers, and the first one of a text with its prefix
+        super().__init__(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], limit)
+        self.most_ids = most_ids
+        self.sizes = np.array([1 if k == BYTE else len(p.encode("utf-8")) for p, k in zip(model.pieces, model.kinds, strict=True)])
+
+    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.used > self.most_ids:
+            self._clear()
+        return super().ids(buf, starts, ends)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts that start, but do not end, with a marker are joined; the sizes of the tokens tell where each part ends."""
+        parts, runs = [p.replace(" ", MARK) for p in pieces], [[]]
+        for p in parts:
+            if p[0] != MARK or p[-1] == MARK:
+                runs += [[p], []]
+            elif len(runs[-1]) < JOINED:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        flat, _ = flat_ids(self.encode(["".join(r) for r in runs if r]))
+        stop = np.cumsum([len(p.encode("utf-8")) for p in parts])
+        return flat, np.diff(np.searchsorted(np.cumsum(self.sizes[flat]), stop) + 1, prepend=0).astype(np.int32)
+
+
 def flat_ids(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids one after another and their number per text."""
     counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
@@ -188,11 +248,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         codec, other = codec_of(model), reference_of(model) if compare else None
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column(1).fill_null("").to_pylist()
-            rows = codec.encode(texts)
-            ids, counts = flat_ids(rows)
-            same = [a == b for a, b in zip(texts, codec.decode(rows), strict=True)]
-            parity = [a == b for a, b in zip(rows, other.encode(texts, num_threads=1), strict=True)] if compare else [None] * len(rows)
+            ids, counts = codec.encode_flat(texts)
             stop = np.concatenate([[0], np.cumsum(counts)])
+            rows = np.split(ids, stop[1:-1])
+            same = [a == b for a, b in zip(texts, codec.decode([r.tolist() for r in rows]), strict=True)]
+            parity = [np.array_equal(a, b) for a, b in zip(rows, other.encode(texts, num_threads=1, out_type="numpy"), strict=True)] if compare else [None] * len(rows)
             bytes_n = np.diff(np.searchsorted(np.flatnonzero(codec.is_byte[ids]), stop))
             wide = ids.astype("<u4")
             crc = [zlib.crc32(wide[a:b]) for a, b in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]

@@ -570,6 +570,52 @@ def test_every_document_is_compared(spark):
     assert [r.parity for r in P.pieces(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()] == [True] * n
 
 
+def test_parts_of_texts_equal_whole_texts():
+    from itertools import product
+
+    from sentencepiece import SentencePieceProcessor
+
+    from heddle.llm.piece_codec import PartCache, PieceCodec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec, other = PieceCodec(path), SentencePieceProcessor(model_file=path)
+    short = ["".join(t) for n in range(6) for t in product(" ▁ab\né", repeat=n)]
+    some = [t or "" for _, t in TEXTS] + odd_texts(3000, 23) + ["中文" * 400, " " * 5000, "x" * 5000, "the  cat▁ ▁▁ sat ", "<s> <0x41> </s>"]
+    for cache in (codec.parts, PartCache(codec.model, limit=50, most_ids=40)):  # the second is emptied again and again
+        codec.parts = cache
+        for texts in (short, some, some[::-1], [], ["", ""]):
+            for at in range(0, max(1, len(texts)), 500):
+                ids, counts = codec.encode_flat(texts[at : at + 500])
+                expected = other.encode(texts[at : at + 500]) if texts else []
+                assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_a_distinct_part_goes_to_the_library_once(spark):
+    from heddle.llm import piece_codec as C
+
+    codec = C.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    handed, encode = [], codec.parts.encode
+    codec.parts.encode = lambda texts: handed.extend(texts) or encode(texts)
+    ids, counts = codec.encode_flat(["one two three " * 1000 + "four", "two  one", "", "four"])
+    assert sum(map(len, handed)) == len("▁one▁two▁three▁four▁▁one") and len(handed) == 1
+    assert counts[2] == 0 and ids.tolist() == [i for r in codec.encode(["one two three " * 1000 + "four", "two  one", "", "four"]) for i in r]
+
+
+def test_models_whose_pieces_cross_words_are_not_cut():
+    from types import SimpleNamespace
+
+    from heddle.llm.piece_codec import BPE, BYTE, UNIGRAM, UNKNOWN, Model, PieceCodec
+
+    def cut(*pieces, kind=BPE, **more):
+        names = ["<unk>", *pieces, *[f"<0x{i:02X}>" for i in range(256)]]
+        model = Model(names, [0.0] * len(names), [UNKNOWN, *[1] * len(pieces), *[BYTE] * 256], kind, True, **{"squeeze_spaces": False} | more)
+        return PieceCodec._has_parts(SimpleNamespace(model=model))
+
+    assert cut("▁", "▁▁", "▁a", "ab")
+    assert not cut("▁", "a▁", "b") and not cut("▁", "▁a▁b") and not cut("a", "b")
+    assert not cut("▁", "a", kind=UNIGRAM) and not cut("▁", "a", squeeze_spaces=True) and not cut("▁", "a", charsmap=b"x") and not cut("▁", "a", escape_spaces=False)
+
+
 def test_unigram_models_are_rebuilt():
     from heddle.llm.piece_codec import BYTE, CONTROL, UNIGRAM, UNKNOWN, Model, build_tokenizer
 
