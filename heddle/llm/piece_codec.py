@@ -24,7 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -152,7 +152,11 @@ class PieceCodec:
         self.model = read_model(path)
         self.tokenizer = build_tokenizer(self.model)
         self.is_byte = np.array([k == BYTE for k in self.model.kinds])
-        self.parts = PartCache(self.model) if self._has_parts() else None
+
+    @cached_property
+    def parts(self) -> PartCache | None:
+        """Made when first used: callers of ``encode`` alone do not need it."""
+        return PartCache(self.model) if self._has_parts() else None
 
     def _has_parts(self) -> bool:
         """Whether a text may be cut before each run of markers: no piece goes on across that place, and no unknown character or normalisation does."""
