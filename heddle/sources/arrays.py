@@ -36,6 +36,8 @@ BLOCK_SCHEMA = "chunk array<int>, start array<int>, extent array<int>, data bina
 #: Names of the last axes of an array, the last one last.
 AXES = "tczyx"
 _NONE = (1 << 64) - 1
+#: Cells that a task of a scan reads, at least (whole files, though), and rows of a batch that it gives, at least. The smaller the chunks, the more of them.
+TASK_CELLS, BATCH_CELLS = 1 << 17, 1 << 14
 
 
 def _folder(path: str) -> tuple[pafs.FileSystem, str]:
@@ -251,8 +253,8 @@ class _Tiles(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.per_task = options["path"], int(options.get("chunks_per_task", 8))
-        lay = layout_of(self.path)
+        self.path, lay = options["path"], layout_of(options["path"])
+        self.per_task = int(options.get("chunks_per_task", max(8, TASK_CELLS // int(np.prod(lay.chunks)))))
         self.low, self.high, self.axes = [0] * len(lay.shape), list(lay.shape), AXES[-len(lay.shape) :]
 
     def partitions(self):
@@ -319,6 +321,11 @@ class _CellReader(_Reader):
         self.low[axis], self.high[axis] = max(self.low[axis], low), min(self.high[axis], high)
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
+        names, held, n = [*self.axes, "value"], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
         for array, chunk in self._chunks(partition):
             start, extent = array.extent(chunk)
             low = [max(a, s) for a, s in zip(self.low, start, strict=True)]
@@ -326,8 +333,14 @@ class _CellReader(_Reader):
             block = array.stored(chunk)
             inside = tuple(slice(a - s, a - s + n) for a, s, n in zip(low, start, size, strict=True))
             values = np.full(size, array.layout.fill, dtype=float) if block is None else block[inside].astype(float)
-            places = [np.broadcast_to((np.arange(n) + a).reshape([-1 if j == k else 1 for j in range(len(size))]), size) for k, (a, n) in enumerate(zip(low, size, strict=True))]
-            yield pa.record_batch([*(pa.array(p.ravel().astype(np.int32)) for p in places), pa.array(values.ravel())], names=[*self.axes, "value"])
+            places = [np.broadcast_to((np.arange(n, dtype=np.int32) + np.int32(a)).reshape([-1 if j == k else 1 for j in range(len(size))]), size) for k, (a, n) in enumerate(zip(low, size, strict=True))]
+            held.append([*(p.ravel() for p in places), values.ravel()])
+            n += values.size
+            if n >= BATCH_CELLS:
+                yield batch()
+                held, n = [], 0
+        if held:
+            yield batch()
 
 
 # sink --------------------------------------------------------------------------------------------------
@@ -441,22 +454,23 @@ class ZarrCells(_Source):
         return _CellReader(self.options)
 
 
-def _load(spark: SparkSession, source: type[DataSource], path: str, chunks_per_task: int) -> DataFrame:
+def _load(spark: SparkSession, source: type[DataSource], path: str, chunks_per_task: int | None) -> DataFrame:
     spark.dataSource.register(source)
-    return spark.read.format(source.name()).option("chunks_per_task", chunks_per_task).load(path)
+    reader = spark.read.format(source.name())
+    return (reader if chunks_per_task is None else reader.option("chunks_per_task", chunks_per_task)).load(path)
 
 
-def read_array(spark: SparkSession, path: str, chunks_per_task: int = 8) -> DataFrame:
+def read_array(spark: SparkSession, path: str, chunks_per_task: int | None = None) -> DataFrame:
     """One row per chunk with its values."""
     return _load(spark, ZarrChunks, path, chunks_per_task)
 
 
-def read_blocks(spark: SparkSession, path: str, chunks_per_task: int = 8) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, chunks_per_task: int | None = None) -> DataFrame:
     """One row per written chunk with its bytes, padding cut off."""
     return _load(spark, ZarrBlocks, path, chunks_per_task)
 
 
-def read_cells(spark: SparkSession, path: str, chunks_per_task: int = 8) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, chunks_per_task: int | None = None) -> DataFrame:
     """One row per cell. Comparisons of an axis with a number are answered by the list of chunks to open (this turns on ``spark.sql.python.filterPushdown.enabled`` in the session)."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return _load(spark, ZarrCells, path, chunks_per_task)
@@ -519,9 +533,9 @@ def reshard(spark: SparkSession, source: str, target: str, chunks: Sequence[int]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: tuple[list, list, list, list] = ([], [], [], [])
             for start, extent, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 block = np.frombuffer(data.as_buffer(), dtype=old.dtype).reshape(extent)
-                rows: tuple[list, list, list, list] = ([], [], [], [])
                 for tile in itertools.product(*(range(s // t, -(-(s + e) // t)) for s, e, t in zip(start, extent, new.tile, strict=True))):
                     low = [max(s, i * t) for s, i, t in zip(start, tile, new.tile, strict=True)]
                     high = [min(s + e, (i + 1) * t) for s, e, i, t in zip(start, extent, tile, new.tile, strict=True)]
@@ -529,7 +543,7 @@ def reshard(spark: SparkSession, source: str, target: str, chunks: Sequence[int]
                     found = int(np.ravel_multi_index(tile, new.grid)), [a - i * t for a, i, t in zip(low, tile, new.tile, strict=True)], list(piece.shape), np.ascontiguousarray(piece, dtype=new.dtype).tobytes()
                     for column, x in zip(rows, found, strict=True):
                         column.append(x)
-                yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.list_(pa.int32())), pa.array(rows[3], pa.binary())], names=["tile", "start", "extent", "data"])
+            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.list_(pa.int32())), pa.array(rows[3], pa.binary())], names=["tile", "start", "extent", "data"])
 
     pieces = read_blocks(spark, source).select("start", "extent", "data").mapInArrow(cut, "tile long, start array<int>, extent array<int>, data binary")
     _save(_deal(pieces, int(np.prod(new.grid))), target, new)
