@@ -2,7 +2,7 @@
 
 Points are whitened, so that the kernel is the round unit one. Cells of ``CELL`` bandwidths keep a count and a mean; a point adds up the kernel over the cells of its own
 square of ``SQUARE`` bandwidths and the eight around it. Counts and means are combined before the shuffle, a square holds at most (SQUARE / CELL) ** 2 cells however many
-points it has, and points of a crowded square are dealt in parts, so neither a task nor a row grows with a crowd.
+points it has, and points of a crowded square are dealt in parts, so neither a task nor a row grows with a crowd. The cells around a square travel once for each of its parts, not with its points.
 
 Error, as a share of the kernel's peak (``ERROR_SHARE``): what lies beyond a square is below exp(-SQUARE ** 2 / 2), and moving a cell's points to their mean changes a
 kernel by at most half its largest second derivative times their spread, CELL ** 2 / 4 along each of two axes.
@@ -60,29 +60,33 @@ def density(points: DataFrame, x: str = "x", y: str = "y", name: str = "density"
     parts = known_rows.groupBy("_su", "_sw").agg(F.ceil(F.count("*") / F.lit(PART_POINTS)).cast("int").alias("_parts"))
     dealt = near.join(parts, ["_su", "_sw"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     crowded = F.broadcast(parts.where("_parts > 1"))  # at most one for every PART_POINTS points
-    rows = white.join(crowded, ["_su", "_sw"], "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_u", "_w", F.monotonically_increasing_id()), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-    together = rows.join(dealt.drop("_parts"), ["_su", "_sw", "_part"], "left")
-    columns = [f"`{c}`" for c in points.columns]
-    read = together.select(F.struct(*columns).alias("_row"), "_u", "_w", "_su", "_sw", "_cells").sortWithinPartitions("_su", "_sw")
+    rows = known_rows.join(crowded, ["_su", "_sw"], "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_u", "_w", F.monotonically_increasing_id()), F.col("_parts")), F.lit(0)).cast("int"))
+    # the cells of a part come once, as a row of their own before its points
+    key, columns = ["_su", "_sw", "_part", "_at"], F.struct(*[f"`{c}`" for c in points.columns]).alias("_row")
+    beside = dealt.select("_su", "_sw", "_part", F.lit(0).alias("_at"), "_cells")
+    together = beside.unionByName(rows.select("_su", "_sw", "_part", F.lit(1).alias("_at"), columns, "_u", "_w"), allowMissingColumns=True)
+    read = together.repartition(max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key[:3]).sortWithinPartitions(*key)
     kind = read.schema["_row"].dataType.simpleString()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = u = w = np.zeros(0)
         for batch in batches:
-            for at in range(0, batch.num_rows, POINTS_AT_ONCE):
-                part = batch.slice(at, POINTS_AT_ONCE)
-                p = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (1, 2)])
-                key = np.column_stack([part.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in (3, 4)])
-                out = np.full(part.num_rows, np.nan)
-                for lo, hi in _runs(key):
-                    found = part.column(5)[lo].values
-                    if found is None:
-                        continue
-                    n, u, w = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                    far = (p[lo:hi, 0, None] - u) ** 2 + (p[lo:hi, 1, None] - w) ** 2
-                    out[lo:hi] = np.exp(-far / 2) @ n * peak
-                yield pa.record_batch([part.column(0), pa.array(out, from_pandas=True)], names=["_row", name])
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            place = np.column_stack([column[c].to_numpy(zero_copy_only=False) for c in key])
+            p = np.column_stack([column[c].to_numpy(zero_copy_only=False).astype(float) for c in ("_u", "_w")])
+            out = np.full(batch.num_rows, np.nan)
+            for lo, hi in _runs(place):
+                if hi > lo and not place[lo, 3]:
+                    n, u, w = (column["_cells"][lo].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    continue
+                for at in range(lo, hi, POINTS_AT_ONCE):
+                    some = p[at : min(at + POINTS_AT_ONCE, hi)]
+                    far = (some[:, 0, None] - u) ** 2 + (some[:, 1, None] - w) ** 2
+                    out[at : at + len(some)] = np.exp(-far / 2) @ n * peak
+            held = np.flatnonzero(place[:, 3])
+            yield pa.record_batch([column["_row"].take(pa.array(held)), pa.array(out[held], from_pandas=True)], names=["_row", name])
 
-    return read.mapInArrow(add, f"_row {kind}, `{name}` double").select("_row.*", name)
+    return read.mapInArrow(add, f"_row {kind}, `{name}` double").select("_row.*", name).union(points.where(~ok).select("*", lost))
 
 
 def _runs(key: np.ndarray) -> list[tuple[int, int]]:

@@ -34,3 +34,12 @@ def test_density_without_an_area(spark):
     line = spark.createDataFrame([(float(i), 2.0 * i) for i in range(9)], "x double, y double")
     assert {r.density for r in D.density(line).collect()} == {None} and {r.density for r in D.density(line.limit(2)).collect()} == {None}
     assert D.density(line.where("x < 0")).collect() == []
+
+
+def test_cells_travel_once_and_not_with_each_point(spark):
+    """Before, each point was joined with the cells of nine squares (up to 220 KB) and sorted with them, so what was spilled grew as points times cells."""
+    df = spark.range(4000).selectExpr("id", "cast(id % 63 as double) as x", "cast(id * 7 % 97 as double) as y")
+    out = D.density(df)
+    assert out.where("density > 0").count() == 4000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # squares with their numbers of parts, points with those of crowded squares
