@@ -217,3 +217,15 @@ def test_probes_agree_with_full_scans(spark, tmp_path):
     assert states[f"{tmp_path}/none"] == "missing" and states[f"{tmp_path}/p0"] == "empty" and states[f"{tmp_path}/full"] == "complete"
     seen = {p: [np.any(dense_plane) for dense_plane in planes] for p, planes in ((p, [want[p, "grid", c] for c in range(3)]) for p, _ in paths)}
     assert set(states.values()) <= {"missing", "empty", "partial", "complete"} and len(seen) == 12
+
+
+def test_tasks_of_a_scan_go_by_cells(spark, tmp_path):
+    """Before, a task read eight chunks however small: 125 tasks here, 17,600 for nine million rows. Whole results come in few batches."""
+    path = f"{tmp_path}/strips"
+    Z.write_cells(spark.range(64_000).selectExpr("id AS y", "id % 8 AS x", "id % 90 + 1 AS value"), path, Z.layout((64_000, 8), (64, 8), "<i4"), ["y", "x"])
+    cells = Z.read_cells(spark, path)
+    assert cells.rdd.getNumPartitions() == 4 and Z.read_cells(spark, path, 8).rdd.getNumPartitions() == 125
+    found = cells.where("value > 0").selectExpr("count(*)", "sum(value)", "sum(int(x = y % 8 AND value = y % 90 + 1))").first()
+    assert tuple(found) == (64_000, sum(i % 90 + 1 for i in range(64_000)), 64_000) and cells.count() == 512_000
+    batches = list(Z._CellReader({"path": path}).read(Z._CellReader({"path": path}).partitions()[0]))
+    assert len(batches) == 8 and sum(b.num_rows for b in batches) == Z.TASK_CELLS
